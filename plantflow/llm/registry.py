@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_decontamination
+from . import op01_decontamination, op10_near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op01_decontamination.op1_decontamination,
+        "op10_minhash_near_dedup": op10_near_duplicates.op10_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": op01_decontamination.ORACLE,
+        "op10_minhash_near_dedup": op10_near_duplicates.ORACLE,
     }
