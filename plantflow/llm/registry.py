@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_decontamination, op10_near_duplicates
+from . import op01_decontamination, op08_packing, op10_near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op01_decontamination.op1_decontamination,
+        "op8_best_fit_packing": op08_packing.op8_best_fit_packing,
         "op10_minhash_near_dedup": op10_near_duplicates.op10_minhash_near_dedup,
     }
 
