@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_decontamination, op08_packing, op10_near_duplicates
+from . import op01_decontamination, op05_toxicity, op08_packing, op09_quality, op10_near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op01_decontamination.op1_decontamination,
+        "op5_toxicity": op05_toxicity.op5_toxicity,
         "op8_best_fit_packing": op08_packing.op8_best_fit_packing,
+        "op9_quality_co_training": op09_quality.op9_quality_co_training,
         "op10_minhash_near_dedup": op10_near_duplicates.op10_minhash_near_dedup,
     }
 
