@@ -5,7 +5,8 @@ first. Every partition sweeps once with a stack of gaps; a document takes the sm
 long as itself that no larger document took. What a partition leaves over is matched across
 partitions by rank from the partitions' counts alone: left documents take the gaps left most recently
 before them, as one global sweep would. Then gaps shrink and the next round begins. A gap takes one
-document a round. New sequences are opened with the largest documents left, as many as the tokens
+unit a round: a document, or, while there are many for each gap, a bundle of short ones that is undone
+if it finds no gap. New sequences are opened with the largest documents left, as many as the tokens
 left need beyond the usable gaps.
 
 Every round is written to the shared folder. The driver sees two counts for each partition.
@@ -30,9 +31,6 @@ from .wordbpe import WordBpe
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces up to CAPACITY / TINY tokens are bundled where there are many for each sequence.
-TINY = 32
-MANY = 4
 
 _PIECE = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
 PIECES = T.StructType([T.StructField("pieces", T.ArrayType(T.StructType(_PIECE)))])
@@ -70,32 +68,41 @@ def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return cut.select("doc_id", F.explode("p.pieces").alias("p")).select("doc_id", "p.*")
 
 
-def _bundles(items: DataFrame, most: int) -> DataFrame:
-    """Items (length, members) of one member each, joined up to most tokens, in the order of a task."""
-    schema = items.schema
+def _bundles(items: DataFrame, small: int, most: int) -> DataFrame:
+    """Items (length, members) with those up to small joined in bundles of up to most tokens, as a task meets them.
+
+    Every item has one member; longer items stay alone.
+    """
+    schema = items.select("length", "members").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
+        kind = arrow.field("members").type
         for batch in batches:
             lengths = batch.column("length").to_numpy()
-            heads, sums, inside, total = [], [], [], most + 1
-            for i, n in enumerate(lengths.tolist()):
-                if total + n > most:
+            order = np.argsort(lengths <= small, kind="stable")
+            heads, sums, inside = [], [], []
+            for i, n in enumerate(lengths[order].tolist()):
+                if n > small or not sums or sums[-1] + n > most or lengths[order[heads[-1]]] > small:
                     heads.append(i)
                     sums.append(0)
-                    total = 0
-                inside.append(total)
-                total += n
-                sums[-1] = total
-            members = batch.column("members").flatten()
+                inside.append(sums[-1])
+                sums[-1] += n
+            members = batch.column("members").flatten().take(pa.array(order))
             fields = {f.name: members.field(i) for i, f in enumerate(members.type)}
             fields["within"] = pa.array(inside, pa.int64())
-            kind = arrow.field("members").type
             one = pa.StructArray.from_arrays([fields[f.name].cast(f.type) for f in kind.value_type], fields=list(kind.value_type))
             lists = pa.ListArray.from_arrays(pa.array([*heads, len(lengths)], pa.int32()), one).cast(kind)
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), lists], schema=arrow)
 
-    return items.mapInArrow(run, schema)
+    return items.select("length", "members").mapInArrow(run, schema)
+
+
+def _single(items: DataFrame) -> DataFrame:
+    """Items of one member each, out of bundles."""
+    names = [f.name for f in items.schema["members"].dataType.elementType if f.name != "within"]
+    m = items.select(F.explode("members").alias("m"))
+    return m.select(F.col("m.length").cast("long").alias("length"), F.array(F.struct(*(F.col("m")[c].alias(c) for c in names), F.lit(0).cast("long").alias("within"))).alias("members"))
 
 
 def _sweep(items: DataFrame, gaps: DataFrame, partitions: int) -> DataFrame:
@@ -191,7 +198,7 @@ def _seeded(items: DataFrame, ids, cap: int) -> tuple[DataFrame, DataFrame]:
     return rows.select("members", "sequence_id", F.lit(0).cast("long").alias("offset")), rows.where(F.col("length") < cap).select("sequence_id", (cap - F.col("length")).alias("gap"))
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, tiny: int = TINY, many: int = MANY, partitions: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partitions: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset (within its sequence, gapless from 0).
 
     pieces has a length of 1 to capacity and any other columns but these two. Rows may repeat. An
@@ -202,30 +209,33 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, tiny: int = TINY, many:
     own = pieces.columns
     row = written(pieces, "pieces")
     items = row.select(F.col("length").cast("long").alias("length"), F.array(F.struct(*(F.col(c) for c in own), F.lit(0).cast("long").alias("within"))).alias("members"))
-    half, least = capacity // 2, capacity // tiny
-    n, total, small = row.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.sum((F.col("length") <= least).cast("long")), F.lit(0))).first()
+    half = capacity // 2
     large = written(items.where(F.col("length") > half).withColumn("id", -1 - F.monotonically_increasing_id()), "large")
     placed, gaps = _seeded(large, F.col("id"), capacity)
     todo = items.where(F.col("length") <= half)
-    if small > many * (total / capacity):
-        todo = todo.where(F.col("length") > least).unionByName(_bundles(todo.where(F.col("length") <= least), least))
     done, round_ = [placed], 0
-    todo = written(todo, "todo")
     left, _, shortest = todo.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.min("length")).first()
     while left:
-        swept = written(_sweep(todo.select("length", "members"), gaps.where(F.col("gap") >= shortest), partitions), "swept")
+        gaps = gaps.where(F.col("gap") >= shortest)
+        room, open_ = gaps.agg(F.coalesce(F.sum("gap"), F.lit(0)), F.count("*")).first()
+        usual = room // open_ if open_ else capacity
+        # many items for each gap are bundled for this round, so that gaps halve at least
+        units = _bundles(todo, usual // 4, usual // 2) if left > 2 * open_ else todo.select("length", "members")
+        swept = written(_sweep(units, gaps, partitions), "swept")
         settled = written(_settled(swept, capacity), "settled")
         forget(swept)
         done.append(settled.where("state = 0").select("members", "sequence_id", "offset"))
-        todo, gaps = settled.where("state = 1").select("length", "members", "rank"), settled.where("state = 2").select("sequence_id", "gap")
-        left, tokens, shortest = todo.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.min("length")).first()
+        rest, gaps = settled.where("state = 1").select("length", "members", "rank"), settled.where("state = 2").select("sequence_id", "gap")
+        left, tokens, shortest, n = rest.agg(F.sum(F.size("members")).cast("long"), F.sum("length"), F.min(F.array_min(F.transform("members", lambda m: m["length"].cast("long")))), F.count("*")).first()
         if left:
-            usable = gaps.where(F.col("gap") >= shortest).agg(F.coalesce(F.sum("gap"), F.lit(0))).first()[0]
-            need = min(left, max(0, -(-(tokens - usable) // capacity)))
+            room = gaps.where(F.col("gap") >= shortest).agg(F.coalesce(F.sum("gap"), F.lit(0))).first()[0]
+            need = min(n, max(0, -(-(tokens - room) // capacity)))
             if need:
-                first, more = _seeded(todo.where(F.col("rank") < need), F.col("rank") + ((round_ + 1) << 44), capacity)
+                first, more = _seeded(rest.where(F.col("rank") < need), F.col("rank") + ((round_ + 1) << 44), capacity)
                 done.append(first)
-                todo, gaps, left = todo.where(F.col("rank") >= need), gaps.unionByName(more), left - need
+                rest, gaps = rest.where(F.col("rank") >= need), gaps.unionByName(more)
+            todo = _single(rest)
+            left = todo.count() if need else left
         round_ += 1
     out = done[0]
     for part in done[1:]:

@@ -41,6 +41,8 @@ def _folded() -> np.ndarray:
 
 #: A value per byte; A-Z share those of a-z.
 BYTE_VALUES = _folded()
+#: The same without folding.
+CASED_VALUES = seeded(256, 11)
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -94,8 +96,8 @@ def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes with A-Z folded to a-z; the spans are in order and disjoint."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, A-Z folded to a-z by default; the spans are in order and disjoint."""
     out = np.empty(starts.size, np.uint64)
     i = 0
     with np.errstate(over="ignore"):
@@ -104,7 +106,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             j = max(i + 1, int(np.searchsorted(ends, low + _SEGMENT, side="right")))
             part = data[low : ends[j - 1]]
             sums = np.zeros(part.size + 1, np.uint64)
-            np.cumsum(BYTE_VALUES[part] * _power(_BASE, part.size), out=sums[1:])
+            np.cumsum(values[part] * _power(_BASE, part.size), out=sums[1:])
             a, b = starts[i:j] - low, ends[i:j] - low
             out[i:j] = splitmix((sums[b] - sums[a]) * _power(_UNBASE, part.size + 1)[a] + (b - a).astype(np.uint64))
             i = j
