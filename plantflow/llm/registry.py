@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_decontamination, op03_token_counts, op04_sharding, op05_toxicity, op06_warc, op07_neighbours, op08_packing, op09_quality, op10_near_duplicates
+from . import op01_decontamination, op02_language_model, op03_token_counts, op04_sharding, op05_toxicity, op06_warc, op07_neighbours, op08_packing, op09_quality, op10_near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op01_decontamination.op1_decontamination,
+        "op2_pseudo_likelihood": op02_language_model.op2_pseudo_likelihood,
         "op3_token_counts": op03_token_counts.op3_token_counts,
         "op4_extendible_hashing": op04_sharding.op4_extendible_hashing,
         "op5_toxicity": op05_toxicity.op5_toxicity,
