@@ -64,7 +64,7 @@ def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """doc_id, piece, start, length, ids_crc32: each text's ids and an end id, cut where longer than capacity."""
     path = path or tokenizer_path()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    cut = with_struct(base, "text", "p", PIECES, lambda: lambda t: _cut(t, path, capacity, end_id))
+    cut = with_struct(base, "text", "p", PIECES, lambda: lambda t: _cut(t, path, capacity, end_id), 1 << 20)
     return cut.select("doc_id", F.explode("p.pieces").alias("p")).select("doc_id", "p.*")
 
 

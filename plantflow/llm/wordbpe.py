@@ -23,6 +23,7 @@ _LOWER[65:91] += 32
 _QUOTE = ord("'")
 #: Distinct words a task remembers before it starts afresh.
 REMEMBERED = 1_000_000
+_ENCODED = 5_000
 
 
 def _simple_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -89,36 +90,45 @@ class WordBpe:
         return cls._open[path]
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        # hashes of known words in order, and where each word's ids stand in the pool
+        self.known = np.zeros(0, np.uint64)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has."""
         ids = np.array(self._encode(" ".join(words)), np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1 if ids.size and ids.max() < self.last.size else np.zeros(0, np.int64)
-        if ends.size != len(words) or (ends.size and ends[-1] != ids.size):
+        if ends.size != len(words) or ends[-1] != ids.size:
             each = [np.array(self._encode(w), np.uint32) for w in words]
-            ids, ends = np.concatenate([*each, np.zeros(0, np.uint32)]), np.cumsum([e.size for e in each])
-        n, total = len(self.slot), self.used + ids.size
-        while self.pool.size < total:
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.first.size < n + len(words):
-            self.first, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size))
-        self.pool[self.used : total] = ids
-        begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        self.first[n : n + len(words)] = begin + self.used
-        self.size[n : n + len(words)] = ends - begin
-        self.used = total
-        self.slot.update(zip(hashes, range(n, n + len(words)), strict=True))
+            return np.concatenate(each), np.array([e.size for e in each], np.int64)
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add words not known yet; hashes are in order."""
+        sizes = []
+        before = self.used
+        for a in range(0, len(words), _ENCODED):
+            ids, size = self._word_ids(words[a : a + _ENCODED])
+            while self.pool.size < self.used + ids.size:
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used : self.used + ids.size] = ids
+            self.used += ids.size
+            sizes.append(size)
+        size = np.concatenate(sizes)
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.first = np.insert(self.first, at, before + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column one after another, and how many each row has."""
         raw, offsets = text_bytes(texts)
         n = offsets.size - 1
-        if len(self.slot) > REMEMBERED:
+        if self.known.size > REMEMBERED:
             self._forget()
         simple = _simple_rows(raw, offsets)
         data = _lowered(raw)
@@ -127,13 +137,13 @@ class WordBpe:
             keep = simple[row]
             starts, ends, row = starts[keep], ends[keep], row[keep]
         distinct, where, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slot]
-        if new:
+        at = np.minimum(np.searchsorted(self.known, distinct), max(self.known.size - 1, 0))
+        new = np.flatnonzero(self.known[at] != distinct) if self.known.size else np.arange(distinct.size)
+        if new.size:
             whole = data.tobytes()
-            self._learn([keys[i] for i in new], [whole[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-        slots = np.fromiter((self.slot[k] for k in keys), np.int64, len(keys))[inverse]
-        sizes = self.size[slots]
+            self._learn(distinct[new], [whole[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        slots = np.searchsorted(self.known, distinct)[inverse]
+        sizes = self.size[slots].astype(np.int64)
         shift = np.repeat(self.first[slots] - (np.cumsum(sizes) - sizes), sizes)
         flat = self.pool[shift + np.arange(shift.size)]
         counts = np.bincount(row, weights=sizes, minlength=n).astype(np.int64)
