@@ -7,13 +7,14 @@ partitions by rank from the partitions' counts alone: left documents take the ga
 before them, as one global sweep would. Then gaps shrink and the next round begins. A gap takes one
 unit a round: a document, or, while there are many for each gap, a bundle of short ones that is undone
 if it finds no gap. New sequences are opened with the largest documents left, as many as the tokens
-left need beyond the usable gaps.
+left need beyond the usable gaps. The last FINISH items and gaps, a fixed number, are placed in one task.
 
 Every round is written to the shared folder. The driver sees two counts for each partition.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ from .wordbpe import WordBpe
 
 CAPACITY = 4096
 END_ID = 1
+#: Items and gaps that are left in the end, at most, for one task to place.
+FINISH = 10_000
 
 _PIECE = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
 PIECES = T.StructType([T.StructField("pieces", T.ArrayType(T.StructType(_PIECE)))])
@@ -198,7 +201,41 @@ def _seeded(items: DataFrame, ids, cap: int) -> tuple[DataFrame, DataFrame]:
     return rows.select("members", "sequence_id", F.lit(0).cast("long").alias("offset")), rows.where(F.col("length") < cap).select("sequence_id", (cap - F.col("length")).alias("gap"))
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partitions: int | None = None) -> DataFrame:
+def _finish(items: DataFrame, gaps: DataFrame, cap: int) -> DataFrame:
+    """Placed rows of the last FINISH items and gaps, by one best-fit pass in one task, largest first."""
+    members = items.schema["members"]
+    schema = T.StructType([members, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    rows = items.select(F.lit(1).alias("kind"), F.col("length").alias("size"), F.lit(None).cast("long").alias("sequence_id"), "members", F.xxhash64("members").alias("salt"))
+    rows = rows.unionByName(gaps.select(F.lit(0).alias("kind"), F.col("gap").alias("size"), "sequence_id", F.lit(None).cast(members.dataType).alias("members"), F.col("sequence_id").alias("salt")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        open_: list[tuple[int, int]] = []
+        fresh = 1 << 60
+        for batch in batches:
+            at, ids, offsets = [], [], []
+            sizes, kinds, sequences = (batch.column(c).to_pylist() for c in ("size", "kind", "sequence_id"))
+            for i, size in enumerate(sizes):
+                if kinds[i] == 0:
+                    bisect.insort(open_, (size, sequences[i]))
+                    continue
+                k = bisect.bisect_left(open_, (size, -(1 << 62)))
+                if k < len(open_):
+                    gap, sequence = open_.pop(k)
+                else:
+                    gap, sequence, fresh = cap, fresh, fresh + 1
+                at.append(i)
+                ids.append(sequence)
+                offsets.append(cap - gap)
+                if gap > size:
+                    bisect.insort(open_, (gap - size, sequence))
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column("members").take(pa.array(at)).cast(arrow.field(0).type), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], schema=arrow)
+
+    return rows.repartition(1).sortWithinPartitions("kind", F.desc("size"), "salt").mapInArrow(run, schema)
+
+
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partitions: int | None = None, finish: int = FINISH) -> DataFrame:
     """pieces with sequence_id and offset (within its sequence, gapless from 0).
 
     pieces has a length of 1 to capacity and any other columns but these two. Rows may repeat. An
@@ -218,6 +255,9 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partitions: int | None
     while left:
         gaps = gaps.where(F.col("gap") >= shortest)
         room, open_ = gaps.agg(F.coalesce(F.sum("gap"), F.lit(0)), F.count("*")).first()
+        if left + open_ <= finish:
+            done.append(written(_finish(todo.select("length", "members"), gaps, capacity), "finished"))
+            break
         usual = room // open_ if open_ else capacity
         # many items for each gap are bundled for this round, so that gaps halve at least
         units = _bundles(todo, usual // 4, usual // 2) if left > 2 * open_ else todo.select("length", "members")

@@ -21,12 +21,12 @@ def check(rows, capacity):
     return len(by)
 
 
-@pytest.mark.parametrize("kind", ["mixed", "tiny", "large", "equal", "one"])
-def test_fit(spark, kind):
+@pytest.mark.parametrize(("kind", "finish"), [("mixed", 60), ("mixed", 10_000), ("tiny", 3), ("large", 10_000), ("equal", 10_000), ("one", 10_000)])
+def test_fit(spark, kind, finish):
     rng = random.Random(kind)
     draw = {"mixed": lambda: min(1000, int(rng.lognormvariate(4, 1.5)) + 1), "tiny": lambda: rng.randint(1, 5), "large": lambda: rng.randint(400, 1000), "equal": lambda: 334, "one": lambda: 1000}[kind]
-    lengths = [draw() for _ in range(3000 if kind != "one" else 1)]
-    rows = pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long"), capacity=1000).collect()
+    lengths = [draw() for _ in range(600 if kind != "one" else 1)]
+    rows = pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long"), capacity=1000, finish=finish).collect()
     assert sorted((r.id, r.length) for r in rows) == list(enumerate(lengths))
     used, bound = check(rows, 1000), -(-sum(lengths) // 1000)
     assert used <= {"mixed": 1.03, "tiny": 1.05, "large": 2.0, "equal": 1.51, "one": 1.0}[kind] * bound
