@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import net, wire
 
-H = F.col("payload_hex")
 _BASE = ["pkt_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port"]
 
 #: Names of function codes.
@@ -30,6 +29,10 @@ CPF_ITEMS = 16
 WEAK_CIPHERS = (0x0001, 0x0002, 0x0004, 0x0005, 0x0009, 0x000A)
 
 
+def _h() -> Column:
+    return F.col("payload_hex")
+
+
 def _named(code: Column, rows: list) -> Column:
     out = None
     for value, name in rows:
@@ -51,9 +54,9 @@ def _tcp_to(packets: DataFrame, *ports: int) -> DataFrame:
 
 def modbus_events(packets: DataFrame) -> DataFrame:
     """Modbus/TCP requests and responses alike."""
-    length = wire.be(H, 4, 2)
-    good = (wire.size(H) >= 8) & (wire.hex_at(H, 2, 2) == "0000") & (length >= 2) & (length + 6 <= wire.size(H))
-    rows = _tcp(packets, 502).where(good).select(*_BASE, wire.be(H, 6).alias("unit_id"), wire.be(H, 7).alias("fc"), F.coalesce(wire.be(H, 8, 2), F.lit(0)).alias("sub"))
+    length = wire.be(_h(), 4, 2)
+    good = (wire.size(_h()) >= 8) & (wire.hex_at(_h(), 2, 2) == "0000") & (length >= 2) & (length + 6 <= wire.size(_h()))
+    rows = _tcp(packets, 502).where(good).select(*_BASE, wire.be(_h(), 6).alias("unit_id"), wire.be(_h(), 7).alias("fc"), F.coalesce(wire.be(_h(), 8, 2), F.lit(0)).alias("sub"))
     fc, sub = F.col("fc"), F.col("sub")
     label = F.when((fc == 8) & (sub == 1), "Diagnostic: Restart Communications").when((fc == 8) & (sub == 4), "Diagnostic: Force Listen Only Mode").when((fc == 8) & (sub == 10), "Diagnostic: Clear Counters").otherwise(_named(fc, MODBUS_LABELS))
     return rows.withColumn("label", label).withColumn("engineering", fc.isin(*MODBUS_WRITES) | ((fc == 8) & sub.isin(1, 4, 10)))
@@ -61,31 +64,31 @@ def modbus_events(packets: DataFrame) -> DataFrame:
 
 def s7_events(packets: DataFrame) -> DataFrame:
     """S7 communication over TPKT and COTP; the header is longer for acknowledgements."""
-    n = wire.be(H, 4)
+    n = wire.be(_h(), 4)
     start = n + 5
-    head = F.when(wire.be(H, start + 1).isin(2, 3), 12).otherwise(10)
-    good = (wire.size(H) >= 7) & (wire.hex_at(H, 0, 2) == "0300") & (n <= 17) & (wire.hex_at(H, start) == "32")
-    rows = _tcp(packets, 102).where(good).where((wire.be(H, start + 6, 2) > 0) & (wire.size(H) > start + head)).select(*_BASE, wire.be(H, start + head).alias("fc"))
+    head = F.when(wire.be(_h(), start + 1).isin(2, 3), 12).otherwise(10)
+    good = (wire.size(_h()) >= 7) & (wire.hex_at(_h(), 0, 2) == "0300") & (n <= 17) & (wire.hex_at(_h(), start) == "32")
+    rows = _tcp(packets, 102).where(good).where((wire.be(_h(), start + 6, 2) > 0) & (wire.size(_h()) > start + head)).select(*_BASE, wire.be(_h(), start + head).alias("fc"))
     return rows.select("*", _named(F.col("fc"), S7_LABELS).alias("label"), F.col("fc").isin(*S7_ENGINEERING).alias("engineering"), (F.col("fc") == 4).alias("read"))
 
 
 def dnp3_events(packets: DataFrame) -> DataFrame:
     ports = F.col("proto").isin(6, 17) & ((F.col("src_port") == 20000) | (F.col("dst_port") == 20000))
-    rows = packets.where(ports).where((wire.size(H) >= 13) & (wire.hex_at(H, 0, 2) == "0564"))
-    return rows.select(*_BASE, "proto", wire.be(H, 12).alias("fc")).withColumn("engineering", F.col("fc").isin(*DNP3_ENGINEERING))
+    rows = packets.where(ports).where((wire.size(_h()) >= 13) & (wire.hex_at(_h(), 0, 2) == "0564"))
+    return rows.select(*_BASE, "proto", wire.be(_h(), 12).alias("fc")).withColumn("engineering", F.col("fc").isin(*DNP3_ENGINEERING))
 
 
 def _cip_service() -> Column:
     """The first engineering service in the data items of an encapsulated request, by a bounded walk."""
-    count = F.least(wire.le(H, 30, 2), F.lit(CPF_ITEMS))
+    count = F.least(wire.le(_h(), 30, 2), F.lit(CPF_ITEMS))
     zero = F.struct(F.lit(32).cast("long").alias("at"), F.lit(None).cast("long").alias("service"))
 
     def step(state: Column, i: Column) -> Column:
-        kind, length = wire.le(H, state["at"], 2), wire.le(H, state["at"] + 2, 2)
+        kind, length = wire.le(_h(), state["at"], 2), wire.le(_h(), state["at"] + 2, 2)
         data = state["at"] + 4
-        whole = (i < count) & (data + length <= wire.size(H))
+        whole = (i < count) & (data + length <= wire.size(_h()))
         skip = F.when(kind == 0xB2, 0).when(kind == 0xB1, 2)
-        code = F.when(whole & (length > skip), wire.be(H, data + skip)).bitwiseAND(F.lit(0x7F))
+        code = F.when(whole & (length > skip), wire.be(_h(), data + skip)).bitwiseAND(F.lit(0x7F))
         found = F.when(code.isin(*CIP_ENGINEERING), code)
         return F.struct(F.when(whole, data + length).otherwise(F.lit(1 << 40)).alias("at"), F.coalesce(state["service"], found).alias("service"))
 
@@ -93,19 +96,19 @@ def _cip_service() -> Column:
 
 
 def enip_events(packets: DataFrame) -> DataFrame:
-    command = wire.le(H, 0, 2)
-    rows = _tcp(packets, 44818).where(wire.size(H) >= 24).select(*_BASE, command.alias("command"), F.when(command.isin(0x6F, 0x70), _cip_service()).alias("cip_service"))
+    command = wire.le(_h(), 0, 2)
+    rows = _tcp(packets, 44818).where(wire.size(_h()) >= 24).select(*_BASE, command.alias("command"), F.when(command.isin(0x6F, 0x70), _cip_service()).alias("cip_service"))
     return rows.select("*", _named(F.col("command"), ENIP_LABELS).alias("label"), F.col("cip_service").isNotNull().alias("engineering"))
 
 
 def cred_packets(packets: DataFrame) -> DataFrame:
     """Packets that show a credential in clear: kind, dst_port and note (for the weak-password check alone)."""
-    text = wire.text(H)
-    ftp = _tcp_to(packets, 21).where(F.upper(F.substring(text, 1, 5)).isin("USER ", "PASS ")).select(*_BASE, F.lit("ftp").alias("kind"), wire.first_line(H, 80).alias("note"))
-    telnet = _tcp(packets, 23).where(F.length(H) > 0).select(*_BASE, F.lit("telnet").alias("kind"), F.lit("").alias("note")).withColumn("dst_port", F.lit(23).cast("long"))
+    text = wire.text(_h())
+    ftp = _tcp_to(packets, 21).where(F.upper(F.substring(text, 1, 5)).isin("USER ", "PASS ")).select(*_BASE, F.lit("ftp").alias("kind"), wire.first_line(_h(), 80).alias("note"))
+    telnet = _tcp(packets, 23).where(F.length(_h()) > 0).select(*_BASE, F.lit("telnet").alias("kind"), F.lit("").alias("note")).withColumn("dst_port", F.lit(23).cast("long"))
     basic = _tcp_to(packets, 80, 8080).where(text.contains("Authorization: Basic ")).select(*_BASE, F.lit("http_basic").alias("kind"), F.substring(F.regexp_extract(text, r"(Authorization: Basic [^\r\n]*)", 1), 1, 120).alias("note"))
-    version = wire.be(H, wire.find(H, "0201") + 2)
-    snmp = _udp(packets, 161, 162).where((wire.size(H) > 8) & (wire.hex_at(H, 0) == "30") & (wire.find(H, "0201") >= 0) & version.isin(0, 1)).select(*_BASE, F.lit("snmp").alias("kind"), F.lit("").alias("note"))
+    version = wire.be(_h(), wire.find(_h(), "0201") + 2)
+    snmp = _udp(packets, 161, 162).where((wire.size(_h()) > 8) & (wire.hex_at(_h(), 0) == "30") & (wire.find(_h(), "0201") >= 0) & version.isin(0, 1)).select(*_BASE, F.lit("snmp").alias("kind"), F.lit("").alias("note"))
     return ftp.unionByName(telnet).unionByName(basic).unionByName(snmp)
 
 
@@ -117,42 +120,42 @@ def cred_events(packets: DataFrame) -> DataFrame:
 
 
 def smbv1_pairs(packets: DataFrame) -> DataFrame:
-    rows = _tcp(packets, 445, 139).where((wire.hex_at(H, 0, 4) == "FF534D42") | (wire.hex_at(H, 4, 4) == "FF534D42"))
+    rows = _tcp(packets, 445, 139).where((wire.hex_at(_h(), 0, 4) == "FF534D42") | (wire.hex_at(_h(), 4, 4) == "FF534D42"))
     return rows.groupBy("src_ip", "dst_ip", "dst_port").agg(F.count("*").alias("packets"))
 
 
 def _hellos(packets: DataFrame) -> DataFrame:
-    return _tcp_to(packets, 443, 8443).where((wire.size(H) >= 11) & (wire.hex_at(H, 0) == "16") & (wire.hex_at(H, 5) == "01"))
+    return _tcp_to(packets, 443, 8443).where((wire.size(_h()) >= 11) & (wire.hex_at(_h(), 0) == "16") & (wire.hex_at(_h(), 5) == "01"))
 
 
 def tls_hellos(packets: DataFrame) -> DataFrame:
     """Client hellos by pair and offered version."""
-    return _hellos(packets).select("src_ip", "dst_ip", wire.be(H, 9, 2).alias("version")).groupBy("src_ip", "dst_ip", "version").agg(F.count("*").alias("hellos"))
+    return _hellos(packets).select("src_ip", "dst_ip", wire.be(_h(), 9, 2).alias("version")).groupBy("src_ip", "dst_ip", "version").agg(F.count("*").alias("hellos"))
 
 
 def tls_ciphers(packets: DataFrame) -> DataFrame:
     """Offered cipher codes by pair."""
-    at = F.lit(44) + wire.be(H, 43)
-    n = wire.be(H, at, 2)
-    rows = _hellos(packets).where(wire.size(H) >= 44).where((n > 0) & (n % 2 == 0) & (at + 2 + n <= wire.size(H)))
-    codes = F.transform(F.sequence(F.lit(0), (n / 2 - 1).cast("long")), lambda i: wire.be(H, at + 2 + i * 2, 2))
+    at = F.lit(44) + wire.be(_h(), 43)
+    n = wire.be(_h(), at, 2)
+    rows = _hellos(packets).where(wire.size(_h()) >= 44).where((n > 0) & (n % 2 == 0) & (at + 2 + n <= wire.size(_h())))
+    codes = F.transform(F.sequence(F.lit(0), (n / 2 - 1).cast("long")), lambda i: wire.be(_h(), at + 2 + i * 2, 2))
     return rows.select("src_ip", "dst_ip", F.explode(codes).alias("cipher")).groupBy("src_ip", "dst_ip", "cipher").agg(F.count("*").alias("hellos"))
 
 
 def ntlm_events(packets: DataFrame) -> DataFrame:
     """NTLM negotiations with their version; flags that say neither are dropped."""
-    at = wire.find(H, "4E544C4D53535000")
-    flags = wire.le(H, at + 12, 4)
+    at = wire.find(_h(), "4E544C4D53535000")
+    flags = wire.le(_h(), at + 12, 4)
     version = F.when(flags.bitwiseAND(F.lit(1 << 19)) != 0, "v2").when(flags.bitwiseAND(F.lit(1 << 9)) != 0, "v1")
-    rows = _tcp(packets, 445, 139, 80, 443, 8080, 135).where(H.contains("4E544C4D53535000")).where((at >= 0) & (wire.le(H, at + 8, 4) == 1))
+    rows = _tcp(packets, 445, 139, 80, 443, 8080, 135).where(_h().contains("4E544C4D53535000")).where((at >= 0) & (wire.le(_h(), at + 8, 4) == 1))
     return rows.select(*_BASE, version.alias("version")).where("version IS NOT NULL")
 
 
 def rdp_events(packets: DataFrame, either_direction: bool = False) -> DataFrame:
     """Connection confirms with the selected protocol; by default to the service port alone."""
     rows = _tcp(packets, 3389) if either_direction else _tcp_to(packets, 3389)
-    good = (wire.size(H) >= 19) & (wire.hex_at(H, 0, 2) == "0300") & (wire.be(H, 2, 2) == wire.size(H)) & (wire.be(H, 5).bitwiseAND(F.lit(0xF0)) == 0xD0) & (wire.hex_at(H, 11) == "02")
-    return rows.where(good).select(*_BASE, wire.le(H, 15, 4).alias("selected_protocol"))
+    good = (wire.size(_h()) >= 19) & (wire.hex_at(_h(), 0, 2) == "0300") & (wire.be(_h(), 2, 2) == wire.size(_h())) & (wire.be(_h(), 5).bitwiseAND(F.lit(0xF0)) == 0xD0) & (wire.hex_at(_h(), 11) == "02")
+    return rows.where(good).select(*_BASE, wire.le(_h(), 15, 4).alias("selected_protocol"))
 
 
 def ldap_binds(packets: DataFrame) -> DataFrame:
@@ -165,15 +168,15 @@ def ldap_binds(packets: DataFrame) -> DataFrame:
     to_server = F.col("dst_port").isin(*ports)
     client = F.when(to_server, F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))).otherwise(F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port")))
     server = F.when(to_server, F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))).otherwise(F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")))
-    reply = F.col("src_port").isin(*ports) & (wire.hex_at(H, 0) == "30") & (wire.find(H, "78") >= 0) & (wire.find(H, "0A0100") >= 0)
-    message = wire.be(H, 3)  # bytes of the message id
+    reply = F.col("src_port").isin(*ports) & (wire.hex_at(_h(), 0) == "30") & (wire.find(_h(), "78") >= 0) & (wire.find(_h(), "0A0100") >= 0)
+    message = wire.be(_h(), 3)  # bytes of the message id
     bind = message + 4
     version = bind + 2
-    name = version + wire.be(H, version + 1) + 2
-    auth = name + wire.be(H, name + 1) + 2
-    good = to_server & (wire.hex_at(H, 0) == "30") & (wire.be(H, 1) < 128) & (wire.hex_at(H, 2) == "02") & (wire.hex_at(H, bind) == "60") & (wire.hex_at(H, version) == "02") & (wire.hex_at(H, name) == "04") & (wire.hex_at(H, auth) == "80")
+    name = version + wire.be(_h(), version + 1) + 2
+    auth = name + wire.be(_h(), name + 1) + 2
+    good = to_server & (wire.hex_at(_h(), 0) == "30") & (wire.be(_h(), 1) < 128) & (wire.hex_at(_h(), 2) == "02") & (wire.hex_at(_h(), bind) == "60") & (wire.hex_at(_h(), version) == "02") & (wire.hex_at(_h(), name) == "04") & (wire.hex_at(_h(), auth) == "80")
     before = Window.partitionBy("client", "server").orderBy("ts", "pkt_id").rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.select(*_BASE, client.alias("client"), server.alias("server"), F.coalesce(reply, F.lit(False)).alias("reply"), F.coalesce(good, F.lit(False)).alias("bind"), wire.be(H, version + 2).alias("version"), (wire.be(H, auth + 1) == 0).alias("anonymous"))
+    marked = rows.select(*_BASE, client.alias("client"), server.alias("server"), F.coalesce(reply, F.lit(False)).alias("reply"), F.coalesce(good, F.lit(False)).alias("bind"), wire.be(_h(), version + 2).alias("version"), (wire.be(_h(), auth + 1) == 0).alias("anonymous"))
     out = marked.withColumn("used_starttls", F.coalesce(F.max("reply").over(before), F.lit(False)))
     return out.where("bind").select(*_BASE, "version", "anonymous", "used_starttls")
 

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
 
-_ORDER = F.struct("ts", "pkt_id")
 FLOW_KEY = ["src_ip", "dst_ip", "dst_port", "proto"]
 
 
+def _order() -> Column:
+    return F.struct("ts", "pkt_id")
+
+
 def capture_totals(packets: DataFrame) -> DataFrame:
     """One row: packets, bytes (of payload), first and last by order, earliest and latest, and whether time ever runs back."""
     totals = packets.agg(
@@ -55,8 +58,8 @@ def hosts(packets: DataFrame, ot: Iterable[str] | None = None) -> DataFrame:
         F.array_sort(F.collect_set("label")).alias("protocols"),
         F.min_by(F.when(known, F.col("h.mac")), F.when(known, F.struct("ts", "pkt_id"))).alias("mac"),
         F.array_sort(F.collect_set(F.when(known, F.col("h.mac")))).alias("macs"),
-        F.min_by("ts", _ORDER).alias("first_seen"),
-        F.max_by("ts", _ORDER).alias("last_seen"),
+        F.min_by("ts", _order()).alias("first_seen"),
+        F.max_by("ts", _order()).alias("last_seen"),
     )
     return out.withColumn("in_ot", net.in_ot(F.col("ip"), ot))
 
@@ -68,9 +71,9 @@ def flows(packets: DataFrame) -> DataFrame:
     return rows.groupBy(*FLOW_KEY).agg(
         F.count("*").alias("packets"),
         F.sum("payload_len").alias("bytes"),
-        F.min_by("ts", _ORDER).alias("first_seen"),
-        F.max_by("ts", _ORDER).alias("last_seen"),
-        F.min_by("label", F.when(F.col("label").isNotNull(), _ORDER)).alias("label"),
+        F.min_by("ts", _order()).alias("first_seen"),
+        F.max_by("ts", _order()).alias("last_seen"),
+        F.min_by("label", F.when(F.col("label").isNotNull(), _order())).alias("label"),
         F.count_distinct("src_port").alias("connections"),
     )
 
