@@ -6,6 +6,7 @@ import ipaddress
 
 from ..functions.net import NO_FLY, PORT_LABELS, PRIVATE, RESERVED
 from ..operators import extract
+from ..operators.catalog import CATALOG
 from ..operators.inventory import SEED_OUIS
 from ..sources.packets import derived_sql
 from .fixtures import OT, POLICY, SPLIT, TRUSTED
@@ -278,6 +279,7 @@ ORACLE: dict[str, str] = {
             "modbus_units": "SELECT src_ip, dst_ip, count(DISTINCT unit_id) AS units FROM modbus GROUP BY 1, 2",
             "findings_all": _ALL,
             "findings_by_severity": f"SELECT severity, count(*) AS findings, CAST(sum(hits) AS BIGINT) AS hits FROM ({_ALL}) GROUP BY severity",
+            "findings_mitre": "SELECT technique, count(*) AS findings, CAST(sum(hits) AS BIGINT) AS hits FROM (" + _ALL + ") JOIN (VALUES " + ", ".join(f"('{r[0]}', '{t}')" for r in CATALOG for t in r[2]) + ") v(rule, technique) ON rule = rule_id GROUP BY technique",
             "assets": "SELECT ip, mac, vendor, role, packets, bytes, in_ot FROM assets",
             "asset_roles": "SELECT role, vendor, count(*) AS assets FROM assets GROUP BY 1, 2",
             "asset_top100": f"SELECT ip, role, packets FROM assets ORDER BY packets DESC, {_num('ip')} LIMIT 100",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import net
-from ..operators import conformance, drift, extract, inventory, observe, privacy, rules
+from ..operators import catalog, conformance, drift, extract, inventory, observe, privacy, rules
 from ..operators.trusted import unmatched_trusted
 from ..sources.packets import derived_packets
 from .fixtures import OT, POLICY, SPLIT, TRUSTED
@@ -148,6 +148,7 @@ QUERIES: dict[str, Query] = {
     "modbus_units": _of(lambda p: extract.modbus_units(p).drop("unit_ids")),
     "findings_all": _of(_findings),
     "findings_by_severity": _of(lambda p: _findings(p).groupBy("severity").agg(F.count("*").alias("findings"), F.sum("hits").alias("hits"))),
+    "findings_mitre": _of(lambda p: catalog.techniques(rules.run_rules(_context(p)))),
     "assets": _of(lambda p: _assets(p).select("ip", "mac", "vendor", "role", "packets", "bytes", "in_ot")),
     "asset_roles": _of(lambda p: _assets(p).groupBy("role", "vendor").agg(F.count("*").alias("assets"))),
     "asset_top100": _of(lambda p: inventory.top_assets(_assets(p)).select("ip", "role", "packets")),
