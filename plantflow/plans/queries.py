@@ -56,8 +56,13 @@ def _labels(p: DataFrame) -> DataFrame:
     return p.groupBy(label.alias("label"), net.proto_label(F.col("proto")).alias("transport"), net.no_fly_label(F.col("proto"), F.col("dst_port")).alias("no_fly")).agg(F.count("*").alias("packets"), F.sum("payload_len").alias("bytes"))
 
 
+def _all_findings(p: DataFrame) -> DataFrame:
+    """All rules over one relation that is derived by a join: it is made once and kept, spilling to disk."""
+    return rules.run_rules(_context(p.persist()))
+
+
 def _findings(p: DataFrame) -> DataFrame:
-    return rules.run_rules(_context(p)).select("rule_id", "entity", "severity", "hits", "items")
+    return _all_findings(p).select("rule_id", "entity", "severity", "hits", "items")
 
 
 def _addresses(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +153,7 @@ QUERIES: dict[str, Query] = {
     "modbus_units": _of(lambda p: extract.modbus_units(p).drop("unit_ids")),
     "findings_all": _of(_findings),
     "findings_by_severity": _of(lambda p: _findings(p).groupBy("severity").agg(F.count("*").alias("findings"), F.sum("hits").alias("hits"))),
-    "findings_mitre": _of(lambda p: catalog.techniques(rules.run_rules(_context(p)))),
+    "findings_mitre": _of(lambda p: catalog.techniques(_all_findings(p))),
     "assets": _of(lambda p: _assets(p).select("ip", "mac", "vendor", "role", "packets", "bytes", "in_ot")),
     "asset_roles": _of(lambda p: _assets(p).groupBy("role", "vendor").agg(F.count("*").alias("assets"))),
     "asset_top100": _of(lambda p: inventory.top_assets(_assets(p)).select("ip", "role", "packets")),
