@@ -50,10 +50,10 @@ def _line(value: Column) -> Column:
     return F.regexp_replace(value, r"[\r\n]+", " ")
 
 
-def write_archives(records: DataFrame, path: str, *, total_bytes: int, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip") -> None:
+def write_archives(records: DataFrame, path: str, *, compression: str = "gzip") -> None:
     """Write records (page_id, record_type, url, payload_digest, refers_to, payload as text) as WARC files.
 
-    A revisit has no block of its own. Rows are dealt evenly over total_bytes / archive_bytes files.
+    A revisit has no block of its own. Every partition becomes one archive.
     """
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, F.lit("")).otherwise(F.coalesce("payload", F.lit("")))
@@ -73,8 +73,7 @@ def write_archives(records: DataFrame, path: str, *, total_bytes: int, archive_b
         F.lit(_END),
         block,
     )
-    files = max(1, -(-int(total_bytes) // archive_bytes))
-    records.select(text.alias("value")).repartition(files).write.option("lineSep", _END * 2).option("compression", compression).text(path)
+    records.select(text.alias("value")).write.option("lineSep", _END * 2).option("compression", compression).text(path)
 
 
 def _parse(data: bytes) -> Iterator[tuple]:
@@ -149,12 +148,15 @@ def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     headers = written(headers, "headers")
     decided = written(deduplicated_headers(headers, least_bytes), "decided")
     kept = decided.where("record_type = 'response'").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    files = max(1, -(-int(kept) // archive_bytes))
+    # payloads are dealt out once, by page into archives; what was decided meets them there
+    dealt = F.coalesce("page_id", F.lit(-(1 << 63)))
     facts = decided.groupBy("page_id", "payload_digest").agg(F.first("record_type").alias("record_type"), F.first("refers_to_page").alias("refers_to_page"))
-    digested = base.withColumn("payload_digest", base32_sha1(data))
-    records = digested.join(facts, digested["page_id"].eqNullSafe(facts["page_id"]) & (digested["payload_digest"] == facts["payload_digest"])).select(digested["page_id"], "url", "payload", digested["payload_digest"], "record_type", F.when(F.col("refers_to_page").isNotNull(), _record_id(F.col("refers_to_page"))).alias("refers_to"))
-    # a revisit's payload stays behind before anything is dealt out
-    records = records.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
-    write_archives(records, path, total_bytes=kept, archive_bytes=archive_bytes)
+    facts = facts.withColumn("k", dealt).repartition(files, "k").select("k", F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest"), "record_type", "refers_to_page")
+    digested = base.withColumn("payload_digest", base32_sha1(data)).withColumn("k", dealt).repartition(files, "k")
+    same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("of_digest"))
+    records = digested.join(facts.hint("merge"), "k").where(same).select("page_id", "url", "payload", "payload_digest", "record_type", F.when(F.col("refers_to_page").isNotNull(), _record_id(F.col("refers_to_page"))).alias("refers_to"))
+    write_archives(records, path)
     return resolve_revisits(read_archives(spark, path))
 
 

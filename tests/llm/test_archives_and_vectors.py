@@ -5,7 +5,7 @@ import numpy as np
 
 from plantflow.llm.neighbours import nearest
 from plantflow.llm.sharding import shard
-from plantflow.llm.warc import archive_pages, read_archives, write_archives
+from plantflow.llm.warc import archive_pages, read_archives
 
 
 def test_revisits(spark, tmp_path):
