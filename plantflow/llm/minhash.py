@@ -37,6 +37,9 @@ LEADERS = 64
 #: Candidate ids are broadcast up to this count (8 bytes each), beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Text bytes sketched at once in a task.
+SLICE_BYTES = 1 << 20
+
 SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
 _MIX = seeded(SHINGLE * 64, 3) | np.uint64(1)
@@ -195,7 +198,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame, per_cent: int, shingle:
     members = written(_shared_buckets(classes), "buckets")
     wanted = members.select("node").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-    sets = with_struct(docs.join(wanted, "node", "left_semi"), "text", "s", SETS, lambda: lambda t: _full_sets(t, shingle))
+    sets = with_struct(docs.join(wanted, "node", "left_semi"), "text", "s", SETS, lambda: lambda t: _full_sets(t, shingle), SLICE_BYTES)
     sets = written(sets.select("node", F.col("s.shingles").alias("shingles")).distinct(), "sets")
     spark = classes.sparkSession
     node = members.schema["node"].dataType
@@ -227,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     dropped together. Order and partitions of the input change nothing.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketched = with_struct(base, "text", "s", SKETCH, lambda: lambda t: _sketches(t, shingle, bins, rows))
+    sketched = with_struct(base, "text", "s", SKETCH, lambda: lambda t: _sketches(t, shingle, bins, rows), SLICE_BYTES)
     sketched = written(sketched.select("doc_id", "s.*"), "sketches")
     key = ["set_a", "set_b", "n_shingles"]
     classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))

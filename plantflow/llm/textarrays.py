@@ -6,6 +6,8 @@ differences of one running polynomial sum, and never become Python strings.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes handled at once in a task; a longer document is handled alone.
-CHUNK_BYTES = 4 << 20
-_SEGMENT = 1 << 21
+CHUNK_BYTES = 2 << 20
+_SEGMENT = 1 << 20
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -143,6 +145,13 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a Python worker does not keep a past task's peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_struct(df: DataFrame, text: str, name: str, fields: T.StructType, start: Callable[[], Callable[[pa.Array], list]], most: int = CHUNK_BYTES) -> DataFrame:
     """df with a struct column computed from a text column.
 
@@ -161,6 +170,7 @@ def with_struct(df: DataFrame, text: str, name: str, fields: T.StructType, start
                 made = [a if isinstance(a, pa.Array) else pa.array(a, k.type) for a, k in zip(of(part.column(at)), kinds, strict=True)]
                 made = [a if a.type == k.type else a.cast(k.type) for a, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(made, fields=kinds)], names=arrow.names)
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _QUOTE = ord("'")
 #: Distinct words a task remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _ENCODED = 5_000
 
 
