@@ -16,6 +16,8 @@ ruled out by the sizes and what it can share, or already connected.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,9 +29,14 @@ from .tables import forget, written
 from .textarrays import BLANK_SPLIT, fresh_name, list_array, seeded, splitmix, with_struct, words
 
 SHINGLE = 5
-BINS = 64
 ROWS = 4
+#: Links of near_duplicates, and of drop_near_duplicates, if nothing else is asked for.
 PER_CENT = 85
+DROP_PER_CENT = 80
+#: A pair of just the asked similarity misses all bands with this probability at most.
+MISS = 7.5e-6
+#: Coordinates there are seeds for.
+MOST_BINS = 1024
 #: A bucket of so many members at most lists its unsettled pairs.
 SMALL_BUCKET = 40
 #: Members of a larger bucket compared with all of it in one round, after the first round's one.
@@ -43,7 +50,16 @@ SLICE_BYTES = 1 << 20
 SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
 _MIX = seeded(SHINGLE * 64, 3) | np.uint64(1)
-_SEEDS = seeded(2 * 1024, 5)
+_SEEDS = seeded(2 * MOST_BINS, 5)
+
+
+def bins_for(per_cent: int, rows: int = ROWS) -> int:
+    """Coordinates in bands of so many rows that miss a pair of per_cent with probability MISS at most."""
+    open_ = 1 - (per_cent / 100) ** rows
+    bands = max(1, math.ceil(math.log(MISS) / math.log(open_))) if open_ > 0 else 1
+    if bands * rows > MOST_BINS:
+        raise ValueError(f"{per_cent} per cent need {bands * rows} bins, more than {MOST_BINS}: take fewer rows")
+    return bands * rows
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +235,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame, per_cent: int, shingle:
     return labels
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, per_cent: int = PER_CENT, bins: int = BINS, rows: int = ROWS, small: int = SMALL_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, per_cent: int = PER_CENT, bins: int | None = None, rows: int = ROWS, small: int = SMALL_BUCKET) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are runs of non-blanks after folding A-Z; a set holds the distinct shingles of so many
@@ -227,8 +243,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     per_cent of the union or more, confirmed on the full sets. component_id is the smallest doc_id
     reachable. Null, empty and blank texts have no shingles and link with nothing. A row with a null
     id links with nothing and is kept. Rows that repeat an id are one document, and all are kept or
-    dropped together. Order and partitions of the input change nothing.
+    dropped together. Order and partitions of the input change nothing. bins: as many as per_cent needs.
     """
+    bins = bins or bins_for(per_cent, rows)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketched = with_struct(base, "text", "s", SKETCH, lambda: lambda t: _sketches(t, shingle, bins, rows), SLICE_BYTES)
     sketched = written(sketched.select("doc_id", "s.*"), "sketches")
@@ -242,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", per_cent: int = DROP_PER_CENT, **options) -> DataFrame:
     """docs with one document of each group of near duplicates, the one with the smallest id."""
-    gone = near_duplicates(docs, doc_id=doc_id, **options).where("NOT kept").select(F.col("doc_id").alias(mark := fresh_name(docs, "_gone"))).distinct()
+    gone = near_duplicates(docs, doc_id=doc_id, per_cent=per_cent, **options).where("NOT kept").select(F.col("doc_id").alias(mark := fresh_name(docs, "_gone"))).distinct()
     return docs.join(gone, F.col(doc_id) == F.col(mark), "left_anti")
