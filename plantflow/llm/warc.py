@@ -22,6 +22,8 @@ from .tables import shared_dir, written
 
 #: Bytes of payload in one archive, about.
 ARCHIVE_BYTES = 32 << 20
+#: Bytes of a record without its payload, about.
+HEADER_BYTES = 512
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n"
 RECORD = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("record_id", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("url", T.StringType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("payload", T.BinaryType())])
@@ -147,15 +149,22 @@ def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     headers = base.select("page_id", base32_sha1(data).alias("payload_digest"), F.octet_length("payload").cast("long").alias("bytes"))
     headers = written(headers, "headers")
     decided = written(deduplicated_headers(headers, least_bytes), "decided")
-    kept = decided.where("record_type = 'response'").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    files = max(1, -(-int(kept) // archive_bytes))
-    # payloads are dealt out once, by page into archives; what was decided meets them there
-    dealt = F.coalesce("page_id", F.lit(-(1 << 63)))
-    facts = decided.groupBy("page_id", "payload_digest").agg(F.first("record_type").alias("record_type"), F.first("refers_to_page").alias("refers_to_page"))
-    facts = facts.withColumn("k", dealt).repartition(files, "k").select("k", F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest"), "record_type", "refers_to_page")
-    digested = base.withColumn("payload_digest", base32_sha1(data)).withColumn("k", dealt).repartition(files, "k")
-    same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("of_digest"))
-    records = digested.join(facts.hint("merge"), "k").where(same).select("page_id", "url", "payload", "payload_digest", "record_type", F.when(F.col("refers_to_page").isNotNull(), _record_id(F.col("refers_to_page"))).alias("refers_to"))
+    # Payloads are dealt out once, and what was decided meets them there. The archives are counted from
+    # all that is dealt. No id or payload decides an archive: a (page, digest) of more than one archive
+    # is spread over salts, and there are fewer of those than archives.
+    dealt = decided.groupBy("page_id", "payload_digest").agg(F.sum(F.col("bytes") + HEADER_BYTES).alias("dealt"), F.first("record_type").alias("record_type"), F.first("refers_to_page").alias("refers_to_page"))
+    facts = written(dealt.withColumn("salts", F.ceil(F.col("dealt") / archive_bytes)), "facts")
+    files = max(1, -(-int(facts.agg(F.coalesce(F.sum("dealt"), F.lit(0))).first()[0]) // archive_bytes))
+    hot = facts.where("salts > 1").select(F.col("page_id").alias("hot"), F.col("payload_digest").alias("hot_digest"), "salts")
+    key = F.xxhash64(F.coalesce("page_id", F.lit(-(1 << 63))), "payload_digest", "salt")
+    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("k", key)
+    facts = facts.repartition(files, "k").select("k", F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest"), F.col("salt").alias("of_salt"), "record_type", "refers_to_page")
+    digested = base.withColumn("payload_digest", base32_sha1(data)).withColumn("row", F.monotonically_increasing_id())
+    is_hot = F.col("page_id").eqNullSafe(F.col("hot")) & (F.col("payload_digest") == F.col("hot_digest"))
+    salted = digested.join(F.broadcast(hot), is_hot, "left").withColumn("salt", F.pmod("row", F.coalesce("salts", F.lit(1).cast("long")))).select("page_id", "url", "payload", "payload_digest", "salt")
+    salted = salted.withColumn("k", key).repartition(files, "k")
+    same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("of_digest")) & (F.col("salt") == F.col("of_salt"))
+    records = salted.join(facts.hint("merge"), "k").where(same).select("page_id", "url", "payload", "payload_digest", "record_type", F.when(F.col("refers_to_page").isNotNull(), _record_id(F.col("refers_to_page"))).alias("refers_to"))
     write_archives(records, path)
     return resolve_revisits(read_archives(spark, path))
 
