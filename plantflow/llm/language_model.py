@@ -5,7 +5,7 @@ predicts the word there: first its class, then the word within the class, so a p
 small softmaxes. The vocabulary is counted over all texts: the most frequent words, in classes of
 neighbouring frequency, have entries of their own, all others share hashed ones. Training is numpy
 inside Spark tasks, by rounds of parameter averaging: every partition starts from the round's model,
-goes through all its texts with every STRIDE-th position masked (a different one each round), and
+goes through all its texts with one position in ROUNDS masked (the others in the other rounds), and
 the models are averaged in the shuffle, weighted by what they saw. So what is gathered grows with the
 corpus. Scoring predicts every token of every text from both sides and sums its conditional log-probability.
 """
@@ -30,9 +30,8 @@ SHARED = 256
 CLASS = 64
 WINDOW = 2
 SIZE = 16
+#: Each round masks another one of so many positions, so together they learn from every position once.
 ROUNDS = 2
-#: One position in so many is masked in a round of training.
-STRIDE = 8
 RATE = 0.1
 _CHUNK = 1 << 20
 _STEP = 2048
@@ -178,6 +177,11 @@ class WindowNet:
                 yield name, k, flat[a : a + (1 << 14)]
 
 
+def masked_places(place: np.ndarray, round_: int, stride: int) -> np.ndarray:
+    """The places to learn from in a round; so many rounds as stride have each place once."""
+    return place[(place + round_) % stride == 0]
+
+
 def _averaged(docs: DataFrame, text: str, net: WindowNet, round_: int, stride: int, rate: float) -> None:
     """One round: every partition trains on all its texts; net becomes the average by masked places.
 
@@ -195,7 +199,7 @@ def _averaged(docs: DataFrame, text: str, net: WindowNet, round_: int, stride: i
         for batch in batches:
             for part in slices(batch, at, _CHUNK):
                 line, place, _ = own.padded(part.column(at))
-                masked = place[(place + round_) % stride == 0]
+                masked = masked_places(place, round_, stride)
                 own.train(line, np.random.default_rng(round_).permutation(masked), rate)
                 seen += masked.size
         if not seen:
@@ -227,8 +231,14 @@ def _averaged(docs: DataFrame, text: str, net: WindowNet, round_: int, stride: i
         flat[r["block"] * (1 << 14) : r["block"] * (1 << 14) + data.size] = data
 
 
-def fit_language_model(docs: DataFrame, *, text: str = "text", own: int = OWN, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> WindowNet:
-    """The network trained on all texts. Null and empty texts add nothing; without words it is untrained."""
+def fit_language_model(docs: DataFrame, *, text: str = "text", own: int = OWN, rounds: int = ROUNDS, stride: int | None = None, rate: float = RATE) -> WindowNet:
+    """The network trained on all texts. Null and empty texts add nothing; without words it is untrained.
+
+    stride, rounds by default, may not be larger than rounds: every position is learned from.
+    """
+    stride = stride or rounds
+    if stride > rounds:
+        raise ValueError(f"{rounds} rounds leave out positions at a stride of {stride}")
     rows = docs.select(F.col(text).cast("string").alias("text"))
     hashes, counts, total = frequent_words(rows, "text", own)
     net = WindowNet(Vocabulary(hashes), counts, total)
