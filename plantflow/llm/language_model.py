@@ -3,7 +3,10 @@
 The network sees the words on both sides of a position (their embeddings, weighted by distance) and
 predicts the word there: first its class, then the word within the class, so a prediction costs two
 small softmaxes. The vocabulary is counted over all texts: the most frequent words, in classes of
-neighbouring frequency, have entries of their own, all others share hashed ones. Training is numpy
+neighbouring frequency, have entries of their own, all others share hashed ones. The numbers of own
+words, shared entries and words of a class grow with the root of the vocabulary. The table of all word
+counts stays in Spark: a word without an entry has its share of the count of its shared entry, joined
+by shuffle when texts are scored. Training is numpy
 inside Spark tasks, by rounds of parameter averaging: every partition starts from the round's model,
 goes through all its texts with one position in ROUNDS masked (the others in the other rounds), and
 the models are averaged in the shuffle, weighted by what they saw. So what is gathered grows with the
@@ -12,22 +15,27 @@ corpus. Scoring predicts every token of every text from both sides and sums its
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import written
-from .textarrays import ALNUM_SPLIT, slices, with_struct, words
+from .textarrays import ALNUM_SPLIT, list_array, slices, with_struct, words
 
-#: Words with an entry of their own, hashed entries for all others, words of a class.
+#: Words with an entry of their own, hashed entries for all others, words of a class: at least.
 OWN = 3840
 SHARED = 256
 CLASS = 64
+#: Own words are so many times the root of the number of distinct words, where that is more.
+OWN_PER_ROOT = 4
+#: Weight in its shared entry of all words that were never counted.
+UNSEEN = 0.5
 WINDOW = 2
 SIZE = 16
 #: Each round masks another one of so many positions, so together they learn from every position once.
@@ -35,7 +43,7 @@ ROUNDS = 2
 RATE = 0.1
 _CHUNK = 1 << 20
 _STEP = 2048
-_SCORE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())])
+_SCORE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("others", T.ArrayType(T.LongType()))])
 
 
 class Vocabulary:
@@ -57,8 +65,8 @@ class Vocabulary:
         return out
 
 
-def frequent_words(docs: DataFrame, text: str, own: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes and counts of the own most frequent words of all texts, most frequent first, ties by hash; and how many words there are."""
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """h, n: the hash and count of every word of all texts, as a written table."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,12 +75,34 @@ def frequent_words(docs: DataFrame, text: str, own: int) -> tuple[np.ndarray, np
                 h, n = np.unique(words(part.column(at), ALNUM_SPLIT)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    counts = written(docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    return written(docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+
+
+def frequent_words(counts: DataFrame, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the own most frequent words, most frequent first, ties by hash."""
     top = counts.orderBy(F.desc("n"), "h").limit(own).toArrow()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not top.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0), 0
-    return top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(float), total
+        return np.zeros(0, np.uint64), np.zeros(0)
+    return top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(float)
+
+
+def bucket_of(h: Column, shared: int) -> Column:
+    """The shared entry of a hash: the remainder of its 64 bits without a sign."""
+    m = F.lit(shared).cast("long")
+    return F.pmod(F.pmod(h, m) + F.when(h < 0, F.lit((1 << 64) % shared)).otherwise(F.lit(0)), m)
+
+
+def with_log_share(tokens: DataFrame, rare: DataFrame, shared: int) -> DataFrame:
+    """tokens (h, ...) with log_share: of a word without an entry of its own in its shared entry.
+
+    rare: h, n of all such words. Counts are smoothed by UNSEEN, and all words that were never
+    counted have one place of that weight, so the shares of an entry sum to one.
+    """
+    buckets = rare.groupBy(bucket_of(F.col("h"), shared).alias("bucket")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    known = tokens.join(rare, "h", "left").withColumn("bucket", bucket_of(F.col("h"), shared)).join(F.broadcast(buckets), "bucket", "left")
+    zero = F.lit(0).cast("long")
+    share = (F.coalesce("n", zero) + UNSEEN) / (F.coalesce("all", zero) + UNSEEN * (F.coalesce("kinds", zero) + 1))
+    return known.withColumn("log_share", F.log(share)).drop("n", "bucket", "all", "kinds")
 
 
 class WindowNet:
@@ -231,20 +261,33 @@ def _averaged(docs: DataFrame, text: str, net: WindowNet, round_: int, stride: i
         flat[r["block"] * (1 << 14) : r["block"] * (1 << 14) + data.size] = data
 
 
-def fit_language_model(docs: DataFrame, *, text: str = "text", own: int = OWN, rounds: int = ROUNDS, stride: int | None = None, rate: float = RATE) -> WindowNet:
+def fit_language_model(docs: DataFrame, *, text: str = "text", own: int | None = None, rounds: int = ROUNDS, stride: int | None = None, rate: float = RATE) -> WindowNet:
     """The network trained on all texts. Null and empty texts add nothing; without words it is untrained.
 
     stride, rounds by default, may not be larger than rounds: every position is learned from.
     """
+    return _fitted(docs, text, own, rounds, stride, rate)[0]
+
+
+def _fitted(docs: DataFrame, text: str = "text", own: int | None = None, rounds: int = ROUNDS, stride: int | None = None, rate: float = RATE) -> tuple[WindowNet, DataFrame]:
+    """The network, and h, n of all words that have no entry of their own."""
     stride = stride or rounds
     if stride > rounds:
         raise ValueError(f"{rounds} rounds leave out positions at a stride of {stride}")
     rows = docs.select(F.col(text).cast("string").alias("text"))
-    hashes, counts, total = frequent_words(rows, "text", own)
-    net = WindowNet(Vocabulary(hashes), counts, total)
+    all_words = word_counts(rows, "text")
+    kinds, total = all_words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    own = own or max(OWN, OWN_PER_ROOT * math.isqrt(kinds))
+    hashes, counts = frequent_words(all_words, own)
+    shared = max(SHARED, own // 15)
+    class_size = max(CLASS, 1 << round(math.log2(own + shared) / 2))
+    net = WindowNet(Vocabulary(hashes, shared, class_size), counts, total)
     for k in range(rounds):
         _averaged(rows, "text", net, k, stride, rate / (1 + k))
-    return net
+    if not hashes.size:
+        return net, all_words
+    n, h = int(counts[-1]), int(hashes[-1:].view(np.int64)[0])
+    return net, all_words.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h)))
 
 
 def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -252,7 +295,7 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     A text without words has 0 tokens, a sum of 0 and a null mean.
     """
-    net = fit_language_model(docs, text=text, **options)
+    net, rare = _fitted(docs, text, **options)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def start():
@@ -261,10 +304,18 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         def score(texts: pa.Array) -> list:
             line, place, row = own.padded(texts)
             n = len(texts)
-            return [pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(np.bincount(row, weights=own.log_probabilities(line, place), minlength=n).astype(float))]
+            likelihood = np.bincount(row, weights=own.log_probabilities(line, place), minlength=n).astype(float)
+            other = line[place] >= own.vocabulary.own
+            hashes = words(texts, ALNUM_SPLIT)[0][other].view(np.int64)
+            return [pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(likelihood), list_array(hashes, row[other], n, pa.int64())]
 
         return score
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scored = with_struct(base, "text", "s", _SCORE, start, _CHUNK).select("doc_id", "s.*")
-    return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+    scored = with_struct(base, "text", "s", _SCORE, start, _CHUNK).select(F.monotonically_increasing_id().alias("row"), "doc_id", "s.*")
+    scored = written(scored, "scores")
+    tokens = scored.select("row", F.explode("others").alias("h"))
+    shares = with_log_share(tokens, rare, net.vocabulary.shared).groupBy("row").agg(F.sum("log_share").alias("share"))
+    out = scored.drop("others").join(shares, "row", "left")
+    out = out.select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("share", F.lit(0.0))).alias("log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
