@@ -21,6 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..schemas import PACKETS
 
 ETHERNET = 1
+#: Link type, units a second and most bytes of packets whose interface no block declares.
+UNDECLARED = (ETHERNET, 1_000_000, 0)
 SCHEMA = T.StructType([*PACKETS.fields, T.StructField("capture_id", T.StringType()), T.StructField("capture_seq", T.IntegerType())])
 _BATCH = 4096
 
@@ -29,15 +31,19 @@ class CaptureError(ValueError):
     """A capture that cannot be read; the message names the file."""
 
 
+def _exactly(f, size: int) -> bytes:
+    data = f.read(size) if size >= 0 else b""
+    if size < 0 or len(data) < size:
+        raise CaptureError(f"{f.name}: truncated or damaged file")
+    return data
+
+
 def _classic(f, order: str, per_second: int) -> Iterator[tuple[int, int, bytes]]:
     """link type, microseconds and frame of each record."""
-    link = struct.unpack(order + "HHiIII", f.read(20))[5]
-    while len(head := f.read(16)) == 16:
-        seconds, part, size, _ = struct.unpack(order + "IIII", head)
-        data = f.read(size)
-        if len(data) < size:
-            return
-        yield link, seconds * 1_000_000 + part * 1_000_000 // per_second, data
+    link = struct.unpack(order + "HHiIII", _exactly(f, 20))[5]
+    while head := f.read(16):
+        seconds, part, size, _ = struct.unpack(order + "IIII", head + _exactly(f, 16 - len(head)))
+        yield link, seconds * 1_000_000 + part * 1_000_000 // per_second, _exactly(f, size)
 
 
 def _options(data: bytes, order: str) -> Iterator[tuple[int, bytes]]:
@@ -52,31 +58,35 @@ def _options(data: bytes, order: str) -> Iterator[tuple[int, bytes]]:
 
 def _blocks(f, first: bytes) -> Iterator[tuple[int, int, bytes]]:
     """The same of a file of blocks; every section has its own byte order and interfaces."""
-    order, links, head = "<", [], first + f.read(4)
-    while len(head) == 8:
+    order, links, head = "<", [], first + _exactly(f, 4)
+    while head:
+        head += _exactly(f, 8 - len(head))
         kind = struct.unpack(order + "I", head[:4])[0]
         if kind == 0x0A0D0D0A:
-            magic = f.read(4)
+            magic = _exactly(f, 4)
             order = "<" if magic == b"\x4d\x3c\x2b\x1a" else ">"
             links = []
             size = struct.unpack(order + "I", head[4:])[0]
-            f.read(size - 12)
+            _exactly(f, size - 12)
             head = f.read(8)
             continue
         size = struct.unpack(order + "I", head[4:])[0]
-        body = f.read(size - 12)
-        f.read(4)
+        body = _exactly(f, size - 12)
+        _exactly(f, 4)
         if kind == 1 and len(body) >= 8:
             unit = 1_000_000
             for code, value in _options(body[8:], order):
                 if code == 9 and value:
                     unit = 2 ** (value[0] & 0x7F) if value[0] & 0x80 else 10 ** value[0]
-            links.append((struct.unpack_from(order + "H", body)[0], unit))
+            links.append((struct.unpack_from(order + "H", body)[0], unit, struct.unpack_from(order + "I", body, 4)[0]))
         elif kind == 6 and len(body) >= 20:
             which, high, low, kept, _ = struct.unpack_from(order + "IIIII", body)
-            if which < len(links):
-                link, unit = links[which]
-                yield link, ((high << 32) | low) * 1_000_000 // unit, body[20 : 20 + kept]
+            link, unit, _ = links[which] if which < len(links) else UNDECLARED
+            yield link, ((high << 32) | low) * 1_000_000 // unit, body[20 : 20 + kept]
+        elif kind == 3 and len(body) >= 4:  # a simple packet has no time
+            link, _, most = links[0] if links else UNDECLARED
+            kept = struct.unpack_from(order + "I", body)[0]
+            yield link, 0, body[4 : 4 + (min(kept, most) if most else kept)]
         head = f.read(8)
 
 
