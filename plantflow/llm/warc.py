@@ -37,9 +37,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*letters)
 
 
-def _record_id(page_id: Column) -> Column:
-    """A stable URN of a page's record; null pages have one of their own."""
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null"))).cast("binary"))
+def _record_id(page_id: Column, digest: Column) -> Column:
+    """A stable URN of a page's record with a payload; null pages have one of their own."""
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(digest, F.lit(""))).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
@@ -63,7 +63,7 @@ def write_archives(records: DataFrame, path: str, *, compression: str = "gzip")
     text = F.concat(
         F.lit("WARC/1.1" + _END),
         _header("WARC-Type", F.col("record_type")),
-        _header("WARC-Record-ID", _record_id(F.col("page_id"))),
+        _header("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"))),
         _header("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
         _header("WARC-Target-URI", _line(F.col("url"))),
         _header("X-Page-ID", F.col("page_id").cast("string")),
@@ -164,7 +164,7 @@ def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     salted = digested.join(F.broadcast(hot), is_hot, "left").withColumn("salt", F.pmod("row", F.coalesce("salts", F.lit(1).cast("long")))).select("page_id", "url", "payload", "payload_digest", "salt")
     salted = salted.withColumn("k", key).repartition(files, "k")
     same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("of_digest")) & (F.col("salt") == F.col("of_salt"))
-    records = salted.join(facts.hint("merge"), "k").where(same).select("page_id", "url", "payload", "payload_digest", "record_type", F.when(F.col("refers_to_page").isNotNull(), _record_id(F.col("refers_to_page"))).alias("refers_to"))
+    records = salted.join(facts.hint("merge"), "k").where(same).select("page_id", "url", "payload", "payload_digest", "record_type", F.when(F.col("refers_to_page").isNotNull(), _record_id(F.col("refers_to_page"), F.col("payload_digest"))).alias("refers_to"))
     write_archives(records, path)
     return resolve_revisits(read_archives(spark, path))
 
@@ -172,7 +172,7 @@ def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per archived record, revisits joined to the responses they refer to."""
     rows = written(records.select("page_id", "record_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("digest")), "records")
-    responses = rows.where("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("of"), F.first("payload_bytes").alias("of_bytes"), F.first("digest").alias("of_digest"))
-    revisits = rows.where("record_type = 'revisit'").join(responses.withColumnRenamed("record_id", "refers_to"), "refers_to", "left").select("page_id", F.col("of_bytes").alias("payload_bytes"), F.col("of_digest").alias("payload_digest"), "record_type", F.col("of").alias("refers_to"))
+    responses = rows.where("record_type = 'response'").groupBy("record_id", "payload_digest").agg(F.first("page_id").alias("of"), F.first("payload_bytes").alias("of_bytes"), F.first("digest").alias("of_digest"))
+    revisits = rows.where("record_type = 'revisit'").join(responses.withColumnRenamed("record_id", "refers_to"), ["refers_to", "payload_digest"], "left").select("page_id", F.col("of_bytes").alias("payload_bytes"), F.col("of_digest").alias("payload_digest"), "record_type", F.col("of").alias("refers_to"))
     own = rows.where("record_type <> 'revisit'").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     return own.unionByName(revisits)
