@@ -1,39 +1,41 @@
 """Best-fit packing of documents into sequences in bulk-synchronous rounds.
 
 Round: unplaced documents and the gaps of open sequences are range-sorted together by size, largest
-first. Every partition sweeps once with a stack of gaps; a document takes the smallest gap at least as
-long as itself that no larger document took. What a partition leaves over is matched across
-partitions by rank from the partitions' counts alone: left documents take the gaps left most recently
-before them, as one global sweep would. Then gaps shrink and the next round begins. A gap takes one
-unit a round: a document, or, while there are many for each gap, a bundle of short ones that is undone
-if it finds no gap. New sequences are opened with the largest documents left, as many as the tokens
-left need beyond the usable gaps. The last FINISH items and gaps, a fixed number, are placed in one task.
-
-Every round is written to the shared folder. The driver sees two counts for each partition.
+first, into partitions of equally many documents. A gap goes to the partition of the largest
+documents that it can be the successor of, as one sweep over the counts by size tells; where more
+rows of a size compete than a partition needs, their rank (of a hash) decides. Every partition then
+sweeps from its largest document to its smallest: a document takes the smallest gap that holds it,
+and what is left of the gap goes on in the sweep. What finds no partner goes into the next round
+with the updated gaps. New sequences are opened in the sweep for the largest documents, as many as
+the tokens left need beyond the room of the usable gaps.
+
+A round is one job that writes one table of the shared folder, and one count by size: at most two
+numbers for each size up to the capacity reach the driver, however many documents there are.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .tables import forget, written
-from .textarrays import with_struct
+from .tables import read_stored, remove, stored
+from .textarrays import splitmix, with_struct
 from .wordbpe import WordBpe
 
 CAPACITY = 4096
 END_ID = 1
-#: Items and gaps that are left in the end, at most, for one task to place.
-FINISH = 10_000
+#: A partition of a round has documents for so many sequences at least, as far as there are two of them.
+PART_SEQUENCES = 8
+#: When what is left needs one sequence in so many, or a round placed little, sequences are opened for all of it.
+SLACK = 400
 
 _PIECE = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
 PIECES = T.StructType([T.StructField("pieces", T.ArrayType(T.StructType(_PIECE)))])
@@ -71,217 +73,229 @@ def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return cut.select("doc_id", F.explode("p.pieces").alias("p")).select("doc_id", "p.*")
 
 
-def _bundles(items: DataFrame, small: int, most: int) -> DataFrame:
-    """Items (length, members) with those up to small joined in bundles of up to most tokens, as a task meets them.
-
-    Every item has one member; longer items stay alone.
+@dataclass
+class Deal:
+    """Which partition of a round a document or a gap goes to."""
+
+    partitions: int
+    #: New sequences of each partition.
+    fresh: np.ndarray
+    #: Rank of the first document of each size from the largest one, documents of each size, of a partition.
+    first: np.ndarray
+    count: np.ndarray
+    each: int
+    #: Runs of gaps by size plus rank (0 to 1): where a run begins and ends, its first partition and how many it is spread over.
+    begin: np.ndarray
+    end: np.ndarray
+    part: np.ndarray
+    width: np.ndarray
+
+    def documents(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        at = self.first[size] + np.minimum((rank * self.count[size]).astype(np.int64), self.count[size] - 1)
+        return at // self.each
+
+    def gaps(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """-1 for a gap that is too small for any document left."""
+        if not self.begin.size:
+            return np.full(size.size, -1, np.int64)
+        key = size + rank
+        run = np.maximum(np.searchsorted(self.begin, key, side="right") - 1, 0)
+        part = self.part[run] + (np.clip((key - self.begin[run]) / (self.end[run] - self.begin[run]), 0, 0.999999) * self.width[run]).astype(np.int64)
+        return np.where((key >= self.begin[run]) & (key < self.end[run]), part, -1)
+
+
+def _runs(documents: np.ndarray, each: int, partitions: int) -> tuple[np.ndarray, ...]:
+    """first rank by size; largest size, documents and tokens of each partition."""
+    first = (np.cumsum(documents[::-1]) - documents[::-1])[::-1]
+    largest, many, tokens = (np.zeros(partitions, np.int64) for _ in range(3))
+    for size in np.flatnonzero(documents)[::-1].tolist():
+        a, b = int(first[size]), int(first[size] + documents[size])
+        for p in range(a // each, (b - 1) // each + 1):
+            n = min(b, (p + 1) * each) - max(a, p * each)
+            largest[p] = largest[p] or size
+            many[p] += n
+            tokens[p] += n * size
+    return first, largest, many, tokens
+
+
+def deal(documents: np.ndarray, gaps: np.ndarray, partitions: int, open_more: bool = False) -> Deal:
+    """The deal of a round from the numbers of documents and of gaps by size.
+
+    Sweeping from the largest documents down with a stack of gap sizes, each partition gets the smallest
+    gaps that hold its largest document, until they have room for its documents. Gaps that are left over
+    are spread. Sequences are opened for what the usable gaps have no room for, or for all documents
+    left with open_more.
     """
-    schema = items.select("length", "members").schema
+    capacity = documents.size - 1
+    sizes = np.arange(capacity + 1)
+    total = int((documents * sizes).sum())
+    partitions = int(min(partitions, max(2, total // (PART_SEQUENCES * capacity))))
+    each = max(1, -(-int(documents.sum()) // partitions))
+    first, largest, many, tokens = _runs(documents, each, partitions)
+    least = int(np.flatnonzero(documents)[0])
+    room = int((gaps * sizes)[least:].sum())
+    most = int(np.flatnonzero(gaps)[-1]) if gaps.any() else 0
+    above = int((documents * sizes)[most + 1 :].sum())
+    need = max(-(-(total - room) // capacity), -(-above // capacity), -(-total // capacity) if open_more else 0, 0)
+    fresh, left = np.zeros(partitions, np.int64), gaps.copy()
+    shares: dict[int, list[tuple[int, int, int]]] = {}
+    stack, after = [], capacity
+    for p in np.flatnonzero(many).tolist():
+        while after >= largest[p]:
+            if left[after]:
+                stack.append(after)
+            after -= 1
+        mean, want = tokens[p] / many[p], int(many[p])
+        while want > 0 and stack:
+            holds = max(1, int(stack[-1] / mean))
+            n = min(int(left[stack[-1]]), -(-want // holds))
+            shares.setdefault(stack[-1], []).append((n, p, 1))
+            left[stack[-1]] -= n
+            want -= n * holds
+            if not left[stack[-1]]:
+                stack.pop()
+        if want > 0 and need > 0:
+            holds = max(1, int(capacity / mean))
+            fresh[p] = min(need, -(-want // holds))
+            need -= int(fresh[p])
+    used = np.flatnonzero(many)
+    for size in np.flatnonzero(left[least:]).tolist():
+        size += least
+        fits = used[largest[used] <= size]
+        p = int(fits[0]) if fits.size else int(used[-1])
+        shares.setdefault(size, []).append((int(left[size]), p, int(used[-1]) - p + 1))
+    begin, end, part, width = [], [], [], []
+    for size, runs in sorted(shares.items()):
+        done = 0
+        for n, p, w in runs:
+            begin.append(size + done / gaps[size])
+            done += n
+            end.append(size + done / gaps[size])
+            part.append(p)
+            width.append(w)
+    return Deal(partitions, fresh, first, documents, each, *(np.array(x) for x in (begin, end)), *(np.array(x, np.int64) for x in (part, width)))
+
+
+def _state(row: T.DataType) -> T.StructType:
+    """Rows of a round's table: state 0 is a placed document, 1 one that is left, 2 an open sequence and its gap."""
+    return T.StructType([T.StructField("state", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("size", "salt", "sequence_id", "offset")), T.StructField("row", row)])
+
+
+def _ranks(salt: np.ndarray, round_: int) -> np.ndarray:
+    """Numbers from 0 to 1 of a hash, other ones each round."""
+    with np.errstate(over="ignore"):
+        return (splitmix(splitmix(salt.view(np.uint64) + np.uint64(round_ + 1))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _dealt(state: DataFrame, plan: Deal, round_: int) -> DataFrame:
+    """What is left of a round's table, with its partition in the next round."""
+    schema = T.StructType([T.StructField("part", T.IntegerType()), *state.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        kind = arrow.field("members").type
         for batch in batches:
-            lengths = batch.column("length").to_numpy()
-            order = np.argsort(lengths <= small, kind="stable")
-            heads, sums, inside = [], [], []
-            for i, n in enumerate(lengths[order].tolist()):
-                if n > small or not sums or sums[-1] + n > most or lengths[order[heads[-1]]] > small:
-                    heads.append(i)
-                    sums.append(0)
-                inside.append(sums[-1])
-                sums[-1] += n
-            members = batch.column("members").flatten().take(pa.array(order))
-            fields = {f.name: members.field(i) for i, f in enumerate(members.type)}
-            fields["within"] = pa.array(inside, pa.int64())
-            one = pa.StructArray.from_arrays([fields[f.name].cast(f.type) for f in kind.value_type], fields=list(kind.value_type))
-            lists = pa.ListArray.from_arrays(pa.array([*heads, len(lengths)], pa.int32()), one).cast(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), lists], schema=arrow)
-
-    return items.select("length", "members").mapInArrow(run, schema)
-
-
-def _single(items: DataFrame) -> DataFrame:
-    """Items of one member each, out of bundles."""
-    names = [f.name for f in items.schema["members"].dataType.elementType if f.name != "within"]
-    m = items.select(F.explode("members").alias("m"))
-    return m.select(F.col("m.length").cast("long").alias("length"), F.array(F.struct(*(F.col("m")[c].alias(c) for c in names), F.lit(0).cast("long").alias("within"))).alias("members"))
-
-
-def _sweep(items: DataFrame, gaps: DataFrame, partitions: int) -> DataFrame:
-    """state 0: an item and the gap it takes; 1: an item left; 2: a gap left. part and idx rank what is left."""
-    members = items.schema["members"]
-    nothing = F.lit(None).cast(members.dataType)
-    rows = items.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("sequence_id"), "members", F.xxhash64("members").alias("salt"))
-    rows = rows.unionByName(gaps.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), "sequence_id", nothing.alias("members"), F.xxhash64("sequence_id").alias("salt")))
-    order = [F.desc("size"), F.asc("kind"), F.asc("salt")]
-    fields = [T.StructField("state", T.IntegerType()), T.StructField("part", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("idx", "length", "sequence_id", "gap")), T.StructField("members", members.dataType)]
-    schema = T.StructType(fields)
+            kind, size = batch.column("state").to_numpy(), batch.column("size").to_numpy()
+            rank = _ranks(batch.column("salt").to_numpy(), round_)
+            part = np.full(kind.size, -1, np.int64)
+            part[kind == 1] = plan.documents(size[kind == 1], rank[kind == 1])
+            part[kind == 2] = plan.gaps(size[kind == 2], rank[kind == 2])
+            out = pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(c.cast(f.type) for c, f in zip(batch.columns, list(arrow)[1:], strict=True))], schema=arrow)
+            yield out.filter(pa.array(part >= 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, part = to_arrow_schema(schema), TaskContext.get().partitionId()
-        stack: list[tuple[int, int]] = []
-        left = 0
-        for batch in batches:
-            sizes, kinds = batch.column("size").to_pylist(), batch.column("kind").to_pylist()
-            ids = batch.column("sequence_id").to_pylist()
-            out: list[list] = [[], [], [], [], [], []]
-            at = []
-            for i, size in enumerate(sizes):
-                if kinds[i] == 0:
-                    stack.append((ids[i], size))
-                    continue
-                at.append(i)
-                if stack:
-                    sequence, gap = stack.pop()
-                    row = (0, part, None, size, sequence, gap)
-                else:
-                    row = (1, part, left, size, None, None)
-                    left += 1
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            if at:
-                kept = batch.column("members").take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, arrow.field(k).type) for k, c in enumerate(out)), kept.cast(arrow.field(6).type)], schema=arrow)
-        for a in range(0, len(stack), 50_000):
-            some = stack[a : a + 50_000]
-            n = len(some)
-            columns = [[2] * n, [part] * n, list(range(a, a + n)), [None] * n, [s for s, _ in some], [g for _, g in some]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, arrow.field(k).type) for k, c in enumerate(columns)), pa.nulls(n, arrow.field(6).type)], schema=arrow)
+    return state.where("state > 0").mapInArrow(run, schema)
 
-    return rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
-
-def _across(left: dict[int, int], gaps: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
-    """Runs (part, from, to, gap part, first gap idx) of items that take gaps of other partitions, and how many items each partition places so."""
-    runs, placed, stack = [], {}, []
-    for part in sorted({*left, *gaps}):
-        done = 0
-        while done < left.get(part, 0) and stack:
-            where, count = stack.pop()
-            n = min(count, left[part] - done)
-            runs.append((part, done, done + n, where, count - 1))
-            done += n
-            if count > n:
-                stack.append((where, count - n))
-        placed[part] = done
-        if gaps.get(part):
-            stack.append((part, gaps[part]))
-    return runs, placed
-
-
-def _settled(swept: DataFrame, cap: int) -> DataFrame:
-    """The next state: 0 placed (offset), 1 items left (rank from the largest), 2 gaps."""
-    spark = swept.sparkSession
-    counts = swept.where("state > 0").groupBy("state", "part").agg(F.count("*").alias("n")).collect()
-    left, gaps = ({r["part"]: r["n"] for r in counts if r["state"] == s} for s in (1, 2))
-    runs, placed = _across(left, gaps)
-    ranks, total = [], 0
-    for part in sorted(left):
-        ranks.append((part, total - placed[part], placed[part]))
-        total += left[part] - placed[part]
-    runs_df = spark.createDataFrame(runs, "part int, low long, high long, gap_part int, top long")
-    ranks_df = spark.createDataFrame(ranks, "part int, base long, done long")
-    items, open_ = swept.where("state = 1").drop("state", "sequence_id", "gap"), swept.where("state = 2")
-    runs_b = F.broadcast(runs_df)  # two rows a partition
-    meets = items.join(runs_b, "part").where("idx >= low AND idx < high").select("length", "members", F.col("gap_part").alias("part"), F.expr("top - (idx - low)").alias("idx"))
-    both = open_.select("part", "idx", "sequence_id", "gap").join(meets, ["part", "idx"], "left")
-    taken = swept.where("state = 0").select("length", "members", "sequence_id", "gap").unionByName(both.where("length IS NOT NULL").select("length", "members", "sequence_id", "gap"))
-    none, no_members = F.lit(None).cast("long"), F.lit(None).cast(items.schema["members"].dataType)
-    out = taken.select(F.lit(0).alias("state"), "length", "members", "sequence_id", (cap - F.col("gap")).alias("offset"), none.alias("gap"), none.alias("rank"))
-    out = out.unionByName(taken.where("gap > length").select(F.lit(2).alias("state"), none.alias("length"), no_members.alias("members"), "sequence_id", none.alias("offset"), (F.col("gap") - F.col("length")).alias("gap"), none.alias("rank")))
-    out = out.unionByName(both.where("length IS NULL").select(F.lit(2).alias("state"), none.alias("length"), no_members.alias("members"), "sequence_id", none.alias("offset"), "gap", none.alias("rank")))
-    rest = items.join(F.broadcast(ranks_df), "part").where("idx >= done").withColumn("rank", F.col("base") + F.col("idx"))
-    return out.unionByName(rest.select(F.lit(1).alias("state"), "length", "members", none.alias("sequence_id"), none.alias("offset"), none.alias("gap"), "rank"))
-
-
-def _seeded(items: DataFrame, ids, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Items that open a sequence each: placed rows, and the gaps they leave."""
-    rows = items.select("length", "members", ids.alias("sequence_id"))
-    return rows.select("members", "sequence_id", F.lit(0).cast("long").alias("offset")), rows.where(F.col("length") < cap).select("sequence_id", (cap - F.col("length")).alias("gap"))
-
-
-def _finish(items: DataFrame, gaps: DataFrame, cap: int) -> DataFrame:
-    """Placed rows of the last FINISH items and gaps, by one best-fit pass in one task, largest first."""
-    members = items.schema["members"]
-    schema = T.StructType([members, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    rows = items.select(F.lit(1).alias("kind"), F.col("length").alias("size"), F.lit(None).cast("long").alias("sequence_id"), "members", F.xxhash64("members").alias("salt"))
-    rows = rows.unionByName(gaps.select(F.lit(0).alias("kind"), F.col("gap").alias("size"), "sequence_id", F.lit(None).cast(members.dataType).alias("members"), F.col("sequence_id").alias("salt")))
+def _sweep(dealt: DataFrame, plan: Deal, round_: int, capacity: int) -> DataFrame:
+    """One sweep of each partition: its gaps first, then its documents from the largest one."""
+    schema = T.StructType(dealt.schema.fields[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        open_: list[tuple[int, int]] = []
-        fresh = 1 << 60
+        gaps: dict[int, list[int]] = {}
+        open_ = 0  # bit k: there is a gap of size k
+
+        def put(size: int, sequences: list[int]) -> None:
+            nonlocal open_
+            if size and sequences:
+                gaps.setdefault(size, []).extend(sequences)
+                open_ |= 1 << size
+
+        last = -1
         for batch in batches:
-            at, ids, offsets = [], [], []
-            sizes, kinds, sequences = (batch.column(c).to_pylist() for c in ("size", "kind", "sequence_id"))
+            parts, kinds, sizes, ids = (batch.column(c).to_pylist() for c in ("part", "kind", "size", "sequence_id"))
+            states, sequences, offsets, at = [], [], [], []
             for i, size in enumerate(sizes):
-                if kinds[i] == 0:
-                    bisect.insort(open_, (size, sequences[i]))
+                if parts[i] != last:
+                    last = parts[i]
+                    put(capacity, [(round_ << 53) | (last << 33) | k for k in range(int(plan.fresh[last]))])
+                if kinds[i] == 2:
+                    put(size, [ids[i]])
                     continue
-                k = bisect.bisect_left(open_, (size, -(1 << 62)))
-                if k < len(open_):
-                    gap, sequence = open_.pop(k)
-                else:
-                    gap, sequence, fresh = cap, fresh, fresh + 1
                 at.append(i)
-                ids.append(sequence)
-                offsets.append(cap - gap)
-                if gap > size:
-                    bisect.insort(open_, (gap - size, sequence))
+                fitting = open_ >> size
+                if not fitting:
+                    states.append(1)
+                    sequences.append(None)
+                    offsets.append(None)
+                    continue
+                gap = size + (fitting & -fitting).bit_length() - 1
+                sequence = gaps[gap].pop()
+                if not gaps[gap]:
+                    open_ ^= 1 << gap
+                states.append(0)
+                sequences.append(sequence)
+                offsets.append(capacity - gap)
+                put(gap - size, [sequence])
             if at:
-                yield pa.RecordBatch.from_arrays([batch.column("members").take(pa.array(at)).cast(arrow.field(0).type), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], schema=arrow)
+                kept = batch.take(pa.array(at))
+                columns = [pa.array(states, pa.int32()), kept.column("size"), kept.column("salt"), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64()), kept.column("row").cast(arrow.field("row").type)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        for size, some in gaps.items():
+            for a in range(0, len(some), 50_000):
+                ids = np.array(some[a : a + 50_000], np.int64)
+                n = ids.size
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.array(np.full(n, size, np.int64)), pa.array(ids), pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, arrow.field("row").type)], schema=arrow)
+
+    rows = dealt.withColumnRenamed("state", "kind").repartitionById(plan.partitions, "part").sortWithinPartitions("part", F.desc("kind"), F.desc("size"), "salt")
+    return rows.mapInArrow(run, schema)
+
 
-    return rows.repartition(1).sortWithinPartitions("kind", F.desc("size"), "salt").mapInArrow(run, schema)
+def _counts(state: DataFrame, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents left and gaps by size."""
+    out = np.zeros((3, capacity + 1), np.int64)
+    for r in state.where("state > 0").groupBy("state", "size").agg(F.count("*").alias("n")).collect():  # capacity + 1 sizes at most
+        out[r["state"], r["size"]] = r["n"]
+    return out[1], out[2]
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partitions: int | None = None, finish: int = FINISH) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partitions: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset (within its sequence, gapless from 0).
 
-    pieces has a length of 1 to capacity and any other columns but these two. Rows may repeat. An
-    empty table gives an empty table. Sequence ids are any numbers, negative ones too.
+    pieces has a length of 1 to capacity and any other columns but these two. Rows may repeat, and
+    equal lengths are placed by a hash of the rows' order. An empty table gives an empty table. Sequence
+    ids are any numbers. Every round needs two partitions at least.
     """
     spark = pieces.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = pieces.columns
-    row = written(pieces, "pieces")
-    items = row.select(F.col("length").cast("long").alias("length"), F.array(F.struct(*(F.col(c) for c in own), F.lit(0).cast("long").alias("within"))).alias("members"))
-    half = capacity // 2
-    large = written(items.where(F.col("length") > half).withColumn("id", -1 - F.monotonically_increasing_id()), "large")
-    placed, gaps = _seeded(large, F.col("id"), capacity)
-    todo = items.where(F.col("length") <= half)
-    done, round_ = [placed], 0
-    left, _, shortest = todo.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.min("length")).first()
-    while left:
-        gaps = gaps.where(F.col("gap") >= shortest)
-        room, open_ = gaps.agg(F.coalesce(F.sum("gap"), F.lit(0)), F.count("*")).first()
-        if left + open_ <= finish:
-            done.append(written(_finish(todo.select("length", "members"), gaps, capacity), "finished"))
-            break
-        usual = room // open_ if open_ else capacity
-        # many items for each gap are bundled for this round, so that gaps halve at least
-        units = _bundles(todo, usual // 4, usual // 2) if left > 2 * open_ else todo.select("length", "members")
-        swept = written(_sweep(units, gaps, partitions), "swept")
-        settled = written(_settled(swept, capacity), "settled")
-        forget(swept)
-        done.append(settled.where("state = 0").select("members", "sequence_id", "offset"))
-        rest, gaps = settled.where("state = 1").select("length", "members", "rank"), settled.where("state = 2").select("sequence_id", "gap")
-        left, tokens, shortest, n = rest.agg(F.sum(F.size("members")).cast("long"), F.sum("length"), F.min(F.array_min(F.transform("members", lambda m: m["length"].cast("long")))), F.count("*")).first()
-        if left:
-            room = gaps.where(F.col("gap") >= shortest).agg(F.coalesce(F.sum("gap"), F.lit(0))).first()[0]
-            need = min(n, max(0, -(-(tokens - room) // capacity)))
-            if need:
-                first, more = _seeded(rest.where(F.col("rank") < need), F.col("rank") + ((round_ + 1) << 44), capacity)
-                done.append(first)
-                rest, gaps = rest.where(F.col("rank") >= need), gaps.unionByName(more)
-            todo = _single(rest)
-            left = todo.count() if need else left
-        round_ += 1
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    flat = out.select(F.explode("members").alias("m"), "sequence_id", "offset")
-    return flat.select(*(F.col("m")[c].alias(c) for c in own), "sequence_id", (F.col("offset") + F.col("m.within")).alias("offset"))
+    partitions = max(2, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    none = F.lit(None).cast("long")
+    start = pieces.select(F.lit(1).alias("state"), F.col("length").cast("long").alias("size"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), none.alias("sequence_id"), none.alias("offset"), F.struct(*(F.col(c) for c in pieces.columns)).alias("row"))
+    schema = _state(start.schema["row"].dataType)
+    tables = [stored(start, "pieces")]
+    documents, gaps = _counts(read_stored(spark, schema, tables), capacity)
+    sizes = np.arange(capacity + 1)
+    tokens, open_more = int((documents * sizes).sum()), False
+    while before := int(documents.sum()):
+        round_ = len(tables)
+        plan = deal(documents, gaps, partitions, open_more)
+        dealt = _dealt(read_stored(spark, schema, tables[-1:]), plan, round_)
+        tables.append(stored(_sweep(dealt, plan, round_, capacity), "round"))
+        if round_ == 1:
+            remove(spark, tables[0])
+        documents, gaps = _counts(read_stored(spark, schema, tables[-1:]), capacity)
+        placed, rest = before - int(documents.sum()), int((documents * sizes).sum())
+        open_more = (round_ > 1 and 3 * placed < before) or -(-rest // capacity) <= tokens // (SLACK * capacity)
+    done = read_stored(spark, schema, tables[1:]) if len(tables) > 1 else spark.createDataFrame([], schema)
+    return done.where("state = 0").select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, **options) -> DataFrame:

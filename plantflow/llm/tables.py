@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,19 +24,31 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def stored(df: DataFrame, label: str = "t") -> str:
+    """The path of a Parquet table of the shared folder that df is written to."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def read_stored(spark: SparkSession, schema: T.StructType, paths: list[str]) -> DataFrame:
+    """Tables of one schema as one scan."""
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """df, computed once into a Parquet table of the shared folder and read from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return read_stored(df.sparkSession, df.schema, [stored(df, label)])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        remove(df.sparkSession, folder)

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from plantflow.llm.packing import _across, pack, pack_documents, token_pieces, tokenizer_path
+from plantflow.llm import packing
+from plantflow.llm.packing import deal, pack, pack_documents, token_pieces, tokenizer_path
 
 
 def check(rows, capacity):
@@ -21,12 +22,12 @@ def check(rows, capacity):
     return len(by)
 
 
-@pytest.mark.parametrize(("kind", "finish"), [("mixed", 60), ("mixed", 10_000), ("tiny", 3), ("large", 10_000), ("equal", 10_000), ("one", 10_000)])
-def test_fit(spark, kind, finish):
+@pytest.mark.parametrize("kind", ["mixed", "tiny", "large", "equal", "one"])
+def test_fit(spark, kind):
     rng = random.Random(kind)
     draw = {"mixed": lambda: min(1000, int(rng.lognormvariate(4, 1.5)) + 1), "tiny": lambda: rng.randint(1, 5), "large": lambda: rng.randint(400, 1000), "equal": lambda: 334, "one": lambda: 1000}[kind]
     lengths = [draw() for _ in range(600 if kind != "one" else 1)]
-    rows = pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long"), capacity=1000, finish=finish).collect()
+    rows = pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long"), capacity=1000).collect()
     assert sorted((r.id, r.length) for r in rows) == list(enumerate(lengths))
     used, bound = check(rows, 1000), -(-sum(lengths) // 1000)
     assert used <= {"mixed": 1.03, "tiny": 1.05, "large": 2.0, "equal": 1.51, "one": 1.0}[kind] * bound
@@ -46,17 +47,35 @@ def test_documents(spark):
     assert token_pieces(docs.limit(0)).count() == 0 and pack_documents(docs.limit(0)).count() == 0
 
 
-def test_across_is_one_sweep():
-    rng = random.Random(4)
+def test_the_given_documents_go_through_sweeps(spark, monkeypatch):
+    """At the scale of the correctness run: many sweeps over many partitions place every piece."""
+    partitions, own = [], packing._sweep
+    monkeypatch.setattr(packing, "_sweep", lambda dealt, plan, *rest: partitions.append(plan.partitions) or own(dealt, plan, *rest))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pack_documents(docs).collect()
+    assert len(partitions) >= 3 and min(partitions) >= 2
+    assert len(rows) == token_pieces(docs).count()
+    assert sum(r.length for r in rows) / 4096 / check(rows, 4096) > 0.98
+
+
+def test_deal_gives_every_row_a_partition():
+    rng = np.random.default_rng(2)
     for _ in range(200):
-        left = {p: rng.randint(0, 4) for p in range(5)}
-        gaps = {p: rng.randint(0, 4) for p in range(5)}
-        runs, placed = _across(left, gaps)
-        stack, expected = [], []
-        for p in range(5):
-            for i in range(left[p]):
-                if stack:
-                    expected.append((p, i, *stack.pop()))
-            stack += [(p, k) for k in range(gaps[p])]
-        assert sorted((p, i, g, top - (i - a)) for p, a, b, g, top in runs for i in range(a, b)) == sorted(expected)
-        assert all(placed.get(p, 0) == sum(e[0] == p for e in expected) for p in range(5))
+        documents, gaps = (rng.integers(0, 6, 41) * (rng.random(41) < share) for share in (0.5, rng.choice([0, 0.3])))
+        documents[0] = gaps[0] = 0
+        documents[rng.integers(1, 41)] += 1
+        plan = deal(documents, gaps, 5)
+        size = np.repeat(np.arange(41), documents)
+        part = plan.documents(size, rng.random(size.size))
+        assert part.min() >= 0 and part.max() < plan.partitions
+        assert all(part[size == a].max() <= part[size == b].min() for a, b in [(40, s) for s in range(40) if documents[40] and documents[s]])
+        size = np.repeat(np.arange(41), gaps)
+        part = plan.gaps(size, rng.random(size.size))
+        assert ((part >= 0) == (size >= np.flatnonzero(documents)[0])).all() and part.max(initial=0) < plan.partitions
+        assert plan.fresh.sum() * 40 >= (documents * np.arange(41)).sum() - (gaps * np.arange(41)).sum() or not plan.fresh.sum()
+
+
+def test_null_and_repeated_rows(spark):
+    rows = [(None, None)] * 30 + [(1, "same text")] * 300 + [(2, "")] * 5
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), capacity=64).collect()
+    assert len(got) == len(rows) and check(got, 64) <= 20
