@@ -84,4 +84,26 @@ def test_quality(spark):
     assert np.mean([rows[i].predicted == q for i, q, _ in labels if i % 2 == 0]) > 0.97
     kept = drop_low_quality(df, table)
     assert kept.columns == df.columns and score_quality(df.limit(0), table).count() == 0
-    assert text_features(pa.array([None, "", "A!! b"])).shape[0] == 3
+    assert text_features(pa.array([None, "", "A!! b"])).bins.shape[0] == 3
+
+
+def test_a_long_text_in_parts_has_the_same_features(monkeypatch):
+    from plantflow.llm import quality
+
+    text = "Some words, again again and more! \n" * 400 + "x" * 5000 + " end"
+    whole = quality.text_features(pa.array([text]))
+    monkeypatch.setattr(quality, "_CHUNK", 500)
+    parts = quality.text_features(pa.array([text]))
+    assert (whole.bins == parts.bins).all() and sorted(whole.words) == sorted(parts.words) and (parts.row == 0).all()
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    docs, labels = corpus(400)
+    df = spark.createDataFrame([(*d, "a", 1) for d in docs + docs[:50]], DOCS + ", _quality string, quality_score int")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert score_quality(df, table).count() == 450
+    kept = drop_low_quality(df, table)
+    assert kept.columns == df.columns
+    many = {r.doc_id: r["count"] for r in kept.groupBy("doc_id").count().collect()}
+    assert all(many.get(i, 0) in (0, 2) for i in range(50)) and all(many.get(i, 0) in (0, 1) for i in range(50, 400))
+    assert drop_toxic(df.drop("lang"), table, sample_rows=200).columns == df.drop("lang").columns
