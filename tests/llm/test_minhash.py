@@ -54,6 +54,28 @@ def test_defined_cases(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    from plantflow.llm import minhash
+
+    monkeypatch.setattr(minhash, "SPLIT", 7)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for k in range(150):
+        own = list(base)
+        own[rng.randrange(120)] = f"edit{k}"
+        docs.append((k, " ".join(own)))
+    docs += [(1000 + k, " ".join([*base[:60], *(f"own{k}x{i}" for i in range(60))])) for k in range(80)]
+    got = near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in docs], SCHEMA), small=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
+
+
+def test_long_and_repeated_texts(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long, ""), (2, long + " more", ""), (3, "same words " * 100_000, ""), (4, "same words " * 90_000, ""), (4, "same words " * 90_000, "")], SCHEMA)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()} == {1: (70_000, 1), 2: (70_001, 1), 3: (2, 3), 4: (2, 3)}
+
+
 def test_every_bin_fills_and_agreement_is_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 2, 7, 500):
