@@ -3,8 +3,10 @@
 Every task turns a slice of the training documents into one word sequence with a separator after
 each document and sorts its suffixes to the depth of a window: first by packed keys of the leading
 words, then by prefix doubling over the positions that are still tied. Each suffix of each benchmark
-item is binary-searched in that array; the interval it ends with holds every place where the window
-stands verbatim. Places that continue each other become one longest match.
+item is binary-searched in that array, equal windows once; the interval it ends with holds every place
+where the window stands verbatim. A place whose word before also stands before the window in the item
+only continues another match; from all others the longest match is read off word by word. So the work
+follows the matches that come out, in texts of one repeated word too.
 
 Only the benchmark is broadcast, in blocks of at most BLOCK_BYTES of text: one block for the usual
 few megabytes, and as many passes over the documents as a larger benchmark has blocks.
@@ -111,22 +113,49 @@ class SuffixArray:
 
 
 class Items:
-    """A block of benchmark items as query suffixes: one for each window of each item."""
+    """A block of benchmark items as query suffixes: one for each different window of the items.
+
+    occurrences (item, start, and the number of the word before, 0 for none) are sorted by window and
+    that word, so that those with a given word before are one run.
+    """
 
     def __init__(self, ids: list, texts: list, window: int) -> None:
-        hashes, row = words(pa.array(texts, pa.string()), ALNUM_SPLIT)
+        self.hashes, row = words(pa.array(texts, pa.string()), ALNUM_SPLIT)
         counts = np.bincount(row, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
-        first = np.cumsum(counts) - counts
+        self.first = np.cumsum(counts) - counts
+        self.end = self.first + counts
         sizes = np.minimum(counts, window)
         each = np.where(counts > 0, counts - sizes + 1, 0)
-        self.item = np.repeat(np.arange(len(ids)), each)
-        self.start = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        self.length = sizes[self.item]
-        padded = np.concatenate([hashes, np.zeros(window, np.uint64)])
-        self.queries = padded[(first[self.item] + self.start)[:, None] + np.arange(window)[None, :]]
+        item = np.repeat(np.arange(len(ids)), each)
+        start = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        padded = np.concatenate([self.hashes, np.zeros(window, np.uint64)])
+        at = self.first[item] + start
+        inside = np.arange(window)[None, :] < sizes[item][:, None]
+        windows = np.where(inside, padded[at[:, None] + np.arange(window)[None, :]], np.uint64(0)) if item.size else np.zeros((0, window), np.uint64)
+        self.queries, where, which = np.unique(windows, axis=0, return_index=True, return_inverse=True)
+        self.length = sizes[item][where]
+        self.before = np.unique(self.hashes)
+        before = np.where(start > 0, np.searchsorted(self.before, padded[at - 1]) + 1, 0)
+        self.keys = which.ravel() * (self.before.size + 1) + before
+        by = np.argsort(self.keys, kind="stable")
+        self.keys, self.item, self.start = self.keys[by], item[by], start[by]
+        self.run = np.searchsorted(self.keys, np.arange(self.length.size + 1) * (self.before.size + 1))
         self.ids = np.array([None if i is None else str(i) for i in ids], dtype=object)
         self.window = window
 
+    def heads(self, query: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each query whose word before is not before (a hash, 0 for none), and the query's place in the list."""
+        at = np.minimum(np.searchsorted(self.before, before), max(self.before.size - 1, 0))
+        known = self.before[at] == before
+        key = query * (self.before.size + 1) + at + 1
+        low, high = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+        low, high = np.where(known, low, self.run[query]), np.where(known, high, self.run[query])
+        parts = [(self.run[query], low), (high, self.run[query + 1])]
+        many = [b - a for a, b in parts]
+        index = [np.repeat(np.arange(query.size), m) for m in many]
+        found = [np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(a, m) for m, (a, _) in zip(many, parts, strict=True)]
+        return np.concatenate(found), np.concatenate(index)
+
 
 def _matches(items: Items, texts: pa.Array) -> list:
     hashes, row = words(texts, ALNUM_SPLIT)
@@ -137,25 +166,30 @@ def _matches(items: Items, texts: pa.Array) -> list:
     many = high - low
     query = np.repeat(np.arange(many.size), many)
     place = array.order[np.repeat(low, many) + np.arange(query.size) - np.repeat(np.cumsum(many) - many, many)]
+    # the words with one place of 0 between documents, and before the first one
+    line = np.zeros(hashes.size + n_rows + items.window + 2, np.uint64)
+    line[np.arange(hashes.size) + row + 1] = hashes
+    found, index = items.heads(query, line[place]) if query.size else (query, query)
+    query, place = query[index], place[index]
+    item, start, length = items.item[found], items.start[found], items.length[query].copy()
+    going = np.arange(place.size)
+    while going.size:
+        next_ = items.first[item[going]] + start[going] + length[going]
+        going, next_ = going[next_ < items.end[item[going]]], next_[next_ < items.end[item[going]]]
+        going = going[items.hashes[next_] == line[place[going] + 1 + length[going]]]
+        length[going] += 1
     # the document of a place, and the word's number in it: word i of row r stands at first[r] + r + i
     begin = np.cumsum(n_words) - n_words + np.arange(n_rows)
     doc = np.searchsorted(begin, place, side="right") - 1
     at = place - begin[doc] if place.size else place
-    item, start, length = items.item[query], items.start[query], items.length[query]
-    # places on one diagonal that follow each other are one longest match
-    by = np.lexsort((start, at - start, item, doc))
+    by = np.lexsort((start, at, item, doc))
     doc, at, item, start, length = doc[by], at[by], item[by], start[by], length[by]
-    new = np.ones(by.size, bool)
-    if by.size:
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | ((at - start)[1:] != (at - start)[:-1]) | (start[1:] != start[:-1] + 1)
-    heads = np.flatnonzero(new)
-    runs = np.diff(np.append(heads, by.size))
     one = pa.StructArray.from_arrays(
-        [pa.array(items.ids[item[heads]], pa.string()), pa.array(start[heads], pa.int32()), pa.array(at[heads], pa.int32()), pa.array(length[heads] + runs - 1, pa.int32())],
+        [pa.array(items.ids[item], pa.string()), pa.array(start, pa.int32()), pa.array(at, pa.int32()), pa.array(length, pa.int32())],
         names=MATCH.names,
     )
     offsets = np.zeros(n_rows + 1, np.int32)
-    np.cumsum(np.bincount(doc[heads], minlength=n_rows), out=offsets[1:])
+    np.cumsum(np.bincount(doc, minlength=n_rows), out=offsets[1:])
     return [pa.array(n_words), pa.ListArray.from_arrays(pa.array(offsets), one)]
 
 

@@ -4,7 +4,8 @@ Greedy longest-match-first segmentation, without building pieces: a trie of the
 failure link and a count of popped pieces at each node. Reading a byte without a child adds the count and
 follows the link, so a word costs time linear in its length. The distinct words of a slice of the
 column run through the automaton side by side in numpy; each word's count is then added to its
-texts. A word is preceded by one blank, as the vocabulary's word-initial pieces are.
+texts. What is left of a very long word goes through alone, byte by byte over a dictionary. A word is
+preceded by one blank, as the vocabulary's word-initial pieces are.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 
 from .textarrays import BLANK_SPLIT, CASED_VALUES, span_hashes, spans, splitmix, text_bytes, with_struct
 
+#: Bytes of a word that are read side by side with others.
+SIDE_BY_SIDE = 512
 COUNTS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
@@ -97,6 +100,7 @@ class LongestMatch:
         edges = [(node * 256 + b, child) for node, own in enumerate(children) for b, child in own.items()]
         keys = np.array(edges, np.int64).reshape(-1, 2)
         self.edges = _Edges.of(keys[:, 0], keys[:, 1])
+        self._lists: tuple | None = None
 
     @staticmethod
     def _by_depth(children: list[dict[int, int]]) -> list[int]:
@@ -127,6 +131,23 @@ class LongestMatch:
             cls._open[path] = cls(read_vocabulary(path))
         return cls._open[path]
 
+    def _alone(self, node: int, rest: np.ndarray) -> tuple[int, int]:
+        """The node after the rest of a word, -1 if it has none, and the pieces popped on the way."""
+        if self._lists is None:
+            have = self.edges.keys >= 0
+            self._lists = dict(zip(self.edges.keys[have].tolist(), self.edges.nodes[have].tolist(), strict=True)), self.fail.tolist(), self.pops.tolist()
+        edges, fail, pops = self._lists
+        count = 0
+        for a in range(0, rest.size, 1 << 20):
+            for byte in rest[a : a + (1 << 20)].tobytes():
+                while (child := edges.get(node * 256 + byte)) is None:
+                    count += pops[node]
+                    node = fail[node]
+                    if node < 0:
+                        return -1, count
+                node = child
+        return node, count
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each word, with a blank before it; 1 for a word the vocabulary cannot spell."""
         n = starts.size
@@ -150,6 +171,11 @@ class LongestMatch:
                 todo, byte = todo[~lost], byte[~lost]
             step += 1
             active = active[(starts[active] + step < ends[active]) & (node[active] >= 0)]
+            if step == SIDE_BY_SIDE:
+                for i in active.tolist():
+                    node[i], more = self._alone(int(node[i]), data[starts[i] + step : ends[i]])
+                    out[i] += more
+                break
         good = node >= 0
         out[good] += self.rest[node[good]]
         out[~good] = 1
@@ -168,8 +194,9 @@ def _counted(texts: pa.Array, path: str) -> list:
 def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_tokens.
 
-    Words are runs of non-blanks of the whole text. Null, empty and blank texts have none of either.
-    One pass without a shuffle.
+    Words are runs of non-blanks of the whole text, of any length. Null, empty and blank texts have
+    none of either. Repeated rows and null ids are counted like any other; other columns are left out.
+    An empty table gives no rows. One pass without a shuffle.
     """
     path = path or vocabulary_path()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

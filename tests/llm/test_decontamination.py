@@ -62,3 +62,39 @@ def test_removal_keeps_columns(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 2, 3]
     assert decontaminate(docs, spark.createDataFrame([], ITEMS)).count() == 4
     assert decontaminate(docs.limit(0), spark.createDataFrame([(1, long)], ITEMS)).count() == 0
+
+
+def test_one_word_over_and_over(spark):
+    """A long text of one word against an item of it: the work follows the matches, not windows times places."""
+    docs = spark.createDataFrame([(1, "a " * 200_000, "", ""), (2, "b " + "a " * 9 + "c", "", ""), (3, "c " + "a " * 12, "", "")], DOCS)
+    items = spark.createDataFrame([(7, "a " * 400), (8, "x y " * 10)], ITEMS)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in contamination_report(docs, items).collect()}
+    assert got == {1: (200_000, 200_000, 1), 2: (11, 0, 0), 3: (13, 12, 1)}
+
+
+def test_matches_of_repetitive_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    from plantflow.llm.decontamination import Items, _matches
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        docs, items = ([" ".join(rng.choice(["a", "b"], rng.integers(0, 25), p=[0.8, 0.2])) for _ in range(4)] for _ in range(2))
+        window = int(rng.integers(1, 6))
+        found = _matches(Items([0, 1, 2, 3], items, window), pa.array(docs))[1].to_pylist()
+        for doc, matches in zip(docs, found, strict=True):
+            w, expected = doc.split(), set()
+            for k, item in enumerate(items):
+                v = item.split()
+                least = min(window, len(v))
+                for i in range(len(v)):
+                    for j in range(len(w)):
+                        if i and j and v[i - 1] == w[j - 1]:
+                            continue
+                        n = 0
+                        while i + n < len(v) and j + n < len(w) and v[i + n] == w[j + n]:
+                            n += 1
+                        if n >= least:
+                            expected.add((str(k), i, j, n))
+            assert sorted((m["item"], m["item_start"], m["start"], m["length"]) for m in matches) == sorted(expected)

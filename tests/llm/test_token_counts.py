@@ -1,11 +1,11 @@
 """Counts equal greedy longest-match segmentation by brute force."""
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plantflow.llm.token_counts import LongestMatch, _counted, read_vocabulary, vocabulary_path
-import pyarrow as pa
+from plantflow.llm.token_counts import LongestMatch, _counted, read_vocabulary, token_counts, vocabulary_path
 
 
 def greedy(word: bytes, vocabulary: set[bytes], longest: int) -> int:
@@ -32,6 +32,23 @@ def _split(text: str) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
+def test_very_long_words():
+    pieces = set(read_vocabulary(vocabulary_path()))
+    longest = max(map(len, pieces))
+    texts = ["internationalization" * 90 + "x", "0" * 700 + "abc", "ünï" * 400, "a" * 511, "a" * 512, "a" * 513]
+    _, tokens = _counted(pa.array(texts), vocabulary_path())
+    assert tokens.to_pylist() == [greedy(b" " + t.encode(), pieces, longest) for t in texts]
+    _, tokens = _counted(pa.array(["ab" * 2_500_000]), vocabulary_path())
+    assert tokens[0].as_py() > 1_000_000
+
+
+def test_repeated_rows_and_other_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (None, "a b", 6), (2, None, 7)], "doc_id long, text string, n_tokens int")
+    rows = [tuple(r) for r in token_counts(df).collect()]
+    assert sorted(rows, key=str) == sorted([(1, 2, rows[0][2]), (1, 2, rows[0][2]), (None, 2, rows[0][2]), (2, 0, 0)], key=str)
+    assert token_counts(df.limit(0)).count() == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.sets(st.binary(min_size=2, max_size=5).map(lambda b: bytes(97 + x % 3 for x in b)), max_size=12), st.lists(st.text("abc", min_size=1, max_size=12), min_size=1, max_size=8))
 def test_small_vocabularies(pieces, words):
