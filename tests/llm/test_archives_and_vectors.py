@@ -60,6 +60,26 @@ def test_recall_and_scores(spark):
     assert got[100] == exact[100] == list(range(101, 121))
 
 
+def test_recall_of_every_query_of_the_given_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = table.where("embedding IS NOT NULL").orderBy("vec_id").collect()
+    exact = brute(np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float), 20)
+    got = {}
+    for r in nearest(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(exact) and np.mean([len(got[q] & set(exact[q])) / 20 for q in exact]) >= 0.9
+
+
+def test_equal_rows_spread_over_the_shards(spark, monkeypatch):
+    from plantflow.llm import neighbours
+
+    sizes, own = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, label: sizes.append(own(df, label)) or sizes[-1])
+    df = spark.createDataFrame([(7, [1.0, 2.0])] * 900 + [(20 * k, [float(k + 1), 1.0]) for k in range(100)], "vec_id long, embedding array<double>")
+    nearest(df, shard_rows=100)
+    assert max(r["count"] for r in sizes[0].groupBy("shard").count().collect()) < 200
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (6, [0.5, 0.5]), (7, []), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (8, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
