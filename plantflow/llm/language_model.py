@@ -207,9 +207,11 @@ class WindowNet:
                 yield name, k, flat[a : a + (1 << 14)]
 
 
-def masked_places(place: np.ndarray, round_: int, stride: int) -> np.ndarray:
-    """The places to learn from in a round; so many rounds as stride have each place once."""
-    return place[(place + round_) % stride == 0]
+def masked_places(place: np.ndarray, row: np.ndarray, round_: int, stride: int) -> np.ndarray:
+    """The places to learn from in a round, counted from the start of each text; so many rounds as stride have each place once."""
+    many = np.bincount(row) if row.size else np.zeros(0, np.int64)
+    number = np.arange(row.size) - (np.cumsum(many) - many)[row]
+    return place[(number + round_) % stride == 0]
 
 
 def _averaged(docs: DataFrame, text: str, net: WindowNet, round_: int, stride: int, rate: float) -> None:
@@ -228,8 +230,8 @@ def _averaged(docs: DataFrame, text: str, net: WindowNet, round_: int, stride: i
         seen = 0
         for batch in batches:
             for part in slices(batch, at, _CHUNK):
-                line, place, _ = own.padded(part.column(at))
-                masked = masked_places(place, round_, stride)
+                line, place, row = own.padded(part.column(at))
+                masked = masked_places(place, row, round_, stride)
                 own.train(line, np.random.default_rng(round_).permutation(masked), rate)
                 seen += masked.size
         if not seen:
@@ -293,7 +295,10 @@ def _fitted(docs: DataFrame, text: str = "text", own: int | None = None, rounds:
 def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, log_likelihood (natural, summed), mean_log_likelihood.
 
-    A text without words has 0 tokens, a sum of 0 and a null mean.
+    A text without words, null and empty ones too, has 0 tokens, a sum of 0 and a null mean. Texts are
+    read whole, however long. Rows that repeat a text have one score and are all learned from; other
+    columns are left out; an empty table gives no rows. What is masked depends on the texts alone, but
+    models are averaged over the partitions of docs, so scores of another partitioning differ slightly.
     """
     net, rare = _fitted(docs, text, **options)
     sent = docs.sparkSession.sparkContext.broadcast(net)
