@@ -53,9 +53,9 @@ def bounds(cidr: str) -> tuple[int, int]:
     return int(net.network_address), int(net.broadcast_address)
 
 
-def in_nets(ip: Column, cidrs: Iterable[str]) -> Column:
-    """Whether any of the networks holds the address; IPv6 networks match whole hex digits of a prefix."""
-    number, out = ip_num(ip), F.lit(False)
+def in_nets(ip: Column, cidrs: Iterable[str], number: Column | None = None) -> Column:
+    """Whether any of the networks holds the address; IPv6 networks match whole hex digits of a prefix. number: of ip, if it is at hand."""
+    number, out = ip_num(ip) if number is None else number, F.lit(False)
     for cidr in cidrs:
         net = ipaddress.ip_network(cidr)
         if net.version == 4:
@@ -67,15 +67,15 @@ def in_nets(ip: Column, cidrs: Iterable[str]) -> Column:
     return out
 
 
-def in_ot(ip: Column, ot: Iterable[str] | None = None) -> Column:
-    return in_nets(ip, ot or PRIVATE)
+def in_ot(ip: Column, ot: Iterable[str] | None = None, number: Column | None = None) -> Column:
+    return in_nets(ip, ot or PRIVATE, number)
 
 
-def is_public(ip: Column) -> Column:
+def is_public(ip: Column, number: Column | None = None) -> Column:
     """IPv6 link-local counts as public; null is not."""
     v6 = v6_hex(ip)
     special = v6.isin("0" * 32, "0" * 31 + "1") | v6.startswith("ff") | F.substring(v6, 1, 2).isin("fc", "fd")
-    return F.coalesce(F.when(is_v4(ip), ~in_nets(ip, PRIVATE + RESERVED)).otherwise(~special), F.lit(False))
+    return F.coalesce(F.when(is_v4(ip), ~in_nets(ip, PRIVATE + RESERVED, number)).otherwise(~special), F.lit(False))
 
 
 def is_group_address(ip: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Findings: every rule yields evidence rows; one aggregation makes findings of them all.
+"""Findings: rules yield evidence rows, those that read the same events together; one aggregation makes findings of them all.
 
 An evidence row is (rule_id, severity, entity, item, weight). Entity is empty where a rule has one
 finding in all, else the source or the pair. A finding sums the weights, takes the highest severity
@@ -21,29 +21,35 @@ from .trusted import Writer, rule_index
 
 #: Evidence kept for a finding.
 EVIDENCE = 15
-#: So many rules are one plan; more are run one after the other.
-FEW = 4
+#: A finding with this many hits or fewer is none.
+MORE_THAN = {"attack.spoofed_sources": 500}
 
 
 @dataclass
 class Context:
-    """What rules read; tables are built once and shared."""
+    """What rules read; flow_table is the flows, or the verdicts on them where a policy is declared."""
 
     packets: DataFrame
     ot: tuple[str, ...] = ()
     trusted: list[Writer] = field(default_factory=list)
     verdicts: DataFrame | None = None
-    _made: dict = field(default_factory=dict)
 
-    def get(self, name: str) -> DataFrame:
-        if name not in self._made:
-            self._made[name] = {"flows": observe.flows, "creds": extract.cred_events, "smb": extract.smbv1_pairs, "tls": extract.tls_hellos, "ciphers": extract.tls_ciphers, "ldap": extract.ldap_binds, "ntlm": extract.ntlm_events, "rdp": extract.rdp_events, "units": extract.modbus_units}[name](self.packets)
-        return self._made[name]
+    @property
+    def flow_table(self) -> DataFrame:
+        return self.verdicts if self.verdicts is not None else observe.flows(self.packets)
 
 
-def _rows(df: DataFrame, rule: str, severity: str | Column, item: Column, weight: Column | str, entity: Column | None = None) -> DataFrame:
-    severity = F.lit(severity) if isinstance(severity, str) else severity
-    return df.select(F.lit(rule).alias("rule_id"), severity.alias("severity"), (F.lit("") if entity is None else entity).alias("entity"), item.alias("item"), (F.col(weight) if isinstance(weight, str) else weight).cast("long").alias("weight"))
+def _evidence(rule: str | Column, severity: str | Column, item: Column, weight: Column | str | int = 1, entity: Column | None = None) -> Column:
+    text = lambda v: F.lit(v) if isinstance(v, str) else v
+    count = F.lit(weight) if isinstance(weight, int) else F.col(weight) if isinstance(weight, str) else weight
+    return F.struct(text(rule).alias("rule_id"), text(severity).alias("severity"), (F.lit("") if entity is None else entity).alias("entity"), item.alias("item"), count.cast("long").alias("weight"))
+
+
+def _rows(df: DataFrame, *evidence: Column) -> DataFrame:
+    """The evidence rows of df: one, or those of several that are not null."""
+    if len(evidence) == 1:
+        return df.select(evidence[0].alias("e")).select("e.*")
+    return df.select(F.explode(F.array_compact(F.array(*evidence))).alias("e")).select("e.*")
 
 
 def _pair() -> Column:
@@ -54,153 +60,148 @@ def _service() -> Column:
     return F.concat("src_ip", F.lit(" -> "), "dst_ip", F.lit(":"), F.col("dst_port").cast("string"))
 
 
-def plaintext_creds(kind: str) -> Callable[[Context], DataFrame]:
-    def rule(c: Context) -> DataFrame:
-        rows = c.get("creds").where(F.col("kind") == kind).groupBy("dst_ip", "dst_port").agg(F.sum("n").alias("n"))
-        return _rows(rows, f"creds.{kind}", "critical", F.concat("dst_ip", F.lit(":"), F.col("dst_port").cast("string")), "n")
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with the numbers of both addresses, so that predicates read them once."""
+    return df.withColumns({"_src": net.ip_num(F.col("src_ip")), "_dst": net.ip_num(F.col("dst_ip"))})
+
 
-    return rule
+def plaintext_creds(c: Context) -> DataFrame:
+    item = F.concat("dst_ip", F.lit(":"), F.col("dst_port").cast("string"))
+    return _rows(extract.cred_packets(c.packets), _evidence(F.concat(F.lit("creds."), "kind"), "critical", item))
 
 
 def weak_creds(c: Context) -> DataFrame:
-    return _rows(extract.weak_credentials(c.get("creds")), "creds.default_or_weak_credentials", "critical", F.concat(_service(), F.lit(" "), F.col("category")), "n")
+    return _rows(extract.weak_credentials(extract.cred_events(c.packets)), _evidence("creds.default_or_weak_credentials", "critical", F.concat(_service(), F.lit(" "), F.col("category")), "n"))
 
 
 def ldap_simple_bind(c: Context) -> DataFrame:
-    rows = c.get("ldap").where("NOT used_starttls AND NOT anonymous").groupBy("src_ip", "dst_ip", "dst_port").agg(F.count("*").alias("n"))
-    return _rows(rows, "creds.ldap_simple_bind", "critical", _service(), "n")
+    return _rows(extract.ldap_binds(c.packets).where("NOT used_starttls AND NOT anonymous"), _evidence("creds.ldap_simple_bind", "critical", _service()))
 
 
 def ntlmv1(c: Context) -> DataFrame:
-    rows = c.get("ntlm").where("version = 'v1'").groupBy("src_ip", "dst_ip", "dst_port").agg(F.count("*").alias("n"))
-    return _rows(rows, "compat.ntlmv1", "high", _service(), "n", _pair())
-
-
-def _engineering(name: str, rule: str, events: Callable[[DataFrame], DataFrame], always: str | None = None) -> Callable[[Context], DataFrame]:
-    """Engineering events no declaration trusts; critical if one comes from outside the OT networks."""
+    return _rows(extract.ntlm_events(c.packets).where("version = 'v1'"), _evidence("compat.ntlmv1", "high", _service(), 1, _pair()))
 
-    def of(c: Context) -> DataFrame:
-        rows = events(c.packets).where("engineering")
-        rows = rows.where(rule_index(c.trusted, F.lit(name)).isNull()) if c.trusted else rows
-        label = F.col("label") if "label" in rows.columns else F.concat(F.lit("function "), F.col("fc").cast("string"))
-        rows = rows.select("src_ip", "dst_ip", label.alias("label")).groupBy("src_ip", "dst_ip", "label").agg(F.count("*").alias("n"))
-        severity = F.lit(always) if always else F.when(net.in_ot(F.col("src_ip"), c.ot or None), "high").otherwise("critical")
-        return _rows(rows, rule, severity, F.concat(_pair(), F.lit(" "), F.col("label")), "n")
 
-    return of
+#: Recogniser, protocol name, rule and, where it has one, severity of any source.
+ENGINEERING = [
+    (extract.modbus_events, "modbus", "ics.modbus_writes", None),
+    (extract.enip_events, "cip", "ics.cip_engineering", "high"),
+    (extract.s7_events, "s7", "ics.s7_engineering", None),
+    (extract.dnp3_events, "dnp3", "ics.dnp3_engineering", None),
+]
 
 
 def engineering_events(packets: DataFrame) -> DataFrame:
-    """src_ip, dst_ip, proto_name of all engineering events."""
-    parts = [(extract.modbus_events, "modbus"), (extract.enip_events, "cip"), (extract.s7_events, "s7"), (extract.dnp3_events, "dnp3")]
-    return reduce(DataFrame.unionByName, (f(packets).where("engineering").select("src_ip", "dst_ip", F.lit(n).alias("proto_name")) for f, n in parts))
+    """src_ip, dst_ip, proto_name, label and rule_id of all engineering events."""
+    parts = []
+    for events, name, rule, _ in ENGINEERING:
+        rows = events(packets).where("engineering")
+        label = F.col("label") if "label" in rows.columns else F.concat(F.lit("function "), F.col("fc").cast("string"))
+        parts.append(rows.select("src_ip", "dst_ip", F.lit(name).alias("proto_name"), label.alias("label"), F.lit(rule).alias("rule_id")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def trusted_activity(c: Context) -> DataFrame:
-    events = engineering_events(c.packets)
-    rows = events.withColumn("rule", rule_index(c.trusted, F.col("proto_name"))).where("rule IS NOT NULL").groupBy("proto_name", "src_ip", "dst_ip", "rule").agg(F.count("*").alias("n"))
-    return _rows(rows, "ics.trusted_writer_activity", "info", F.concat(F.col("proto_name"), F.lit(" "), _pair(), F.lit(" #"), F.col("rule").cast("string")), "n")
+def engineering(c: Context) -> DataFrame:
+    """Engineering events, critical if one comes from outside the OT networks; those that a declaration trusts are activity of its writers."""
+    rows = _numbered(engineering_events(c.packets).groupBy("src_ip", "dst_ip", "proto_name", "label", "rule_id").agg(F.count("*").alias("n")))
+    trusted = rule_index(c.trusted, F.col("proto_name"), F.col("_src"), F.col("_dst")) if c.trusted else F.lit(None).cast("int")
+    always = {rule: severity for _, _, rule, severity in ENGINEERING if severity}
+    severity = F.when(F.col("rule_id").isin(*always), "high").when(net.in_ot(F.col("src_ip"), c.ot or None, F.col("_src")), "high").otherwise("critical")
+    rows = rows.withColumns({"trusted": trusted, "severity": severity})
+    declared = F.concat(F.col("proto_name"), F.lit(" "), _pair(), F.lit(" #"), F.col("trusted").cast("string"))
+    own = F.concat(_pair(), F.lit(" "), F.col("label"))
+    known = F.col("trusted").isNotNull()
+    return _rows(rows, _evidence(F.when(known, "ics.trusted_writer_activity").otherwise(F.col("rule_id")), F.when(known, "info").otherwise(F.col("severity")), F.when(known, declared).otherwise(own), "n"))
 
 
 def smbv1(c: Context) -> DataFrame:
-    return _rows(c.get("smb"), "compat.smbv1", "high", _service(), "packets")
+    return _rows(extract.smbv1_pairs(c.packets), _evidence("compat.smbv1", "high", _service(), "packets"))
 
 
 def stale_tls(c: Context) -> DataFrame:
-    return _rows(c.get("tls").where(F.col("version").between(0x0300, 0x0302)), "compat.stale_tls", "medium", F.concat(_pair(), F.lit(" "), F.hex("version")), "hellos")
+    return _rows(extract.tls_hellos(c.packets).where(F.col("version").between(0x0300, 0x0302)), _evidence("compat.stale_tls", "medium", F.concat(_pair(), F.lit(" "), F.hex("version")), "hellos"))
 
 
 def weak_tls_cipher(c: Context) -> DataFrame:
-    return _rows(c.get("ciphers").where(F.col("cipher").isin(*extract.WEAK_CIPHERS)), "compat.weak_tls_cipher", "medium", F.hex("cipher"), "hellos", _pair())
+    return _rows(extract.tls_ciphers(c.packets).where(F.col("cipher").isin(*extract.WEAK_CIPHERS)), _evidence("compat.weak_tls_cipher", "medium", F.hex("cipher"), "hellos", _pair()))
 
 
 def rdp_no_nla(c: Context) -> DataFrame:
-    rows = c.get("rdp").where("selected_protocol = 0").groupBy("src_ip", "dst_ip").agg(F.count("*").alias("n"))
-    return _rows(rows, "creds.rdp_no_nla", "critical", _pair(), "n", _pair())
+    return _rows(extract.rdp_events(c.packets).where("selected_protocol = 0"), _evidence("creds.rdp_no_nla", "critical", _pair(), 1, _pair()))
 
 
 def unit_id_sweep(c: Context, least: int = 5, high: int = 50) -> DataFrame:
-    rows = c.get("units").where(F.col("units") >= least)
+    rows = extract.modbus_units(c.packets).where(F.col("units") >= least)
     ids = F.array_join(F.transform(F.slice("unit_ids", 1, 10), lambda u: u.cast("string")), ",")
-    return _rows(rows, "ics.modbus_unit_id_sweep", F.when(F.col("units") >= high, "high").otherwise("medium"), ids, "units", _pair())
-
-
-def internet_egress(c: Context) -> DataFrame:
-    rows = observe.external_flows(c.get("flows"), c.ot or None)
-    return _rows(rows, "egress.ot_to_internet", "critical", F.concat(_service(), F.lit("/"), net.proto_label(F.col("proto"))), "bytes")
-
-
-def _boundary(rule: str, port: int) -> Callable[[Context], DataFrame]:
-    def of(c: Context) -> DataFrame:
-        rows = c.get("flows").where((F.col("dst_port") == port) & net.in_ot(F.col("src_ip"), c.ot or None) & ~net.in_ot(F.col("dst_ip"), c.ot or None))
-        return _rows(rows.groupBy("src_ip", "dst_ip").agg(F.sum("packets").alias("packets")), rule, "medium", _pair(), "packets")
-
-    return of
+    return _rows(rows, _evidence("ics.modbus_unit_id_sweep", F.when(F.col("units") >= high, "high").otherwise("medium"), ids, "units", _pair()))
+
+
+#: Ports of encrypted tunnels.
+TUNNEL_PORTS = (1194, 4500, 500, 51820)
+
+
+def flow_rules(c: Context) -> DataFrame:
+    """Egress (with the kind of traffic where it is telling), boundary services, protocols out of place and, with verdicts, violations: one pass over the flows."""
+    rows = _numbered(c.flow_table)
+    src_ot, dst_ot = net.in_ot(F.col("src_ip"), c.ot or None, F.col("_src")), net.in_ot(F.col("dst_ip"), c.ot or None, F.col("_dst"))
+    rows = rows.withColumns({"src_ot": src_ot, "dst_ot": dst_ot, "public": net.is_public(F.col("dst_ip"), F.col("_dst")), "no_fly": net.no_fly_label(F.col("proto"), F.col("dst_port"))})
+    port = F.col("dst_port")
+    flow = F.concat(_service(), F.lit("/"), net.proto_label(F.col("proto")))
+    kind = F.when(port == 53, " dns").when(port == 123, " ntp").when(port.isin(*TUNNEL_PORTS), " tunnel").otherwise("")
+    leaves = F.col("src_ot") & ~F.col("dst_ot")
+    evidence = [
+        F.when(F.col("src_ot") & F.col("public"), _evidence("egress.ot_to_internet", "critical", F.concat(flow, kind), "bytes")),
+        F.when(leaves & (port == 53), _evidence("boundary.dns_resolver", "medium", _pair(), "packets")),
+        F.when(leaves & (port == 123), _evidence("boundary.ntp_external", "medium", _pair(), "packets")),
+        F.when(F.col("no_fly").isNotNull() & (F.col("src_ot") | F.col("dst_ot")), _evidence("ot.unexpected_protocols", "medium", F.concat("no_fly", F.lit(" "), _service()), "packets")),
+    ]
+    if c.verdicts is not None:
+        grade = net.violation_grade(F.col("conn_state")) if "conn_state" in c.verdicts.columns else F.lit("established")
+        item = F.concat(flow, F.lit(" "), grade)
+        evidence.append(F.when(F.col("idmz_bypass"), _evidence("segmentation.idmz_bypass", "critical", item)))
+        evidence.append(F.when(F.col("kind") == "wrong_direction", _evidence("segmentation.wrong_direction", "high", item)))
+        evidence.append(F.when(F.col("kind") == "no_matching_conduit", _evidence("segmentation.deny_by_default", "high", item)))
+    return _rows(rows, *evidence)
 
 
 def port_scan(c: Context, least: int = 10, few: int = 3, high: int = 50) -> DataFrame:
     """Sources that reach many destinations or many (port, protocol); group addresses do not count."""
-    rows = c.get("flows").where(~net.is_group_address(F.col("dst_ip"))).groupBy("src_ip").agg(F.count_distinct("dst_ip").alias("d"), F.count_distinct("dst_port", "proto").alias("p"), F.sum("packets").alias("packets"))
+    flows = c.packets.groupBy(*observe.FLOW_KEY).agg(F.count("*").alias("packets"))
+    rows = flows.where(~net.is_group_address(F.col("dst_ip"))).groupBy("src_ip").agg(F.count_distinct("dst_ip").alias("d"), F.count_distinct("dst_port", "proto").alias("p"), F.sum("packets").alias("packets"))
     d, p = F.col("d"), F.col("p")
     kind = F.when((d >= least) & (p <= few), "horizontal").when((d <= few) & (p >= least), "vertical").otherwise("combined")
     rows = rows.where((d >= least) | (p >= least))
-    return _rows(rows, "recon.port_scan", F.when((d >= high) | (p >= high), "high").otherwise("medium"), F.concat(kind, F.lit(" "), d.cast("string"), F.lit(" hosts "), p.cast("string"), F.lit(" ports")), "packets", F.col("src_ip"))
-
-
-def unexpected_protocols(c: Context) -> DataFrame:
-    label = net.no_fly_label(F.col("proto"), F.col("dst_port"))
-    touches = net.in_ot(F.col("src_ip"), c.ot or None) | net.in_ot(F.col("dst_ip"), c.ot or None)
-    return _rows(c.get("flows").where(label.isNotNull() & touches), "ot.unexpected_protocols", "medium", F.concat(label, F.lit(" "), _service()), "packets")
-
-
-def spoofed_sources(c: Context, more_than: int = 500) -> DataFrame:
-    """One-packet sources without a MAC, a reply or a protocol, if there are more than so many; their targets."""
-    hosts = observe.hosts(c.packets, c.ot or None).where((F.col("packets") == 1) & F.col("mac").isNull() & (F.size("protocols") == 0)).select("ip")
-    single = observe.sent_received(c.get("flows")).where("sent = 1 AND received = 0").select("ip").join(hosts, "ip")
-    hit = c.get("flows").join(single.withColumnRenamed("ip", "src_ip"), "src_ip").groupBy("dst_ip").agg(F.sum("packets").alias("packets"))
-    total = hit.agg(F.sum("packets").alias("all")).where(F.col("all") > more_than)  # one row or none
-    return _rows(hit.join(F.broadcast(total)), "attack.spoofed_sources", "high", F.col("dst_ip"), "packets")
-
-
-def _violation(kind: str, rule: str, severity: str) -> Callable[[Context], DataFrame]:
-    def of(c: Context) -> DataFrame:
-        from .conformance import violations
-
-        rows = violations(c.verdicts).where(F.col("violation") == kind)
-        return _rows(rows, rule, severity, F.concat(_service(), F.lit("/"), net.proto_label(F.col("proto"))), F.lit(1))
-
-    return of
-
-
-RULES: dict[str, Callable[[Context], DataFrame]] = {
-    "creds.ftp": plaintext_creds("ftp"),
-    "creds.telnet": plaintext_creds("telnet"),
-    "creds.http_basic": plaintext_creds("http_basic"),
-    "creds.snmp": plaintext_creds("snmp"),
-    "creds.default_or_weak_credentials": weak_creds,
-    "creds.ldap_simple_bind": ldap_simple_bind,
-    "compat.ntlmv1": ntlmv1,
-    "ics.modbus_writes": _engineering("modbus", "ics.modbus_writes", extract.modbus_events),
-    "ics.cip_engineering": _engineering("cip", "ics.cip_engineering", extract.enip_events, "high"),
-    "ics.s7_engineering": _engineering("s7", "ics.s7_engineering", extract.s7_events),
-    "ics.dnp3_engineering": _engineering("dnp3", "ics.dnp3_engineering", extract.dnp3_events),
-    "ics.trusted_writer_activity": trusted_activity,
-    "compat.smbv1": smbv1,
-    "compat.stale_tls": stale_tls,
-    "compat.weak_tls_cipher": weak_tls_cipher,
-    "creds.rdp_no_nla": rdp_no_nla,
-    "ics.modbus_unit_id_sweep": unit_id_sweep,
-    "egress.ot_to_internet": internet_egress,
-    "boundary.dns_resolver": _boundary("boundary.dns_resolver", 53),
-    "boundary.ntp_external": _boundary("boundary.ntp_external", 123),
-    "recon.port_scan": port_scan,
-    "ot.unexpected_protocols": unexpected_protocols,
-    "attack.spoofed_sources": spoofed_sources,
-    "segmentation.idmz_bypass": _violation("idmz_bypass", "segmentation.idmz_bypass", "critical"),
-    "segmentation.wrong_direction": _violation("wrong_direction", "segmentation.wrong_direction", "high"),
-    "segmentation.deny_by_default": _violation("no_matching_conduit", "segmentation.deny_by_default", "high"),
-}
+    return _rows(rows, _evidence("recon.port_scan", F.when((d >= high) | (p >= high), "high").otherwise("medium"), F.concat(kind, F.lit(" "), d.cast("string"), F.lit(" hosts "), p.cast("string"), F.lit(" ports")), "packets", F.col("src_ip")))
+
+
+def spoofed_sources(c: Context) -> DataFrame:
+    """The targets of one-packet sources without a MAC, a reply or a protocol: one aggregation by address."""
+    label = net.port_label(F.col("proto"), F.col("src_port"), F.col("dst_port")).isNotNull()
+    known = lambda mac: F.col(mac).isNotNull() & (F.col(mac) != "00:00:00:00:00:00")
+    side = lambda ip, mac, sent: F.struct(F.col(ip).alias("ip"), known(mac).alias("mac"), F.lit(sent).alias("sent"), (F.col("dst_ip") if sent else F.lit(None).cast("string")).alias("target"))
+    sides = c.packets.select(F.explode(F.array(side("src_ip", "src_mac", 1), side("dst_ip", "dst_mac", 0))).alias("h"), label.alias("label"))
+    one = sides.groupBy("h.ip").agg(F.count("*").alias("packets"), F.sum("h.sent").alias("sent"), F.max("h.mac").alias("mac"), F.max("label").alias("label"), F.max("h.target").alias("dst_ip"))
+    return _rows(one.where("packets = 1 AND sent = 1 AND NOT mac AND NOT label"), _evidence("attack.spoofed_sources", "high", F.col("dst_ip")))
+
+
 CONFORMANCE_RULES = ("segmentation.idmz_bypass", "segmentation.wrong_direction", "segmentation.deny_by_default")
+#: Functions and the rules whose evidence they find.
+SOURCES: list[tuple[Callable[[Context], DataFrame], tuple[str, ...]]] = [
+    (plaintext_creds, ("creds.ftp", "creds.telnet", "creds.http_basic", "creds.snmp")),
+    (weak_creds, ("creds.default_or_weak_credentials",)),
+    (ldap_simple_bind, ("creds.ldap_simple_bind",)),
+    (ntlmv1, ("compat.ntlmv1",)),
+    (engineering, (*(rule for _, _, rule, _ in ENGINEERING), "ics.trusted_writer_activity")),
+    (smbv1, ("compat.smbv1",)),
+    (stale_tls, ("compat.stale_tls",)),
+    (weak_tls_cipher, ("compat.weak_tls_cipher",)),
+    (rdp_no_nla, ("creds.rdp_no_nla",)),
+    (unit_id_sweep, ("ics.modbus_unit_id_sweep",)),
+    (flow_rules, ("egress.ot_to_internet", "boundary.dns_resolver", "boundary.ntp_external", "ot.unexpected_protocols", *CONFORMANCE_RULES)),
+    (port_scan, ("recon.port_scan",)),
+    (spoofed_sources, ("attack.spoofed_sources",)),
+]
+RULES = tuple(rule for _, rules in SOURCES for rule in rules)
 
 
 def severity_rank(severity: Column) -> Column:
@@ -208,26 +209,28 @@ def severity_rank(severity: Column) -> Column:
 
 
 def findings(rows: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
-    """rule_id, entity, severity, hits, items and the largest evidence of each finding."""
-    order = Window.partitionBy("rule_id", "entity").orderBy(F.desc("weight"), "item")
-    ranked = rows.groupBy("rule_id", "entity", "severity", "item").agg(F.sum("weight").alias("weight")).withColumn("k", F.row_number().over(order))
-    kept = F.array_sort(F.collect_list(F.when(F.col("k") <= evidence, F.struct("k", "item", "weight"))))
-    out = ranked.groupBy("rule_id", "entity").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.sum("weight").alias("hits"), F.count("*").alias("items"), kept.alias("_e"))
-    return out.withColumn("evidence", F.transform("_e", lambda e: F.concat(e["item"], F.lit(" ("), e["weight"].cast("string"), F.lit(")")))).drop("_e")
+    """rule_id, entity, severity, hits, items and the largest evidence of each finding, ties by item.
+
+    Hits, items and severity are a partial aggregation; the largest items are cut in every task
+    before they meet.
+    """
+    key = ["rule_id", "entity"]
+    items = rows.groupBy(*key, "severity", "item").agg(F.sum("weight").alias("weight"))
+    totals = items.groupBy(*key).agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.sum("weight").alias("hits"), F.count("*").alias("items"))
+    totals = totals.where(~F.coalesce(*(F.when(F.col("rule_id") == rule, F.col("hits") <= least) for rule, least in MORE_THAN.items()), F.lit(False)))
+    k = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("weight"), "item", "severity"))
+    top = items.withColumn("k", k).where(F.col("k") <= evidence).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", F.concat("item", F.lit(" ("), F.col("weight").cast("string"), F.lit(")")).alias("text")))).alias("top"))
+    return totals.join(top, key).withColumn("evidence", F.transform("top", lambda e: e["text"])).drop("top")
 
 
 def run_rules(c: Context, only: Iterable[str] | None = None) -> DataFrame:
-    """All findings. With verdicts, the egress rule gives way to the three conformance rules; trusted activity needs declarations."""
-    names = list(only or RULES)
+    """All findings, as one plan. With verdicts, the egress rule gives way to the three conformance rules; trusted activity needs declarations."""
     if only is None:
-        names = [n for n in names if n not in CONFORMANCE_RULES or c.verdicts is not None]
+        names = [n for n in RULES if n not in CONFORMANCE_RULES or c.verdicts is not None]
         names = [n for n in names if n != "egress.ot_to_internet" or c.verdicts is None]
-        names = [n for n in names if n != "ics.trusted_writer_activity" or c.trusted]
-    if len(names) <= FEW:
-        return findings(reduce(DataFrame.unionByName, (RULES[n](c) for n in names)))
-    # each rule is planned and run alone and its findings, a few rows, are kept: one plan of all
-    # rules costs the optimizer more than the rules cost the executors
-    parts = [findings(RULES[n](c)).persist() for n in names]
-    for part in parts:
-        part.count()
-    return reduce(DataFrame.unionByName, parts)
+    else:
+        names = list(only)
+        if unknown := set(names) - set(RULES):
+            raise ValueError(f"no rules named {sorted(unknown)}")
+    rows = reduce(DataFrame.unionByName, (find(c) for find, rules in SOURCES if set(rules) & set(names)))
+    return findings(rows.where(F.col("rule_id").isin(*names)))

@@ -29,9 +29,12 @@ class Writer:
         return cls(*(str(ipaddress.ip_network(match[k])) for k in (1, 2)), match[3])
 
 
-def rule_index(rules: list[Writer], proto: Column) -> Column:
-    """The 1-based number of the first declaration that covers src_ip, dst_ip and proto; null where none does."""
-    tries = [F.when(net.in_nets(F.col("src_ip"), [r.src]) & net.in_nets(F.col("dst_ip"), [r.dst]) & (F.lit(r.proto == "any") | (proto == r.proto)), k) for k, r in enumerate(rules, 1)]
+def rule_index(rules: list[Writer], proto: Column, src: Column | None = None, dst: Column | None = None) -> Column:
+    """The 1-based number of the first declaration that covers src_ip, dst_ip and proto; null where none does.
+
+    src and dst: the numbers of the addresses, if they are at hand.
+    """
+    tries = [F.when(net.in_nets(F.col("src_ip"), [r.src], src) & net.in_nets(F.col("dst_ip"), [r.dst], dst) & (F.lit(r.proto == "any") | (proto == r.proto)), k) for k, r in enumerate(rules, 1)]
     return F.coalesce(*tries, F.lit(None).cast("int"))
 
 

@@ -187,14 +187,15 @@ def _boundary(port: int) -> str:
 
 
 def _violation(kind: str, severity: str) -> str:
-    return f"SELECT '{severity}' AS severity, '' AS entity, {_SERVICE} || '/' || {_PROTO} AS item, 1 AS weight FROM violations WHERE violation = '{kind}'"
+    return f"SELECT '{severity}' AS severity, '' AS entity, {_SERVICE} || '/' || {_PROTO} || ' established' AS item, 1 AS weight FROM violations WHERE violation = '{kind}'"
 
 
 _RULES = {
     **{f"creds.{k}": f"SELECT 'critical' AS severity, '' AS entity, dst_ip || ':' || dst_port AS item, n AS weight FROM creds WHERE kind = '{k}'" for k in ("ftp", "telnet", "http_basic", "snmp")},
     "creds.default_or_weak_credentials": f"SELECT 'critical' AS severity, '' AS entity, {_SERVICE} || ' ' || CASE kind WHEN 'ftp' THEN 'anonymous_ftp' ELSE 'weak_password' END AS item, n AS weight FROM creds WHERE kind = 'ftp' AND payload_hex LIKE '5553455220616E6F6E796D6F7573%' OR kind = 'http_basic' AND split_part(decode(from_base64(regexp_extract(decode(unhex(payload_hex)), 'Basic ([A-Za-z0-9+/=]+)', 1))), ':', 2) IN ('admin', 'password', '123456')",
     "creds.ldap_simple_bind": f"SELECT 'critical' AS severity, '' AS entity, {_SERVICE} AS item, 1 AS weight FROM ldap WHERE NOT used_starttls AND NOT anonymous",
-    "compat.ntlmv1": f"SELECT 'high' AS severity, {_PAIR} AS entity, {_SERVICE} AS item, 1 AS weight FROM packets WHERE payload_hex LIKE '%4E544C4D53535000%'",
+    # the derived negotiations have their flags at one offset
+    "compat.ntlmv1": f"SELECT 'high' AS severity, {_PAIR} AS entity, {_SERVICE} AS item, 1 AS weight FROM packets WHERE payload_hex LIKE '%4E544C4D5353500001000000%' AND {_byte(17)} & 2 = 2 AND {_byte(18)} & 8 = 0",
     "ics.modbus_writes": _engineering_rule("modbus"),
     "ics.cip_engineering": _engineering_rule("cip", "high"),
     "ics.s7_engineering": _engineering_rule("s7"),
@@ -204,11 +205,11 @@ _RULES = {
     "compat.stale_tls": f"SELECT 'medium' AS severity, '' AS entity, {_PAIR} || ' ' || hex(version) AS item, hellos AS weight FROM tls WHERE version BETWEEN 768 AND 770",
     "compat.weak_tls_cipher": f"SELECT 'medium' AS severity, {_PAIR} AS entity, hex(cipher) AS item, hellos AS weight FROM ciphers WHERE cipher IN (1, 2, 4, 5, 9, 10)",
     "creds.rdp_no_nla": f"SELECT 'critical' AS severity, {_PAIR} AS entity, {_PAIR} AS item, 1 AS weight FROM rdp WHERE selected_protocol = 0",
-    "ics.modbus_unit_id_sweep": f"SELECT CASE WHEN n >= 50 THEN 'high' ELSE 'medium' END AS severity, {_PAIR} AS entity, '' AS item, n AS weight FROM (SELECT src_ip, dst_ip, count(DISTINCT unit_id) AS n FROM modbus GROUP BY 1, 2) WHERE n >= 5",
-    "egress.ot_to_internet": f"SELECT 'critical' AS severity, '' AS entity, {_SERVICE} || '/' || {_PROTO} AS item, bytes AS weight FROM flows WHERE {_ot('src_ip')} AND {_public('dst_ip')}",
+    "ics.modbus_unit_id_sweep": f"SELECT CASE WHEN len(ids) >= 50 THEN 'high' ELSE 'medium' END AS severity, {_PAIR} AS entity, array_to_string(ids[1:10], ',') AS item, len(ids) AS weight FROM (SELECT src_ip, dst_ip, list_sort(list(DISTINCT unit_id)) AS ids FROM modbus GROUP BY 1, 2) WHERE len(ids) >= 5",
+    "egress.ot_to_internet": f"SELECT 'critical' AS severity, '' AS entity, {_SERVICE} || '/' || {_PROTO} || CASE WHEN dst_port = 53 THEN ' dns' WHEN dst_port = 123 THEN ' ntp' WHEN dst_port IN (500, 1194, 4500, 51820) THEN ' tunnel' ELSE '' END AS item, bytes AS weight FROM flows WHERE {_ot('src_ip')} AND {_public('dst_ip')}",
     "boundary.dns_resolver": _boundary(53),
     "boundary.ntp_external": _boundary(123),
-    "recon.port_scan": "SELECT CASE WHEN d >= 50 OR p >= 50 THEN 'high' ELSE 'medium' END AS severity, src_ip AS entity, '' AS item, packets AS weight FROM scans WHERE d >= 10 OR p >= 10",
+    "recon.port_scan": "SELECT CASE WHEN d >= 50 OR p >= 50 THEN 'high' ELSE 'medium' END AS severity, src_ip AS entity, CASE WHEN d >= 10 AND p <= 3 THEN 'horizontal' WHEN d <= 3 AND p >= 10 THEN 'vertical' ELSE 'combined' END || ' ' || d || ' hosts ' || p || ' ports' AS item, packets AS weight FROM scans WHERE d >= 10 OR p >= 10",
     "ot.unexpected_protocols": f"SELECT 'medium' AS severity, '' AS entity, {_NO_FLY} || ' ' || {_SERVICE} AS item, packets AS weight FROM flows WHERE {_NO_FLY} IS NOT NULL AND ({_ot('src_ip')} OR {_ot('dst_ip')})",
     "attack.spoofed_sources": "SELECT 'high' AS severity, '' AS entity, dst_ip AS item, packets AS weight FROM flows JOIN single USING (src_ip) WHERE (SELECT count(*) FROM single) > 500",
     "segmentation.idmz_bypass": _violation("idmz_bypass", "critical"),
@@ -219,10 +220,13 @@ _RANK = "CASE severity WHEN 'info' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN
 
 
 def _found(name: str) -> str:
-    return f"SELECT '{name}' AS rule_id, entity, arg_max(severity, {_RANK}) AS severity, CAST(sum(weight) AS BIGINT) AS hits, count(DISTINCT (severity, item)) AS items FROM ({_RULES[name]}) GROUP BY entity"
+    items = f"SELECT entity, severity, item, CAST(sum(weight) AS BIGINT) AS w FROM ({_RULES[name]}) GROUP BY ALL"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY entity ORDER BY w DESC, item, severity) AS k FROM ({items})"
+    return f"SELECT '{name}' AS rule_id, entity, arg_max(severity, {_RANK}) AS severity, CAST(sum(w) AS BIGINT) AS hits, count(*) AS items, string_agg(item || ' (' || w || ')', '; ' ORDER BY k) FILTER (k <= 15) AS evidence FROM ({ranked}) GROUP BY entity"
 
 
 _ALL = " UNION ALL ".join(_found(n) for n in _RULES if not n.startswith("segmentation."))
+_POLICY_AWARE = " UNION ALL ".join(_found(n) for n in _RULES if n != "egress.ot_to_internet")
 _KEY = "src_ip, dst_ip, dst_port, proto"
 _IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 _IP6 = r"\b(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}\b"
@@ -278,6 +282,7 @@ ORACLE: dict[str, str] = {
             "ldap_binds": "SELECT pkt_id, src_ip, dst_ip, version, anonymous, used_starttls FROM ldap",
             "modbus_units": "SELECT src_ip, dst_ip, count(DISTINCT unit_id) AS units FROM modbus GROUP BY 1, 2",
             "findings_all": _ALL,
+            "findings_policy": _POLICY_AWARE,
             "findings_by_severity": f"SELECT severity, count(*) AS findings, CAST(sum(hits) AS BIGINT) AS hits FROM ({_ALL}) GROUP BY severity",
             "findings_mitre": "SELECT technique, count(*) AS findings, CAST(sum(hits) AS BIGINT) AS hits FROM (" + _ALL + ") JOIN (VALUES " + ", ".join(f"('{r[0]}', '{t}')" for r in CATALOG for t in r[2]) + ") v(rule, technique) ON rule = rule_id GROUP BY technique",
             "assets": "SELECT ip, mac, vendor, role, packets, bytes, in_ot FROM assets",

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..operators import catalog, conformance, drift, extract, inventory, observe, privacy, rules
 from ..operators.trusted import unmatched_trusted
-from ..sources.packets import derived_packets
+from ..sources.packets import packets_table
 from .fixtures import OT, POLICY, SPLIT, TRUSTED
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _of(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: f(derived_packets(spark, d))
+    return lambda spark, d: f(packets_table(spark, d))
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = derived_packets(spark, d)
+    p = packets_table(spark, d)
     return p.where(F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")), p.where(F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz"))
 
 
@@ -33,12 +33,12 @@ def _context(p: DataFrame, conform: bool = False, trusted: bool = True) -> rules
     return rules.Context(p, OT, TRUSTED if trusted else [], conformance.verdicts(observe.flows(p), POLICY) if conform else None)
 
 
-def _rule(name: str) -> Query:
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        c = _context(derived_packets(spark, d), name in rules.CONFORMANCE_RULES)
-        return rules.run_rules(c, [name]).select("rule_id", "entity", "severity", "hits", "items")
+def _shown(findings: DataFrame) -> DataFrame:
+    return findings.select("rule_id", "entity", "severity", "hits", "items", F.array_join("evidence", "; ").alias("evidence"))
+
 
-    return query
+def _rule(name: str) -> Query:
+    return _of(lambda p: _shown(rules.run_rules(_context(p, name in rules.CONFORMANCE_RULES), [name])))
 
 
 def _verdicts(p: DataFrame) -> DataFrame:
@@ -56,13 +56,8 @@ def _labels(p: DataFrame) -> DataFrame:
     return p.groupBy(label.alias("label"), net.proto_label(F.col("proto")).alias("transport"), net.no_fly_label(F.col("proto"), F.col("dst_port")).alias("no_fly")).agg(F.count("*").alias("packets"), F.sum("payload_len").alias("bytes"))
 
 
-def _all_findings(p: DataFrame) -> DataFrame:
-    """All rules over one relation that is derived by a join: it is made once and kept, spilling to disk."""
-    return rules.run_rules(_context(p.persist()))
-
-
 def _findings(p: DataFrame) -> DataFrame:
-    return _all_findings(p).select("rule_id", "entity", "severity", "hits", "items")
+    return rules.run_rules(_context(p))
 
 
 def _addresses(spark: SparkSession, d: str) -> DataFrame:
@@ -151,9 +146,10 @@ QUERIES: dict[str, Query] = {
     "rdp_events": _of(lambda p: extract.rdp_events(p).select("pkt_id", "src_ip", "dst_ip", "selected_protocol")),
     "ldap_binds": _of(lambda p: extract.ldap_binds(p).select("pkt_id", "src_ip", "dst_ip", "version", "anonymous", "used_starttls")),
     "modbus_units": _of(lambda p: extract.modbus_units(p).drop("unit_ids")),
-    "findings_all": _of(_findings),
+    "findings_all": _of(lambda p: _shown(_findings(p))),
+    "findings_policy": _of(lambda p: _shown(rules.run_rules(_context(p, True)))),
     "findings_by_severity": _of(lambda p: _findings(p).groupBy("severity").agg(F.count("*").alias("findings"), F.sum("hits").alias("hits"))),
-    "findings_mitre": _of(lambda p: catalog.techniques(_all_findings(p))),
+    "findings_mitre": _of(lambda p: catalog.techniques(_findings(p))),
     "assets": _of(lambda p: _assets(p).select("ip", "mac", "vendor", "role", "packets", "bytes", "in_ot")),
     "asset_roles": _of(lambda p: _assets(p).groupBy("role", "vendor").agg(F.count("*").alias("assets"))),
     "asset_top100": _of(lambda p: inventory.top_assets(_assets(p)).select("ip", "role", "packets")),

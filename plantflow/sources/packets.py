@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import PACKETS
+from .staging import staged
 
 _WIRE = [
     (6, 502, "0001000000060103006B0003"), (6, 502, "000100000006010500010000"), (6, 502, "000100000006010800040000"),
@@ -18,6 +19,10 @@ _WIRE = [
 ]
 
 
+#: Negotiations of NTLM, by their flags: version 1, and version 2.
+_NTLM = ["000000404E544C4D535350000100000000020000", "000000404E544C4D535350000100000000020800"]
+
+
 def derived_sql(lineitem: str = "lineitem", orders: str = "orders") -> str:
     """SQL of a packet relation over the order tables; the same text runs on Spark and on DuckDB."""
     wire = ", ".join(f"({k}, {p}, {d}, '{h}')" for k, (p, d, h) in enumerate(_WIRE))
@@ -35,14 +40,16 @@ WITH wire(k, proto, dst_port, payload_hex) AS (VALUES {wire}), base AS (
        ELSE concat('10.10.', cast(b.ck % 8 as varchar(10)), '.', cast(b.ck % 250 + 1 as varchar(10))) END AS src_ip,
   CASE WHEN b.dk % 17 = 0 THEN '239.1.1.1' WHEN b.dk % 13 = 5 THEN concat('8.8.0.', cast(b.dk % 250 + 1 as varchar(10)))
        ELSE concat('10.20.', cast(b.dk % 4 as varchar(10)), '.', cast(b.dk % 250 + 1 as varchar(10))) END AS dst_ip,
-  w.proto, 49152 + b.ok % 16000 AS src_port, w.dst_port, w.payload_hex, CASE WHEN w.payload_hex = '' THEN b.q ELSE cast(length(w.payload_hex) / 2 as bigint) END AS payload_len
+  w.proto, 49152 + b.ok % 16000 AS src_port, w.dst_port,
+  CASE WHEN w.k = 0 AND b.ck % 3 = 0 THEN concat('000100000006', lpad(hex(b.ok % 97), 2, '0'), '03006B0003')
+       WHEN w.k = 12 AND b.ok % 5 = 1 THEN '{_NTLM[0]}' WHEN w.k = 12 AND b.ok % 5 = 2 THEN '{_NTLM[1]}' ELSE w.payload_hex END AS payload_hex, b.q
  FROM base b JOIN wire w ON b.wk = w.k
-)
-SELECT pkt_id, ts, src_mac, dst_mac, src_ip, dst_ip, proto, src_port, dst_port, payload_hex, payload_len FROM fwd
+), sized AS (SELECT ok, wk, pkt_id, ts, src_mac, dst_mac, src_ip, dst_ip, proto, src_port, dst_port, payload_hex, CASE WHEN payload_hex = '' THEN q ELSE cast(length(payload_hex) / 2 as bigint) END AS payload_len FROM fwd)
+SELECT pkt_id, ts, src_mac, dst_mac, src_ip, dst_ip, proto, src_port, dst_port, payload_hex, payload_len FROM sized
 UNION ALL
 SELECT 4000000000000000000 + pkt_id, ts, dst_mac, src_mac, dst_ip, src_ip, proto, dst_port, src_port,
  CASE wk WHEN 0 THEN '0001000000050103020000' WHEN 1 THEN '000100000006010500010000' ELSE '300C02010178070A010004000400' END, CASE wk WHEN 0 THEN 11 WHEN 1 THEN 12 ELSE 14 END
-FROM fwd WHERE ok % 3 = 0 AND wk IN (0, 1, 14) AND dst_ip <> '239.1.1.1'
+FROM sized WHERE ok % 3 = 0 AND wk IN (0, 1, 14) AND dst_ip <> '239.1.1.1'
 UNION ALL
 SELECT -o_orderkey, o_orderdate, NULL, '00:0E:8C:01:00:FF', concat('203.', cast(cast(floor(o_orderkey / 65536.0) as bigint) % 200 as varchar(10)), '.', cast(cast(floor(o_orderkey / 256.0) as bigint) % 256 as varchar(10)), '.', cast(o_orderkey % 256 as varchar(10))),
  '10.20.1.200', 6, 1024 + o_orderkey % 30000, 50001, '', 0
@@ -57,6 +64,17 @@ def derived_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(*(made[f.name].cast(f.dataType).alias(f.name) for f in PACKETS))
 
 
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived packets as a written table, as captures are ingested once and then queried; made once a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _tables:
+        _tables[key] = staged(derived_packets(spark, sf_dir), "packets")
+    return _tables[key]
+
+
 def stored_packets(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet packet table; more columns are allowed, and only those a query uses are read."""
     return spark.read.parquet(path)
