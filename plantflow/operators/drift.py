@@ -55,6 +55,13 @@ def finding_delta(base: DataFrame, current: DataFrame) -> DataFrame:
     return both.select(*key, F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "resolved").otherwise("recurring").alias("change"))
 
 
+def tally_delta(base: DataFrame, current: DataFrame) -> DataFrame:
+    """metric, baseline, current of two conformance tallies of one policy (one row each)."""
+    metrics = ["allowed", "intra_zone", "violating_flows", "idmz_bypasses", "no_matching_conduit", "wrong_direction", "multicast_exempt", "external_endpoints"]
+    long = lambda df, name: df.unpivot([], metrics, "metric", name)
+    return long(base, "baseline").join(long(current, "current"), "metric")
+
+
 def violation_delta(base: DataFrame, current: DataFrame) -> DataFrame:
     """The same for violations, by kind and flow."""
     key = ["violation", *FLOW_KEY]

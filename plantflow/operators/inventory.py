@@ -52,12 +52,24 @@ def top_assets(asset_table: DataFrame, n: int = 100) -> DataFrame:
     return asset_table.orderBy(F.desc("packets"), F.coalesce(net.ip_num(F.col("ip")), F.lit(1 << 33)), "ip").limit(n)
 
 
-def capture_sanity(totals: DataFrame) -> DataFrame:
-    """epoch_zero (no time after the epoch), else sub_second (two packets or more in under a second)."""
-    last = F.unix_micros(F.col("max_ts").cast("timestamp"))
-    first = F.unix_micros(F.col("min_ts").cast("timestamp"))
-    epoch = F.coalesce(last <= 0, F.lit(False))
-    return totals.select("packets", epoch.alias("epoch_zero"), F.coalesce(~epoch & (F.col("packets") >= 2) & (last - first < 1_000_000), F.lit(False)).alias("sub_second"))
+def capture_sanity(totals: DataFrame, steps: DataFrame) -> DataFrame:
+    """epoch_zero (no second after the epoch), else sub_second (two packets or more in under a second); non_monotonic.
+
+    steps: one row of observe.steps_back, or none without packets.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    epoch = F.coalesce(F.floor(micros("max_ts") / 1_000_000) <= 0, F.lit(False))
+    short = F.coalesce(~epoch & (F.col("packets") >= 2) & (micros("max_ts") - micros("min_ts") < 1_000_000), F.lit(False))
+    back = steps.agg(F.coalesce(F.sum("steps"), F.lit(0)).alias("steps"))
+    return totals.crossJoin(back).select("packets", epoch.alias("epoch_zero"), short.alias("sub_second"), (F.col("steps") > 0).alias("non_monotonic"))  # one row each
+
+
+def map_coverage(host_table: DataFrame, scrub_map: DataFrame) -> DataFrame:
+    """One row: hosts, those whose address a map holds, their share, and whether it is so low that the map may be of another capture."""
+    known = scrub_map.select(F.col("real").alias("ip")).distinct().withColumn("mapped", F.lit(1))
+    out = host_table.select("ip").join(known, "ip", "left").agg(F.count("*").alias("hosts"), F.count("mapped").alias("mapped"))
+    share = F.when(F.col("hosts") > 0, F.col("mapped") / F.col("hosts"))
+    return out.withColumns({"share": F.round(share, 6), "low": F.coalesce(share < 0.5, F.lit(False))})
 
 
 def capture_source(mac_frames: DataFrame, totals: DataFrame, declared: str | None = None) -> DataFrame:

@@ -34,10 +34,18 @@ def capture_totals(packets: DataFrame) -> DataFrame:
     return totals
 
 
-def steps_back(packets: DataFrame, by: str = "capture_id", order: str = "pkt_id") -> DataFrame:
-    """by, steps: packets earlier than the one before them in the same capture."""
-    before = F.lag("ts").over(Window.partitionBy(by).orderBy(order))
-    return packets.select(by, "ts", before.alias("before")).groupBy(by).agg(F.count_if(F.col("ts") < F.col("before")).alias("steps"))
+def steps_back(packets: DataFrame, by: str | None = None, order: str = "pkt_id") -> DataFrame:
+    """by, steps: packets earlier than the one before them in the same capture (in all, without by).
+
+    Packets are range-sorted; every range is looked at on its own, and then the ends of neighbouring ranges.
+    """
+    capture = F.col(by) if by else F.lit(0)
+    rows = packets.select(capture.alias("_by"), F.col(order).alias("_at"), "ts").repartitionByRange("_by", "_at").withColumn("_part", F.spark_partition_id())
+    before = F.lag("ts").over(Window.partitionBy("_part", "_by").orderBy("_at"))
+    parts = rows.withColumn("_before", before).groupBy("_by", "_part").agg(F.count_if(F.col("ts") < F.col("_before")).alias("steps"), F.min("_at").alias("_from"), F.min_by("ts", "_at").alias("_first"), F.max_by("ts", "_at").alias("_last"))
+    last = F.lag("_last").over(Window.partitionBy("_by").orderBy("_from"))  # one row a range
+    out = parts.withColumn("_before", last).groupBy("_by").agg((F.sum("steps") + F.count_if(F.col("_first") < F.col("_before"))).alias("steps"))
+    return out.select(F.col("_by").alias(by), "steps") if by else out.select("steps")
 
 
 def mac_frames(packets: DataFrame) -> DataFrame:
@@ -88,6 +96,14 @@ def sent_received(flow_table: DataFrame) -> DataFrame:
     return side.groupBy(F.col("s.ip").alias("ip")).agg(F.sum("s.sent").alias("sent"), F.sum("s.received").alias("received"))
 
 
+def flow_index(flow_table: DataFrame) -> DataFrame:
+    """flow_table with flow_index, dense from 0 in the order of addresses, port and protocol."""
+    from .privacy import numbered
+
+    by = [c for ip in ("src_ip", "dst_ip") for c in (net.ip_num(F.col(ip)), net.v6_hex(F.col(ip)))]
+    return numbered(flow_table, [*by, F.col("dst_port"), F.col("proto")], "flow_index", 0)
+
+
 def comms_matrix(flow_table: DataFrame, n: int = 25) -> DataFrame:
     """The n flows with most bytes."""
     return flow_table.orderBy(F.desc("bytes"), *FLOW_KEY).limit(n)

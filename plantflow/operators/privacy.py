@@ -3,30 +3,35 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.staging import staged
 
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 IPV6 = r"\b(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}\b"
 MAC = r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b"
 PSEUDONYM = r"\b(?:host|mac|name)_[0-9]+\b"
-#: Entries of a map that is sent to every task.
-MAP_ROWS = 500_000
 
 
 class LeakError(RuntimeError):
     """Text that was to be written still holds real values."""
 
 
-def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
-    """df with dense numbers from 1 in the order: a range sort, a count for each partition, no single task."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    indexed = df.orderBy(*order).rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
-    return df.sparkSession.createDataFrame(indexed, schema)
+def numbered(df: DataFrame, order: list, name: str = "n", start: int = 1) -> DataFrame:
+    """df with dense numbers from start in the order: a range sort, a count for each range, no single task.
+
+    The ranges are written, so that both readings see the same ones.
+    """
+    own = Window.partitionBy("_part").orderBy("_at")
+    rows = df.withColumn("_at", F.struct(*(c if isinstance(c, Column) else F.col(c) for c in order))).repartitionByRange("_at").withColumn("_part", F.spark_partition_id())
+    ranked = staged(rows.withColumn("_k", F.row_number().over(own)), "ranked")
+    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_size"))  # one row a range
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranked.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_k") + (start - 1)).drop("_at", "_part", "_k", "_before")
 
 
 def build_scrub_map(values: DataFrame, prefix: str, order: list | None = None, start: int = 0) -> DataFrame:
@@ -52,43 +57,100 @@ def map_problems(scrub_map: DataFrame) -> DataFrame:
     return shape.unionByName(empty).unionByName(twice[0]).unionByName(twice[1])
 
 
-def _sent(scrub_map: DataFrame, key: str, value: str) -> dict[str, str]:
-    rows = scrub_map.select(key, value).limit(MAP_ROWS + 1).collect()
-    if len(rows) > MAP_ROWS:
-        raise ValueError(f"the map has more than {MAP_ROWS} entries; scrub by parts of the corpus with the entries each needs (see entries_for)")
-    return {r[0]: r[1] for r in rows if r[0]}
+def _marked(df: DataFrame) -> DataFrame:
+    """df with a number for each row, as a table, so that rows can be found again."""
+    return staged(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
-def entries_for(df: DataFrame, column: str, scrub_map: DataFrame, pattern: str = f"{MAC}|{IPV4}") -> DataFrame:
-    """The entries of a large map whose real value stands as a token of the text, by a shuffle on the value."""
-    tokens = df.select(F.explode(F.regexp_extract_all(column, F.lit(f"({pattern})"), 1)).alias("real")).distinct()
-    return scrub_map.join(tokens, "real", "left_semi")
+def _places(rows: DataFrame, column: str, find: Callable[[bytes], list[tuple[int, bytes]]]) -> DataFrame:
+    """_row, start (in bytes), found: what find sees in each text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0), batch.column(1), strict=True):
+                places = find(text.as_py().encode()) if text.is_valid else []
+                for a in range(0, len(places), 10_000):
+                    some = places[a : a + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(some)), pa.array([p[0] for p in some], pa.int64()), pa.array([p[1].decode() for p in some], pa.string())], names=["_row", "start", "found"])
 
-def _replaced(df: DataFrame, column: str, pattern: str, table: dict[str, str]) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast((pattern, table))
+    return rows.select("_row", F.col(column).cast("string")).mapInArrow(run, "_row long, start long, found string")
 
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, pairs = sent.value
-        find = re.compile(own)
-        for part in parts:
-            yield part.map(lambda t: None if t is None else find.sub(lambda m: pairs.get(m[0], m[0]), t))
 
-    return df.withColumn(column, run(F.col(column)))
+def _real_places(rows: DataFrame, column: str, scrub_map: DataFrame) -> DataFrame:
+    """_row, start, found, pseudonym: everywhere that a real value of the map stands in the text.
+
+    A place is a candidate where three bytes begin a value; what stands there in each length of a value
+    meets the map in a shuffle. Sent to tasks are the three bytes, 2**24 at most, and the lengths.
+    """
+    head = F.hex(F.substring(F.col("real").cast("binary"), 1, 3))
+    known = scrub_map.where("real <> ''").groupBy(head.alias("head")).agg(F.array_sort(F.collect_set(F.octet_length("real"))).alias("sizes")).collect()
+    heads = {bytes.fromhex(r["head"]): r["sizes"] for r in known}
+    shape = re.compile(b"(?=(" + b"|".join(re.escape(h) for h in sorted(heads, key=lambda h: (-len(h), h))) + b"))", re.DOTALL) if heads else None
+
+    def find(text: bytes) -> list[tuple[int, bytes]]:
+        out = []
+        for m in shape.finditer(text) if shape else ():
+            a = m.start()
+            for head in {text[a : a + n] for n in (1, 2, 3)}:
+                for size in heads.get(head, ()):
+                    part = text[a : a + size]
+                    # a value ends where a character does
+                    if len(part) == size and (a + size == len(text) or text[a + size] & 0xC0 != 0x80):
+                        out.append((a, part))
+        return out
+
+    return _places(rows, column, find).join(scrub_map.select(F.col("real").alias("found"), F.col("pseudonym").alias("to")).where("found <> ''"), "found")
+
+
+def _pseudonym_places(rows: DataFrame, column: str, scrub_map: DataFrame) -> DataFrame:
+    """The same for pseudonyms; to is null for those that the map lacks."""
+    shape = re.compile(PSEUDONYM.encode())
+    found = _places(rows, column, lambda text: [(m.start(), m[0]) for m in shape.finditer(text)])
+    return found.join(scrub_map.select(F.col("pseudonym").alias("found"), F.col("real").alias("to")), "found", "left")
+
+
+def _replaced(df: DataFrame, column: str, places: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with what places finds replaced: at each place the longest, from the left, none inside another."""
+    rows = _marked(df)
+    spans = places(rows).where("to IS NOT NULL").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", (-F.octet_length("found")).alias("size"), "to"))).alias("_spans"))
+    at, kind = rows.columns.index(column), rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if text is not None and spans:
+                    data, out, end = text.encode(), [], 0
+                    for s in spans:
+                        if s["start"] >= end:
+                            out += [data[end : s["start"]], s["to"].encode()]
+                            end = s["start"] - s["size"]
+                    text = b"".join([*out, data[end:]]).decode()
+                texts.append(text)
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=kind.names)
+
+    return rows.join(spans, "_row", "left").select(*rows.columns, "_spans").mapInArrow(run, kind).drop("_row")
 
 
 def scrub(df: DataFrame, column: str, scrub_map: DataFrame) -> DataFrame:
-    """df with every real value in column replaced, in one pass, the longest at each place. Null stays null."""
-    table = _sent(scrub_map, "real", "pseudonym")
-    if not table:
-        return df
-    return _replaced(df, column, "|".join(re.escape(v) for v in sorted(table, key=lambda v: (-len(v), v))), table)
+    """df with every real value in column (a string) replaced, in one pass, the longest at each place. Null stays null.
+
+    Maps and texts meet in shuffles, so both may be of any size.
+    """
+    return _replaced(df, column, lambda rows: _real_places(rows, column, scrub_map))
 
 
 def unscrub(df: DataFrame, column: str, scrub_map: DataFrame) -> DataFrame:
     """df with known pseudonyms in column replaced by real values; others stay."""
-    return _replaced(df, column, r"\b(?:host|mac|name)_[0-9]+\b", _sent(scrub_map, "pseudonym", "real"))
+    return _replaced(df, column, lambda rows: _pseudonym_places(rows, column, scrub_map))
+
+
+def unscrub_report(df: DataFrame, column: str, scrub_map: DataFrame) -> DataFrame:
+    """One row: replaced, the pseudonyms that unscrub replaces, and unmapped, the different ones that it leaves."""
+    found = _pseudonym_places(df.withColumn("_row", F.monotonically_increasing_id()), column, scrub_map)
+    return found.agg(F.count("to").alias("replaced"), F.count_distinct(F.when(F.col("to").isNull(), F.col("found"))).alias("unmapped"))
 
 
 def pseudonyms_in(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
@@ -108,8 +170,8 @@ def leak_scan(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
 
 def map_leaks(df: DataFrame, column: str, scrub_map: DataFrame, keep: list[str]) -> DataFrame:
     """keep of the rows whose text contains a real value of the map."""
-    table = _sent(scrub_map, "real", "pseudonym")
-    return df.where(F.col(column).rlike("|".join(re.escape(v) for v in sorted(table)))).select(*keep) if table else df.limit(0).select(*keep)
+    rows = _marked(df.select(*keep, column) if column not in keep else df.select(*keep))
+    return rows.join(_real_places(rows, column, scrub_map).select("_row").distinct(), "_row", "left_semi").select(*keep)
 
 
 def assert_no_leaks(df: DataFrame, column: str, scrub_map: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def _sql(body: str) -> str:
                 need.add(name)
                 todo.append(sql)
     parts = ", ".join(f"{n} AS ({s})" for n, s in _CTES if n in need)
-    if body.startswith("WITH "):
+    if parts and body.startswith("WITH "):
         return f"WITH {parts}, {body[5:]}"
     return f"WITH {parts} {body}" if parts else body
 
@@ -255,6 +255,17 @@ def _side_findings(side: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS rule_id, entity FROM ({s.format(side=side)})" for n, s in _SIDE_RULES.items())
 
 
+_TALLY = [(k, f"count(*) FILTER (kind = '{k}')") for k in ("allowed", "intra_zone", "no_matching_conduit", "wrong_direction", "multicast_exempt")] + [
+    ("violating_flows", "count(*) FILTER (kind IN ('wrong_direction', 'no_matching_conduit') OR idmz_bypass)"), ("idmz_bypasses", "count(*) FILTER (idmz_bypass)"),
+    ("external_endpoints", "CAST(coalesce(sum(CAST(src_zone = 'EXTERNAL' AS BIGINT) + CAST(dst_zone = 'EXTERNAL' AS BIGINT)), 0) AS BIGINT)"),
+]
+#: What stands between the addresses, and a pseudonym for each of them.
+_SCRUBBED = f"""WITH m AS (SELECT real, 'host_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS pseudonym FROM (SELECT real, row_number() OVER (ORDER BY real) AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{_IP}')) AS real FROM documents))),
+ p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{_IP}')) AS part, generate_subscripts(regexp_split_to_array(text, '{_IP}'), 1) AS i FROM documents),
+ a AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_IP}')) AS real, generate_subscripts(regexp_extract_all(text, '{_IP}'), 1) AS i FROM documents),
+ t AS (SELECT doc_id, string_agg(part || coalesce(pseudonym, ''), '' ORDER BY i) AS text FROM p LEFT JOIN a USING (doc_id, i) LEFT JOIN m USING (real) GROUP BY doc_id)
+SELECT d.doc_id, sha256(t.text) AS sha256, length(t.text) AS chars FROM documents d LEFT JOIN t USING (doc_id)"""
+
 ORACLE: dict[str, str] = {
     k: _sql(v)
     for k, v in (
@@ -289,7 +300,14 @@ ORACLE: dict[str, str] = {
             "asset_roles": "SELECT role, vendor, count(*) AS assets FROM assets GROUP BY 1, 2",
             "asset_top100": f"SELECT ip, role, packets FROM assets ORDER BY packets DESC, {_num('ip')} LIMIT 100",
             "capture_source": "SELECT n AS packets, distinct_macs, round(top / n, 6) AS top_share, CASE WHEN distinct_macs >= 10 AND top / n < 0.6 AND b > 0 THEN 'span' ELSE 'ambiguous' END AS source, CASE WHEN distinct_macs >= 10 AND top / n < 0.6 AND b > 0 THEN CASE WHEN n >= 1000 THEN 'high' ELSE 'medium' END ELSE 'low' END AS confidence, false AS conflict FROM (SELECT count(*) AS n, count(*) FILTER (dst_mac = 'FF:FF:FF:FF:FF:FF') AS b FROM packets), (SELECT count(*) AS distinct_macs, max(frames) AS top FROM frames)",
-            "capture_sanity": "SELECT count(*) AS packets, max(epoch_us(ts)) <= 0 AS epoch_zero, count(*) >= 2 AND max(epoch_us(ts)) - min(epoch_us(ts)) < 1000000 AND max(epoch_us(ts)) > 0 AS sub_second FROM packets",
+            "capture_sanity": "SELECT count(*) AS packets, max(epoch_us(ts)) < 1000000 AS epoch_zero, count(*) >= 2 AND max(epoch_us(ts)) >= 1000000 AND max(epoch_us(ts)) - min(epoch_us(ts)) < 1000000 AS sub_second, coalesce(bool_or(ts < before), false) AS non_monotonic FROM (SELECT *, lag(ts) OVER (ORDER BY pkt_id) AS before FROM packets)",
+            "flow_index": f"SELECT row_number() OVER (ORDER BY {_num('src_ip')}, {_num('dst_ip')}, dst_port, proto) - 1 AS flow_index, {_KEY}, CASE WHEN label IN ('modbus', 'dnp3', 'enip', 's7comm', 'bacnet', 'opcua') THEN 'dpi_confirmed' WHEN label IS NOT NULL THEN 'port_heuristic' ELSE 'unknown' END AS service_source FROM flows",
+            "map_coverage": f"SELECT count(*) AS hosts, count(*) FILTER ({_num('ip')} % 3 < 2) AS mapped, round(count(*) FILTER ({_num('ip')} % 3 < 2) / count(*), 6) AS share, count(*) FILTER ({_num('ip')} % 3 < 2) / count(*) < 0.5 AS low FROM hosts",
+            "violations_graded": "SELECT violation, CASE WHEN packets = 1 OR packets % 3 = 0 THEN 'attempted' ELSE 'established' END AS grade, count(*) AS flows, CAST(sum(packets) AS BIGINT) AS packets FROM violations GROUP BY 1, 2",
+            "segmentation_tally": " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT {e} FROM base_verdicts) AS baseline, (SELECT {e} FROM now_verdicts) AS current" for m, e in _TALLY),
+            "flow_rates": f"SELECT * FROM (SELECT {_KEY}, b.bytes AS base_bytes, n.bytes AS current_bytes, CASE WHEN least(b.bytes, n.bytes) > 0 AND b.bytes IS NOT NULL AND n.bytes IS NOT NULL THEN round(greatest(b.bytes / 1036800.0, n.bytes / 864000.0) / least(b.bytes / 1036800.0, n.bytes / 864000.0), 6) END AS ratio, CASE WHEN b.bytes IS NULL THEN 'new' WHEN n.bytes IS NULL THEN 'gone' WHEN least(b.bytes, n.bytes) > 0 AND greatest(CAST(b.bytes AS DOUBLE) / 1036800, CAST(n.bytes AS DOUBLE) / 864000) / least(CAST(b.bytes AS DOUBLE) / 1036800, CAST(n.bytes AS DOUBLE) / 864000) >= 3 THEN 'shifted' END AS change FROM base_flows b FULL JOIN now_flows n USING ({_KEY})) WHERE change IS NOT NULL",
+            "unscrub_counts": f"SELECT CAST(coalesce(sum(k) FILTER (n % 3 <> 0), 0) AS BIGINT) AS replaced, count(*) FILTER (n % 3 = 0) AS unmapped FROM (SELECT real, count(*) AS k, row_number() OVER (ORDER BY real) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_IP}')) AS real FROM documents) GROUP BY real)",
+            "scrubbed_docs": _SCRUBBED,
             "zone_suggest": "WITH r AS (SELECT regexp_replace(ip, '[0-9]+$', '0/24') AS cidr, role, CASE role WHEN 'plc' THEN 'L1' WHEN 'hmi' THEN 'L2' WHEN 'it_endpoint' THEN 'L4' ELSE 'L3' END AS level FROM assets WHERE in_ot), l AS (SELECT cidr, level, count(*) AS n FROM r GROUP BY 1, 2), t AS (SELECT cidr, string_agg(n || ' ' || role, ', ' ORDER BY n DESC, role) AS roles FROM (SELECT cidr, role, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY cidr) SELECT 'zone-' || regexp_replace(cidr, '[./]+', '-', 'g') AS zone, cidr, arg_min(level, (-n, level)) AS level, CAST(sum(n) AS BIGINT) AS assets, any_value(roles) AS roles FROM l JOIN t USING (cidr) GROUP BY cidr",
             "zone_resolve": "SELECT ip, zone, level, directed FROM zoned",
             "verdicts": f"SELECT {_KEY}, src_zone, dst_zone, kind, conduit, idmz_bypass FROM verdicts",

@@ -123,7 +123,47 @@ def segmentation_drift(spark: SparkSession, d: str) -> DataFrame:
     return delta.groupBy("violation", "change").agg(F.count("*").alias("violations"))
 
 
+def segmentation_tally(spark: SparkSession, d: str) -> DataFrame:
+    return drift.tally_delta(*(conformance.conformance_tally(_verdicts(p)) for p in _sides(spark, d)))
+
+
+def flow_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Flows that shift by bytes a second, of a base capture of 12 and a current one of 10 days."""
+    base, now = _sides(spark, d)
+    return drift.flow_delta(observe.flows(base), observe.flows(now), 3.0, 12 * 86400.0, 10 * 86400.0)
+
+
+def _states(flows: DataFrame) -> DataFrame:
+    """flows with the state that a connection log would have, by a fixed rule on their packets."""
+    return flows.withColumn("conn_state", F.when(F.col("packets") == 1, "S0").when(F.col("packets") % 3 == 0, "REJ").when(F.col("packets") % 3 == 1, "SF").otherwise("OTH"))
+
+
+def violations_graded(p: DataFrame) -> DataFrame:
+    found = conformance.violations(conformance.verdicts(_states(observe.flows(p)), POLICY), "conn_state")
+    return found.groupBy("violation", "grade").agg(F.count("*").alias("flows"), F.sum("packets").alias("packets"))
+
+
+def _host_map(p: DataFrame) -> DataFrame:
+    """A map of two thirds of the hosts."""
+    hosts = p.select(F.explode(F.array("src_ip", "dst_ip")).alias("real")).distinct()
+    return privacy.build_scrub_map(hosts.where(net.ip_num(F.col("real")) % 3 < 2), "host")
+
+
+def unscrub_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pseudonyms in the scrubbed documents, against a map that lacks every third of them."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    m = scrub_map(spark, d)
+    part = m.where(F.regexp_extract("pseudonym", "_([0-9]+)$", 1).cast("long") % 3 != 0)
+    return privacy.unscrub_report(privacy.scrub(docs, "text", m), "text", part)
+
+
 QUERIES: dict[str, Query] = {
+    "flow_index": _of(lambda p: observe.flow_index(observe.flows(p)).select("flow_index", *observe.FLOW_KEY, net.service_source(F.col("label")).alias("service_source"))),
+    "map_coverage": _of(lambda p: inventory.map_coverage(observe.hosts(p, OT), _host_map(p))),
+    "violations_graded": _of(violations_graded),
+    "segmentation_tally": segmentation_tally,
+    "flow_rates": flow_rates,
+    "unscrub_counts": unscrub_counts,
     "ip_predicates": _of(_predicates),
     "flow_labels": _of(_labels),
     "capture_totals": _of(observe.capture_totals),
@@ -154,7 +194,7 @@ QUERIES: dict[str, Query] = {
     "asset_roles": _of(lambda p: _assets(p).groupBy("role", "vendor").agg(F.count("*").alias("assets"))),
     "asset_top100": _of(lambda p: inventory.top_assets(_assets(p)).select("ip", "role", "packets")),
     "capture_source": _of(lambda p: inventory.capture_source(observe.mac_frames(p), observe.capture_totals(p))),
-    "capture_sanity": _of(lambda p: inventory.capture_sanity(observe.capture_totals(p))),
+    "capture_sanity": _of(lambda p: inventory.capture_sanity(observe.capture_totals(p), observe.steps_back(p))),
     "zone_suggest": _of(lambda p: inventory.suggest_zones(_assets(p).where("in_ot"))),
     "zone_resolve": _of(lambda p: conformance.resolve(p.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct(), "ip", POLICY, "z").select("ip", F.col("z.zone").alias("zone"), F.col("z.level").alias("level"), F.col("z.directed").alias("directed"))),
     "verdicts": _of(lambda p: _verdicts(p).select(*observe.FLOW_KEY, "src_zone", "dst_zone", "kind", "conduit", "idmz_bypass")),

@@ -219,3 +219,59 @@ def test_stream_equals_batch(spark, tmp_path):
     windows.run_available(stream, lambda df, _: got.extend(df.collect()), str(tmp_path / "cp"), "complete")
     batch = windows.windowed_flows(p).collect()
     assert sorted(map(str, got)) == sorted(map(str, batch)) and len(batch) > 12
+
+
+def test_time_that_runs_back(spark):
+    forward = packets(spark, [("10.0.0.1", "10.0.0.2", 6, 1, 2, "", k) for k in range(40)]).repartition(5)
+    back = packets(spark, [("10.0.0.1", "10.0.0.2", 6, 1, 2, "", s) for s in [*range(20), 3, 4, 5, 2, *range(30, 60)]]).repartition(5)
+    assert observe.steps_back(forward).first().steps == 0 and observe.steps_back(back).first().steps == 2
+    by = forward.withColumn("capture_id", F.lit("a")).unionByName(back.withColumn("capture_id", F.lit("b")))
+    assert {r.capture_id: r.steps for r in observe.steps_back(by, "capture_id").collect()} == {"a": 0, "b": 2}
+    of = lambda p: tuple(inventory.capture_sanity(observe.capture_totals(p), observe.steps_back(p)).first())[1:]
+    assert of(forward) == (False, False, False) and of(back) == (False, False, True) and of(forward.limit(0)) == (False, False, False)
+    early = packets(spark, [("10.0.0.1", "10.0.0.2", 6, 1, 2, "", k) for k in range(2)]).withColumn("ts", F.expr("timestamp_ntz'1970-01-01 00:00:00.5'"))
+    assert of(early) == (True, False, False)
+
+
+def test_numbers_are_dense(spark):
+    df = spark.createDataFrame([(x % 7, x) for x in range(500)], "a long, b long").repartition(6)
+    rows = privacy.numbered(df, ["a", "b"], "n", 0).orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(500)) and [(r.a, r.b) for r in rows] == sorted((r.a, r.b) for r in rows)
+    assert privacy.numbered(df.limit(0), ["a"]).count() == 0
+
+
+def test_scrubbing_like_a_longest_first_replacement(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    for _ in range(3):
+        values = sorted({"".join(rng.choice("aé1.") for _ in range(rng.randint(1, 5))) for _ in range(25)})
+        texts = [None, ""] + ["".join(rng.choice("aé1.x") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+        names = {v: f"host_{k:03d}" for k, v in enumerate(values, 1)}
+        m = spark.createDataFrame([("host", n, v) for v, n in names.items()], "family string, pseudonym string, real string")
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        find = re.compile("|".join(re.escape(v) for v in sorted(values, key=lambda v: (-len(v.encode()), v))))
+        assert {r.id: r.text for r in privacy.scrub(df, "text", m).collect()} == {i: None if t is None else find.sub(lambda x: names[x[0]], t) for i, t in enumerate(texts)}
+        assert {r.id for r in privacy.map_leaks(df, "text", m, ["id"]).collect()} == {i for i, t in enumerate(texts) if t and find.search(t)}
+    none = m.limit(0)
+    assert privacy.scrub(df, "text", none).exceptAll(df).count() == 0 and privacy.map_leaks(df, "text", none, ["id"]).count() == 0
+    report = privacy.unscrub_report(spark.createDataFrame([("host_001 host_777 host_777 xhost_001",)], "text string"), "text", m).first()
+    assert (report.replaced, report.unmapped) == (1, 1)
+
+
+def test_evidence_and_policy(spark, policy):
+    flows = [("10.0.0.1", f"10.0.1.{k}", 6, 50000, 99, "", 1) for k in range(20) for _ in range(k + 1)]
+    c = rules.Context(packets(spark, flows), ("10.0.0.0/8",), [], conformance.verdicts(observe.flows(packets(spark, flows)), policy))
+    found = {r.rule_id: r for r in rules.run_rules(c).collect()}
+    assert set(found) == {"segmentation.idmz_bypass", "segmentation.deny_by_default", "recon.port_scan"}
+    deny = found["segmentation.deny_by_default"]
+    assert (deny.hits, deny.items, len(deny.evidence)) == (20, 20, 15) and deny.evidence[0] == "10.0.0.1 -> 10.0.1.0:99/tcp established (1)"
+    with pytest.raises(ValueError):
+        rules.run_rules(c, ["no.such_rule"])
+
+
+def test_shared_folder(spark):
+    from plantflow.sources.staging import shared_folder, staged
+
+    assert staged(spark.range(5)).count() == 5 and shared_folder(spark) == shared_folder(spark)
