@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from .tables import shared_dir, written
+from ..sources.staging import shared_folder
+from .tables import written
 
 #: Bytes of payload in one archive, about.
 ARCHIVE_BYTES = 32 << 20
@@ -143,7 +144,7 @@ def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     empty table writes one empty archive.
     """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
     data = F.col("payload").cast("binary")
     headers = base.select("page_id", base32_sha1(data).alias("payload_digest"), F.octet_length("payload").cast("long").alias("bytes"))
