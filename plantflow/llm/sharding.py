@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import read_stored, stored, written
 
 #: Bytes of text a shard may hold.
 LIMIT_BYTES = 8 << 20
@@ -40,35 +40,33 @@ def directory(rows: DataFrame, limit: int, total_bits: int = 3 * KEY_BITS) -> Da
     rows: bits, bytes. A row over the limit has a shard of its own as far as bits can part it.
     """
     spark = rows.sparkSession
-    leaves, level = None, 0
-    open_ = spark.createDataFrame([("", 0)], "shard string, depth int")
+    levels, level, parents = [], 0, None
+    open_ = spark.createDataFrame([("",)], "shard string")
     while True:
         reach = min(level + LEVEL_BITS, total_bits)
         # bytes by prefix of this level, of the buckets that are still open
         part = rows.select(F.substring("bits", 1, level).alias("shard"), F.substring("bits", 1, reach).alias("prefix"), "bytes")
-        part = part.join(open_.select("shard"), "shard", "left_semi") if level else part
+        part = part.join(parents, "shard", "left_semi") if parents is not None else part
         sums = written(part.groupBy("prefix").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("docs")), "sums")
-        for depth in range(level, reach + 1):
+        for depth in range(level + (level > 0), reach + 1):
             bucket = F.substring("prefix", 1, depth) if depth else F.lit("")
-            sized = sums.withColumn("shard", bucket).groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs")).join(open_.select("shard"), "shard", "left_semi")
-            full = (F.col("bytes") > limit) & (F.col("docs") > 1)
-            last = depth == total_bits
-            sized = written(sized, "level")
-            done = (sized if last else sized.where(~full)).select("shard", F.lit(depth).alias("depth"), "bytes", "docs")
-            leaves = done if leaves is None else leaves.unionByName(done)
-            if last or sized.where(full).isEmpty():
-                return leaves
-            open_ = sized.where(full).select(F.explode(F.array(F.concat("shard", F.lit("0")), F.concat("shard", F.lit("1")))).alias("shard"))
-            if depth == reach:
-                open_ = sized.where(full).select("shard")
-        level = reach
+            sized = sums.withColumn("shard", bucket).groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs")).join(open_, "shard", "left_semi")
+            levels.append(stored(sized, "level"))
+            full = read_stored(spark, sized.schema, levels[-1:]).where((F.col("bytes") > limit) & (F.col("docs") > 1))
+            if depth == total_bits or full.isEmpty():
+                leaf = (F.col("bytes") <= limit) | (F.col("docs") == 1) | (F.length("shard") == total_bits)
+                return read_stored(spark, sized.schema, levels).where(leaf).select("shard", F.length("shard").alias("depth"), "bytes", "docs")
+            open_ = full.select(F.explode(F.array(F.concat("shard", F.lit("0")), F.concat("shard", F.lit("1")))).alias("shard"))
+        parents, level = full.select("shard"), reach
 
 
 def shard(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, bytes, shard (its bits), depth, shard_bytes.
 
     Bytes are those of the text in UTF-8; null counts as empty, and a null key hashes as the empty one.
-    Every shard holds limit bytes at most, or a single row. An empty table has no shards.
+    Every shard holds limit bytes at most, or a single row. Rows that repeat a key are parted by their
+    text and then by their place, so a hot key has many shards. Other columns are left out. An empty
+    table has no shards.
     """
     rows = written(_hashed(docs, key, text), "hashed")
     leaves = written(directory(rows, limit), "directory")

@@ -100,3 +100,25 @@ def test_shards_fit(spark):
     one = shard(spark.createDataFrame(rows[:3], "doc_id long, text string"), limit=10**6)
     assert {(r.shard, r.depth) for r in one.collect()} == {("", 0)}
     assert shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shards_of_long_and_clashing_rows(spark):
+    rows = [(i, "z" * (300_000 if i == 3 else 10), "x", 1) for i in range(40)] + [(5, "same", "y", 2)] * 60
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string, shard string, bytes int"), limit=500).collect()
+    assert len(got) == len(rows) and {r.bytes for r in got} == {10, 300_000, 4}
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.bytes)
+    assert all(sum(b) <= 500 or len(b) == 1 for b in by.values()) and {r.depth for r in got} == {len(r.shard) for r in got}
+
+
+def test_many_null_and_repeated_pages(spark):
+    """A third of all rows without an id, and an id whose payloads differ."""
+    pages = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS page_id", "'u' AS url", "concat('p', id % 50) AS html")
+    rows = archive_pages(pages, archive_bytes=100_000).collect()
+    newest = {}
+    for i in range(9000):
+        if i % 3:
+            newest[f"p{i % 50}"] = max(newest.get(f"p{i % 50}", -1), 7 if i % 3 == 1 else i)
+    digest = {base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(): n for h, n in newest.items()}
+    assert len(rows) == 9000 and all(r.refers_to == (None if r.page_id is None or r.page_id == digest[r.payload_digest] else digest[r.payload_digest]) for r in rows)
