@@ -40,9 +40,9 @@ WINDOW = 2
 SIZE = 16
 #: Each round masks another one of so many positions, so together they learn from every position once.
 ROUNDS = 2
-RATE = 0.1
+RATE = 0.12
 _CHUNK = 1 << 20
-_STEP = 2048
+_STEP = 4096
 _SCORE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("others", T.ArrayType(T.LongType()))])
 
 
@@ -135,15 +135,18 @@ class WindowNet:
         return line, place, row
 
     def hidden(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        x = 0
-        for k in range(1, self.window + 1):
-            x = x + (self.params["left"][line[at - k]] + self.params["right"][line[at + k]]) / k
-        return np.tanh(x)
+        x = self.params["left"][line[at - 1]] + self.params["right"][line[at + 1]]
+        for k in range(2, self.window + 1):
+            x += (self.params["left"][line[at - k]] + self.params["right"][line[at + k]]) / k
+        return np.tanh(x, out=x)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        """Of each row, in place."""
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
 
     def log_probabilities(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each place given the words around it."""
@@ -174,7 +177,7 @@ class WindowNet:
         for a in range(0, at.size, _STEP):
             part = at[a : a + _STEP]
             target = line[part]
-            part = part[np.argsort(target // c, kind="stable")]
+            part = part[_order(target // c, self.vocabulary.classes)]
             target = line[part]
             group, word, n = target // c, target % c, part.size
             h = self.hidden(line, part)
@@ -187,15 +190,17 @@ class WindowNet:
                 dy = self._softmax(h[i:j] @ p["word"][g] + p["word_bias"][g])
                 dy[np.arange(j - i), word[i:j]] -= 1
                 dh[i:j] += dy @ p["word"][g].T
-                p["word"][g] -= rate * (h[i:j].T @ dy) / np.sqrt(j - i)
-                p["word_bias"][g] -= rate * dy.sum(axis=0) / np.sqrt(j - i)
-            p["class"] -= rate * (h.T @ dz) / np.sqrt(n)
-            p["class_bias"] -= rate * dz.sum(axis=0) / np.sqrt(n)
+                own = rate / math.sqrt(j - i)
+                p["word"][g] -= own * (h[i:j].T @ dy)
+                p["word_bias"][g] -= own * dy.sum(axis=0)
+            all_ = rate / math.sqrt(n)
+            p["class"] -= all_ * (h.T @ dz)
+            p["class_bias"] -= all_ * dz.sum(axis=0)
             dx = np.clip(dh * (1 - h * h), -1, 1) * rate
             for k in range(1, self.window + 1):
                 for name, side in (("left", -k), ("right", k)):
                     entry = line[part + side]
-                    by = np.argsort(entry, kind="stable")
+                    by = _order(entry, self.vocabulary.n + 1)
                     heads = np.flatnonzero(np.diff(entry[by], prepend=-1))
                     p[name][entry[by][heads]] -= np.clip(np.add.reduceat(dx[by], heads, axis=0) / k, -1, 1)
 
@@ -207,6 +212,11 @@ class WindowNet:
                 yield name, k, flat[a : a + (1 << 14)]
 
 
+def _order(entries: np.ndarray, n: int) -> np.ndarray:
+    """A stable order of numbers below n; 16-bit ones are sorted by radix."""
+    return np.argsort(entries.astype(np.uint16) if n <= 1 << 16 else entries, kind="stable")
+
+
 def masked_places(place: np.ndarray, row: np.ndarray, round_: int, stride: int) -> np.ndarray:
     """The places to learn from in a round, counted from the start of each text; so many rounds as stride have each place once."""
     many = np.bincount(row) if row.size else np.zeros(0, np.int64)
@@ -282,7 +292,7 @@ def _fitted(docs: DataFrame, text: str = "text", own: int | None = None, rounds:
     own = own or max(OWN, OWN_PER_ROOT * math.isqrt(kinds))
     hashes, counts = frequent_words(all_words, own)
     shared = max(SHARED, own // 15)
-    class_size = max(CLASS, 1 << round(math.log2(own + shared) / 2))
+    class_size = max(CLASS, 1 << math.ceil(math.log2(own + shared) / 2))  # fewer classes than words of one: they cost more
     net = WindowNet(Vocabulary(hashes, shared, class_size), counts, total)
     for k in range(rounds):
         _averaged(rows, "text", net, k, stride, rate / (1 + k))
