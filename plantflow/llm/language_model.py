@@ -41,6 +41,8 @@ SIZE = 16
 #: Each round masks another one of so many positions, so together they learn from every position once.
 ROUNDS = 2
 RATE = 0.12
+#: Largest change of a parameter in one step.
+MOST = 0.25
 _CHUNK = 1 << 20
 _STEP = 4096
 _SCORE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("others", T.ArrayType(T.LongType()))])
@@ -191,11 +193,11 @@ class WindowNet:
                 dy[np.arange(j - i), word[i:j]] -= 1
                 dh[i:j] += dy @ p["word"][g].T
                 own = rate / math.sqrt(j - i)
-                p["word"][g] -= own * (h[i:j].T @ dy)
-                p["word_bias"][g] -= own * dy.sum(axis=0)
+                p["word"][g] -= _bounded(own * (h[i:j].T @ dy))
+                p["word_bias"][g] -= _bounded(own * dy.sum(axis=0))
             all_ = rate / math.sqrt(n)
-            p["class"] -= all_ * (h.T @ dz)
-            p["class_bias"] -= all_ * dz.sum(axis=0)
+            p["class"] -= _bounded(all_ * (h.T @ dz))
+            p["class_bias"] -= _bounded(all_ * dz.sum(axis=0))
             dx = np.clip(dh * (1 - h * h), -1, 1) * rate
             for k in range(1, self.window + 1):
                 for name, side in (("left", -k), ("right", k)):
@@ -212,6 +214,11 @@ class WindowNet:
                 yield name, k, flat[a : a + (1 << 14)]
 
 
+def _bounded(step: np.ndarray) -> np.ndarray:
+    """A step of at most MOST for each parameter: thousands of equal words may not throw it far."""
+    return np.clip(step, -MOST, MOST, out=step)
+
+
 def _order(entries: np.ndarray, n: int) -> np.ndarray:
     """A stable order of numbers below n; 16-bit ones are sorted by radix."""
     return np.argsort(entries.astype(np.uint16) if n <= 1 << 16 else entries, kind="stable")
