@@ -34,7 +34,7 @@ CAPACITY = 4096
 END_ID = 1
 #: A partition of a round has documents for so many sequences at least, as far as there are two of them.
 PART_SEQUENCES = 8
-#: When what is left needs one sequence in so many, or a round placed little, sequences are opened for all of it.
+#: When what is left needs one sequence in so many, four after a round that placed little, sequences are opened for all of it.
 SLACK = 400
 
 _PIECE = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
@@ -212,6 +212,7 @@ def _sweep(dealt: DataFrame, plan: Deal, round_: int, capacity: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         gaps: dict[int, list[int]] = {}
+        over: dict[int, list[int]] = {}  # gaps of parts that were swept before in this task
         open_ = 0  # bit k: there is a gap of size k
 
         def put(size: int, sequences: list[int]) -> None:
@@ -226,7 +227,10 @@ def _sweep(dealt: DataFrame, plan: Deal, round_: int, capacity: int) -> DataFram
             states, sequences, offsets, at = [], [], [], []
             for i, size in enumerate(sizes):
                 if parts[i] != last:
-                    last = parts[i]
+                    for left, some in gaps.items():
+                        over.setdefault(left, []).extend(some)
+                    gaps.clear()
+                    last, open_ = parts[i], 0
                     put(capacity, [(round_ << 53) | (last << 33) | k for k in range(int(plan.fresh[last]))])
                 if kinds[i] == 2:
                     put(size, [ids[i]])
@@ -250,7 +254,7 @@ def _sweep(dealt: DataFrame, plan: Deal, round_: int, capacity: int) -> DataFram
                 kept = batch.take(pa.array(at))
                 columns = [pa.array(states, pa.int32()), kept.column("size"), kept.column("salt"), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64()), kept.column("row").cast(arrow.field("row").type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-        for size, some in gaps.items():
+        for size, some in [*over.items(), *gaps.items()]:
             for a in range(0, len(some), 50_000):
                 ids = np.array(some[a : a + 50_000], np.int64)
                 n = ids.size
@@ -293,7 +297,8 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partitions: int | None
             remove(spark, tables[0])
         documents, gaps = _counts(read_stored(spark, schema, tables[-1:]), capacity)
         placed, rest = before - int(documents.sum()), int((documents * sizes).sum())
-        open_more = (round_ > 1 and 3 * placed < before) or -(-rest // capacity) <= tokens // (SLACK * capacity)
+        slow = 3 * placed < before
+        open_more = not placed or -(-rest // capacity) <= (4 if slow else 1) * tokens // (SLACK * capacity)
     done = read_stored(spark, schema, tables[1:]) if len(tables) > 1 else spark.createDataFrame([], schema)
     return done.where("state = 0").select("row.*", "sequence_id", "offset")
 
