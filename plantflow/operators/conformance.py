@@ -189,10 +189,11 @@ def verdicts(flows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def violations(verdict_table: DataFrame, conn_state: str | None = None) -> DataFrame:
-    """None, one or two rows per flow: a conduit violation, an IDMZ bypass; with a grade."""
+    """None, one or two rows per flow: a conduit violation, an IDMZ bypass; with a grade, and first_seen where flows have it."""
+    seen = [c for c in ("first_seen",) if c in verdict_table.columns]
     grade = net.violation_grade(F.col(conn_state)) if conn_state else F.lit("established")
     kinds = F.array_compact(F.array(F.when(F.col("kind").isin("wrong_direction", "no_matching_conduit"), F.col("kind")), F.when(F.col("idmz_bypass"), F.lit("idmz_bypass"))))
-    return verdict_table.select("src_ip", "dst_ip", "dst_port", "proto", "src_zone", "dst_zone", "packets", "bytes", grade.alias("grade"), F.explode(kinds).alias("violation"))
+    return verdict_table.select("src_ip", "dst_ip", "dst_port", "proto", "src_zone", "dst_zone", "packets", "bytes", *seen, grade.alias("grade"), F.explode(kinds).alias("violation"))
 
 
 def conformance_tally(verdict_table: DataFrame) -> DataFrame:

@@ -158,10 +158,10 @@ def rdp_events(packets: DataFrame, either_direction: bool = False) -> DataFrame:
     return rows.where(good).select(*_BASE, wire.le(_h(), 15, 4).alias("selected_protocol"))
 
 
-def ldap_binds(packets: DataFrame) -> DataFrame:
-    """Simple binds with version, whether the password is empty, and whether a StartTLS reply came before on the connection.
+def ldap_marks(packets: DataFrame) -> DataFrame:
+    """LDAP packets with client and server (ip, port), whether they are a StartTLS reply or a simple bind, version and anonymous.
 
-    Lengths are read in short form. The state of a connection is a running flag over its packets in order.
+    Lengths are read in short form.
     """
     ports = (389, 3268)
     rows = _tcp(packets, *ports)
@@ -175,9 +175,16 @@ def ldap_binds(packets: DataFrame) -> DataFrame:
     name = version + wire.be(_h(), version + 1) + 2
     auth = name + wire.be(_h(), name + 1) + 2
     good = to_server & (wire.hex_at(_h(), 0) == "30") & (wire.be(_h(), 1) < 128) & (wire.hex_at(_h(), 2) == "02") & (wire.hex_at(_h(), bind) == "60") & (wire.hex_at(_h(), version) == "02") & (wire.hex_at(_h(), name) == "04") & (wire.hex_at(_h(), auth) == "80")
+    return rows.select(*_BASE, client.alias("client"), server.alias("server"), F.coalesce(reply, F.lit(False)).alias("reply"), F.coalesce(good, F.lit(False)).alias("bind"), wire.be(_h(), version + 2).alias("version"), (wire.be(_h(), auth + 1) == 0).alias("anonymous"))
+
+
+def ldap_binds(packets: DataFrame) -> DataFrame:
+    """Simple binds with version, whether the password is empty, and whether a StartTLS reply came before on the connection.
+
+    The state of a connection is a running flag over its packets in order.
+    """
     before = Window.partitionBy("client", "server").orderBy("ts", "pkt_id").rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.select(*_BASE, client.alias("client"), server.alias("server"), F.coalesce(reply, F.lit(False)).alias("reply"), F.coalesce(good, F.lit(False)).alias("bind"), wire.be(_h(), version + 2).alias("version"), (wire.be(_h(), auth + 1) == 0).alias("anonymous"))
-    out = marked.withColumn("used_starttls", F.coalesce(F.max("reply").over(before), F.lit(False)))
+    out = ldap_marks(packets).withColumn("used_starttls", F.coalesce(F.max("reply").over(before), F.lit(False)))
     return out.where("bind").select(*_BASE, "version", "anonymous", "used_starttls")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import net
 from ..sources.staging import staged
 
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
@@ -153,6 +154,14 @@ def unscrub_report(df: DataFrame, column: str, scrub_map: DataFrame) -> DataFram
     return found.agg(F.count("to").alias("replaced"), F.count_distinct(F.when(F.col("to").isNull(), F.col("found"))).alias("unmapped"))
 
 
+def pseudonymised(df: DataFrame, columns: list[str], scrub_map: DataFrame, salt: str) -> DataFrame:
+    """df with the addresses in columns replaced by their pseudonyms; those the map lacks by a salted label. Null stays null."""
+    for c in columns:
+        known = scrub_map.select(F.col("real").alias("_real"), F.col("pseudonym").alias("_to"))
+        df = df.join(known, F.col(c) == F.col("_real"), "left").withColumn(c, F.coalesce("_to", net.opaque_label(F.col(c), salt))).drop("_real", "_to")
+    return df
+
+
 def pseudonyms_in(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """keep and each distinct pseudonym of the text."""
     return df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(f"({PSEUDONYM})"), 1))).alias("pseudonym"))

@@ -57,6 +57,10 @@ def _hex(k: str | int, n: int = 1) -> str:
 _LEN = "(length(payload_hex) // 2)"
 
 
+def _dotted(k: str | int) -> str:
+    return "(" + " || '.' || ".join(f"CAST({_byte(f'{k} + {i}')} AS VARCHAR)" for i in range(4)) + ")"
+
+
 def _either(port: int, proto: int = 6) -> str:
     return f"proto = {proto} AND (src_port = {port} OR dst_port = {port})"
 
@@ -155,6 +159,10 @@ _CTES += [
     ("ldap", f"SELECT pkt_id, src_ip, dst_ip, dst_port, {_byte(9)} AS version, {_byte('10 + 2 + ' + _byte(11) + ' + 1')} = 0 AS anonymous, coalesce(started, false) AS used_starttls FROM (SELECT *, bool_or(reply) OVER (PARTITION BY conn ORDER BY ts, pkt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS started FROM ldap_rows) WHERE dst_port IN (389, 3268) AND payload_hex LIKE '30__020101%' AND {_hex(5)} = '60' AND {_hex(7)} = '02' AND {_hex(10)} = '04' AND {_hex('12 + ' + _byte(11))} = '80'"),
     ("engineering", "SELECT src_ip, dst_ip, 'modbus' AS name, label FROM modbus WHERE engineering UNION ALL SELECT src_ip, dst_ip, 'cip', label FROM enip WHERE engineering UNION ALL SELECT src_ip, dst_ip, 's7', label FROM s7 WHERE engineering UNION ALL SELECT src_ip, dst_ip, 'dnp3', 'function ' || fc FROM dnp3 WHERE engineering"),
     ("judged", f"SELECT *, {_trusted_rule('name')} AS rule FROM engineering"),
+    # the derived packets tell names of eight bytes at fixed offsets
+    ("told", f"SELECT pkt_id, ts, CASE dst_port WHEN 137 THEN src_ip WHEN 67 THEN {_dotted(16)} ELSE {_dotted(_LEN + ' - 4')} END AS ip, decode(unhex(CASE dst_port WHEN 137 THEN translate(decode(unhex({_hex(13, 16)})), 'ABCDEFGHIJKLMNOP', '0123456789ABCDEF') WHEN 67 THEN {_hex(242, 8)} ELSE {_hex(13, 8)} END)) AS name FROM packets WHERE proto = 17 AND (dst_port IN (67, 137, 5353) OR dst_port = 5355 AND {_byte(2)} >= 128)"),
+    ("last_names", "SELECT ip, arg_max(name, (ts, pkt_id)) AS name FROM told GROUP BY ip"),
+    ("aliases", f"SELECT ip, CASE WHEN known THEN 'host_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END ELSE 'unmapped_' || substr(sha256('salt' || ip), 1, 16) END AS alias FROM (SELECT ip, known, row_number() OVER (PARTITION BY known ORDER BY ip) AS n FROM (SELECT ip, {_num('ip')} % 3 < 2 AS known FROM hosts))"),
     ("scans", f"SELECT src_ip, count(DISTINCT dst_ip) AS d, count(DISTINCT (dst_port, proto)) AS p, sum(packets) AS packets FROM flows WHERE NOT {_group('dst_ip')} GROUP BY src_ip"),
     ("single", "SELECT src_ip FROM (SELECT src_ip, sum(packets) AS sent FROM flows GROUP BY 1) WHERE sent = 1 AND src_ip NOT IN (SELECT dst_ip FROM flows) AND src_ip IN (SELECT ip FROM hosts WHERE packets = 1 AND mac IS NULL AND len(coalesce(protocols, [])) = 0)"),
 ]
@@ -266,6 +274,8 @@ _SCRUBBED = f"""WITH m AS (SELECT real, 'host_' || CASE WHEN n < 1000 THEN lpad(
  t AS (SELECT doc_id, string_agg(part || coalesce(pseudonym, ''), '' ORDER BY i) AS text FROM p LEFT JOIN a USING (doc_id, i) LEFT JOIN m USING (real) GROUP BY doc_id)
 SELECT d.doc_id, sha256(t.text) AS sha256, length(t.text) AS chars FROM documents d LEFT JOIN t USING (doc_id)"""
 
+_SHIFTS = f"SELECT * FROM (SELECT {_KEY}, b.bytes AS base_bytes, n.bytes AS current_bytes, CASE WHEN least(b.bytes, n.bytes) > 0 AND b.bytes IS NOT NULL AND n.bytes IS NOT NULL THEN round(greatest(b.bytes, n.bytes) / least(b.bytes, n.bytes), 6) END AS ratio, CASE WHEN b.bytes IS NULL THEN 'new' WHEN n.bytes IS NULL THEN 'gone' WHEN least(b.bytes, n.bytes) > 0 AND greatest(b.bytes, n.bytes) / least(b.bytes, n.bytes) >= 2 THEN 'shifted' END AS change FROM base_flows b FULL JOIN now_flows n USING ({_KEY})) WHERE change IS NOT NULL"
+
 ORACLE: dict[str, str] = {
     k: _sql(v)
     for k, v in (
@@ -316,7 +326,14 @@ ORACLE: dict[str, str] = {
             "trusted_unmatched": "SELECT rule, declaration FROM (VALUES " + ", ".join(f"({k}, '{w.src}={w.dst}:{w.proto}')" for k, w in enumerate(TRUSTED, 1)) + ") v(rule, declaration) WHERE rule NOT IN (SELECT rule FROM judged WHERE rule IS NOT NULL)",
             "hosts_new": "SELECT ip, packets, bytes, in_ot FROM now_hosts WHERE ip NOT IN (SELECT ip FROM base_hosts)",
             "hosts_gone": "SELECT ip, packets, bytes, in_ot FROM base_hosts WHERE ip NOT IN (SELECT ip FROM now_hosts)",
-            "flow_shifts": f"SELECT * FROM (SELECT {_KEY}, b.bytes AS base_bytes, n.bytes AS current_bytes, CASE WHEN least(b.bytes, n.bytes) > 0 AND b.bytes IS NOT NULL AND n.bytes IS NOT NULL THEN round(greatest(b.bytes, n.bytes) / least(b.bytes, n.bytes), 6) END AS ratio, CASE WHEN b.bytes IS NULL THEN 'new' WHEN n.bytes IS NULL THEN 'gone' WHEN least(b.bytes, n.bytes) > 0 AND greatest(b.bytes, n.bytes) / least(b.bytes, n.bytes) >= 2 THEN 'shifted' END AS change FROM base_flows b FULL JOIN now_flows n USING ({_KEY})) WHERE change IS NOT NULL",
+            "flow_shifts": _SHIFTS,
+            "flow_shifts_pseudonyms": f"SELECT s.alias AS src_ip, d.alias AS dst_ip, dst_port, proto, base_bytes, current_bytes, ratio, change FROM ({_SHIFTS}) f JOIN aliases s ON s.ip = f.src_ip JOIN aliases d ON d.ip = f.dst_ip",
+            "hosts_new_pseudonyms": "SELECT alias AS ip, packets, bytes, in_ot FROM now_hosts JOIN aliases USING (ip) WHERE ip NOT IN (SELECT ip FROM base_hosts)",
+            "hostnames": "SELECT ip, name FROM last_names",
+            "asset_names": "SELECT ip, name AS hostname, CASE WHEN name IS NULL THEN ip ELSE name || ' (' || ip || ')' END AS host_label FROM hosts LEFT JOIN last_names USING (ip)",
+            "findings_ranked": f"SELECT row_number() OVER (ORDER BY {_RANK} DESC, rule_id, entity) AS position, rule_id, entity, severity, hits FROM ({_ALL})",
+            "assets_ranked": f"SELECT row_number() OVER (ORDER BY in_ot DESC, {_num('ip')}) AS position, ip, role, in_ot FROM assets",
+            "violations_ranked": f"SELECT row_number() OVER (ORDER BY first_seen, {_num('src_ip')}, {_num('dst_ip')}, dst_port, proto, violation) AS position, first_seen, {_KEY}, violation FROM violations JOIN flows USING ({_KEY})",
             "role_shifts": "SELECT ip, b.role AS was, n.role AS now FROM base_assets b JOIN now_assets n USING (ip) WHERE b.role <> n.role",
             "findings_delta": _delta("rule_id, entity", f"({_side_findings('base')})", f"({_side_findings('now')})", "recurring"),
             "segmentation_drift": f"SELECT violation, change, count(*) AS violations FROM ({_delta('violation, ' + _KEY, 'base_violations', 'now_violations', 'persisting')}) GROUP BY 1, 2",

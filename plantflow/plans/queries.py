@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import net
-from ..operators import catalog, conformance, drift, extract, inventory, observe, privacy, rules
+from ..operators import catalog, conformance, drift, extract, hostnames, inventory, observe, privacy, rules
 from ..operators.trusted import unmatched_trusted
 from ..sources.packets import packets_table
 from .fixtures import OT, POLICY, SPLIT, TRUSTED
@@ -157,7 +157,47 @@ def unscrub_counts(spark: SparkSession, d: str) -> DataFrame:
     return privacy.unscrub_report(privacy.scrub(docs, "text", m), "text", part)
 
 
+def flow_shifts_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    """Flow drift keyed on pseudonyms; a third of the hosts is not in the map."""
+    m = _host_map(packets_table(spark, d))
+    return drift.flow_delta(*(privacy.pseudonymised(observe.flows(p), ["src_ip", "dst_ip"], m, "salt") for p in _sides(spark, d)))
+
+
+def hosts_new_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    m = _host_map(packets_table(spark, d))
+    base, now = (privacy.pseudonymised(observe.hosts(p, OT), ["ip"], m, "salt") for p in _sides(spark, d))
+    return drift.new_rows(base, now, ["ip"]).select("ip", "packets", "bytes", "in_ot")
+
+
+def findings_ranked(p: DataFrame) -> DataFrame:
+    """Findings numbered by severity, then by rule and entity."""
+    rank = F.array_position(F.array(*map(F.lit, ("critical", "high", "medium", "info"))), F.col("severity"))
+    return privacy.numbered(_findings(p).select("rule_id", "entity", "severity", "hits"), [rank, "rule_id", "entity"], "position")
+
+
+def assets_ranked(p: DataFrame) -> DataFrame:
+    """Assets numbered with OT ones first, then by address."""
+    return privacy.numbered(_assets(p).select("ip", "role", "in_ot"), [~F.col("in_ot"), net.ip_num(F.col("ip")), "ip"], "position")
+
+
+def violations_ranked(p: DataFrame) -> DataFrame:
+    """Violations numbered by the time of their flow, its key and their kind."""
+    found = conformance.violations(_verdicts(p)).select("first_seen", *observe.FLOW_KEY, "violation")
+    return privacy.numbered(found, ["first_seen", net.ip_num(F.col("src_ip")), net.ip_num(F.col("dst_ip")), "dst_port", "proto", "violation"], "position")
+
+
+def _asset_names(p: DataFrame) -> DataFrame:
+    return inventory.assets(observe.hosts(p, OT), inventory.oui_table(p.sparkSession), hostnames.hostnames(p)).select("ip", "hostname", "host_label")
+
+
 QUERIES: dict[str, Query] = {
+    "hostnames": _of(hostnames.hostnames),
+    "asset_names": _of(_asset_names),
+    "flow_shifts_pseudonyms": flow_shifts_pseudonyms,
+    "hosts_new_pseudonyms": hosts_new_pseudonyms,
+    "findings_ranked": _of(findings_ranked),
+    "assets_ranked": _of(assets_ranked),
+    "violations_ranked": _of(violations_ranked),
     "flow_index": _of(lambda p: observe.flow_index(observe.flows(p)).select("flow_index", *observe.FLOW_KEY, net.service_source(F.col("label")).alias("service_source"))),
     "map_coverage": _of(lambda p: inventory.map_coverage(observe.hosts(p, OT), _host_map(p))),
     "violations_graded": _of(violations_graded),

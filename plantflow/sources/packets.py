@@ -51,6 +51,18 @@ SELECT 4000000000000000000 + pkt_id, ts, dst_mac, src_mac, dst_ip, src_ip, proto
  CASE wk WHEN 0 THEN '0001000000050103020000' WHEN 1 THEN '000100000006010500010000' ELSE '300C02010178070A010004000400' END, CASE wk WHEN 0 THEN 11 WHEN 1 THEN 12 ELSE 14 END
 FROM sized WHERE ok % 3 = 0 AND wk IN (0, 1, 14) AND dst_ip <> '239.1.1.1'
 UNION ALL
+SELECT 5000000000000000000 + o_orderkey, o_orderdate, concat('AA:BB:CC:00:01:', lpad(hex(o_custkey % 256), 2, '0')), 'FF:FF:FF:FF:FF:FF', src_ip, '239.1.1.1', 17, port, port, payload_hex, cast(length(payload_hex) / 2 as bigint)
+FROM (SELECT *, CASE port
+  WHEN 5353 THEN concat('00008400000000010000000008', hex(name), '056C6F63616C0000018001000000780004', ip_hex)
+  WHEN 5355 THEN concat('0000', CASE WHEN o_orderkey % 16 = 1 THEN '0000' ELSE '8000' END, '000100010000000008', hex(name), '000001000108', hex(name), '0000010001000000780004', ip_hex)
+  WHEN 67 THEN concat(repeat('00', 16), ip_hex, repeat('00', 216), '638253630C08', hex(name), 'FF')
+  ELSE concat('00002910000100000000000120', hex(translate(concat(hex(rpad(name, 15, ' ')), '00'), '0123456789ABCDEF', 'ABCDEFGHIJKLMNOP')), '0000200001') END AS payload_hex
+ FROM (SELECT o_orderkey, o_orderdate, o_custkey, concat('node-', lpad(cast(o_orderkey % 1000 as varchar(10)), 3, '0')) AS name,
+   concat('0A0A', lpad(hex(o_custkey % 8), 2, '0'), lpad(hex(o_custkey % 250 + 1), 2, '0')) AS ip_hex,
+   concat('10.10.', cast(o_custkey % 8 as varchar(10)), '.', cast(o_custkey % 250 + 1 as varchar(10))) AS src_ip,
+   CASE (o_custkey + cast(floor(o_orderkey / 8.0) as bigint)) % 4 WHEN 0 THEN 5353 WHEN 1 THEN 5355 WHEN 2 THEN 67 ELSE 137 END AS port
+  FROM {orders} WHERE o_orderkey % 8 = 1) told) names
+UNION ALL
 SELECT -o_orderkey, o_orderdate, NULL, '00:0E:8C:01:00:FF', concat('203.', cast(cast(floor(o_orderkey / 65536.0) as bigint) % 200 as varchar(10)), '.', cast(cast(floor(o_orderkey / 256.0) as bigint) % 256 as varchar(10)), '.', cast(o_orderkey % 256 as varchar(10))),
  '10.20.1.200', 6, 1024 + o_orderkey % 30000, 50001, '', 0
 FROM {orders} WHERE o_orderkey % 10 = 0
@@ -58,7 +70,7 @@ FROM {orders} WHERE o_orderkey % 10 = 0
 
 
 def derived_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets derived from lineitem and orders by a fixed rule, one or two for each line."""
+    """Packets derived from lineitem and orders by a fixed rule, one or two for each line, and host names told for some orders."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     made = spark.sql(derived_sql("{lineitem}", "{orders}"), lineitem=read("lineitem"), orders=read("orders"))
     return made.select(*(made[f.name].cast(f.dataType).alias(f.name) for f in PACKETS))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import net
+from ..operators import conformance, extract
 
 
 def read_packets(spark: SparkSession, path: str, schema: T.StructType, files_at_once: int = 100) -> DataFrame:
@@ -41,6 +43,37 @@ def first_credentials(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["src_ip", "dst_ip", "dst_port", "kind"])
 
 
+def windowed_verdicts(packets: DataFrame, policy: conformance.Policy, length: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Flows by window with their verdicts; the policy is joined as static tables of its own size."""
+    return conformance.verdicts(windowed_flows(packets, length, late=late), policy)
+
+
+def starttls_binds(packets: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """extract.ldap_binds of a stream: whether a StartTLS reply was seen is kept for each connection until it is idle so long.
+
+    Rows of a batch are taken in the order of ts and pkt_id; a reply that comes in a later batch than a
+    bind does not change it.
+    """
+    end = lambda c: F.concat_ws(" ", F.col(c)["ip"], F.col(c)["port"].cast("string"))
+    marks = extract.ldap_marks(packets).withColumns({"client": end("client"), "server": end("server")})
+    out = T.StructType([*(f for f in marks.schema if f.name not in ("client", "server", "reply", "bind")), T.StructField("used_starttls", T.BooleanType())])
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def run(_key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        started = state.exists and state.get[0]
+        rows = pd.concat(parts).sort_values(["ts", "pkt_id"])
+        seen = rows["reply"].cummax() | started
+        rows["used_starttls"] = seen.shift(fill_value=started).astype(bool)
+        state.update((bool(seen.iloc[-1]),))
+        state.setTimeoutDuration(wait)
+        yield rows.loc[rows["bind"], out.names]
+
+    return marks.groupBy("client", "server").applyInPandasWithState(run, out, "started boolean", "append", "ProcessingTimeTimeout")
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process all that is there, once, and stop; a rerun goes on from the checkpoint."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()

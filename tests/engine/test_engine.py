@@ -221,6 +221,34 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, batch)) and len(batch) > 12
 
 
+def test_stream_of_verdicts(spark, tmp_path, policy):
+    p = packets(spark, [("10.0.0.1", f"10.0.{k % 3}.{k % 12}", 6, 50000, 502, "00", k * 7) for k in range(200)])
+    p.repartition(3).write.parquet(str(tmp_path / "in"))
+    got = []
+    stream = windows.windowed_verdicts(windows.read_packets(spark, str(tmp_path / "in"), PACKETS), policy)
+    windows.run_available(stream, lambda df, _: got.extend(df.collect()), str(tmp_path / "cp"), "complete")
+    assert sorted(map(str, got)) == sorted(map(str, windows.windowed_verdicts(p, policy).collect())) and got
+
+
+def test_stream_keeps_starttls(spark, tmp_path):
+    bind, reply = "3012020101600D0201030404636E3D6180027077", "300C02010178070A010004000400"
+    c, other = ("10.0.0.1", "10.0.0.2", 6, 50000, 389, bind), ("10.0.0.1", "10.0.0.2", 6, 50001, 389, bind)
+    p = packets(spark, [c, ("10.0.0.2", "10.0.0.1", 6, 389, 50000, reply), other, c, other])
+    for k in range(5):
+        p.where(F.col("pkt_id") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+    stream = windows.starttls_binds(windows.read_packets(spark, str(tmp_path / "in"), PACKETS, 1))
+    windows.run_available(stream, lambda df, _: got.extend(df.collect()), str(tmp_path / "cp"))
+    assert sorted((r.pkt_id, r.used_starttls, r.version) for r in got) == [(0, False, 3), (2, False, 3), (3, True, 3), (4, False, 3)]
+
+
+def test_pseudonyms_of_columns(spark):
+    df = spark.createDataFrame([("10.0.0.1", "10.0.0.2", 1), ("10.0.0.2", None, 2)], "src_ip string, dst_ip string, n long")
+    m = spark.createDataFrame([("host", "host_001", "10.0.0.1")], "family string, pseudonym string, real string")
+    rows = privacy.pseudonymised(df, ["src_ip", "dst_ip"], m, "s").orderBy("n").collect()
+    assert rows[0].src_ip == "host_001" and rows[0].dst_ip == rows[1].src_ip and rows[1].src_ip.startswith("unmapped_") and rows[1].dst_ip is None
+
+
 def test_time_that_runs_back(spark):
     forward = packets(spark, [("10.0.0.1", "10.0.0.2", 6, 1, 2, "", k) for k in range(40)]).repartition(5)
     back = packets(spark, [("10.0.0.1", "10.0.0.2", 6, 1, 2, "", s) for s in [*range(20), 3, 4, 5, 2, *range(30, 60)]]).repartition(5)
