@@ -48,15 +48,16 @@ def windowed_verdicts(packets: DataFrame, policy: conformance.Policy, length: st
     return conformance.verdicts(windowed_flows(packets, length, late=late), policy)
 
 
-def starttls_binds(packets: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """extract.ldap_binds of a stream: whether a StartTLS reply was seen is kept for each connection until it is idle so long.
+def starttls_binds(packets: DataFrame, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """extract.ldap_binds of a stream: whether a StartTLS reply was seen is kept for each connection until it is idle so long in event time.
 
     Rows of a batch are taken in the order of ts and pkt_id; a reply that comes in a later batch than a
     bind does not change it.
     """
     end = lambda c: F.concat_ws(" ", F.col(c)["ip"], F.col(c)["port"].cast("string"))
-    marks = extract.ldap_marks(packets).withColumns({"client": end("client"), "server": end("server")})
-    out = T.StructType([*(f for f in marks.schema if f.name not in ("client", "server", "reply", "bind")), T.StructField("used_starttls", T.BooleanType())])
+    marks = extract.ldap_marks(packets).withColumns({"client": end("client"), "server": end("server"), "ts": F.col("ts").cast("timestamp")})
+    marks = marks.withColumn("millis", F.unix_millis("ts")).withWatermark("ts", late)
+    out = T.StructType([*(f for f in marks.schema if f.name not in ("client", "server", "reply", "bind", "millis")), T.StructField("used_starttls", T.BooleanType())])
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(_key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -68,10 +69,10 @@ def starttls_binds(packets: DataFrame, idle: str = "1 hour") -> DataFrame:
         seen = rows["reply"].cummax() | started
         rows["used_starttls"] = seen.shift(fill_value=started).astype(bool)
         state.update((bool(seen.iloc[-1]),))
-        state.setTimeoutDuration(wait)
+        state.setTimeoutTimestamp(int(rows["millis"].max()) + wait)
         yield rows.loc[rows["bind"], out.names]
 
-    return marks.groupBy("client", "server").applyInPandasWithState(run, out, "started boolean", "append", "ProcessingTimeTimeout")
+    return marks.groupBy("client", "server").applyInPandasWithState(run, out, "started boolean", "append", "EventTimeTimeout")
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
