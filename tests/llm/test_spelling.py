@@ -33,7 +33,12 @@ def is_near(u, v):
 
 
 def plain(words, ratio=10):
-    near = {w: sorted((v for v in words if is_near(w, v)), key=lambda v: (-words[v], v)) for w in words}
+    """Near words of seven letters and more share their first or their last three."""
+    ends = {}
+    for w in words:
+        ends.setdefault((0, w[:3]), []).append(w)
+        ends.setdefault((1, w[-3:]), []).append(w)
+    near = {w: sorted({v for v in ends[0, w[:3]] + ends[1, w[-3:]] if is_near(w, v)}, key=lambda v: (-words[v], v)) for w in words}
     form = {w: v[0] if v and words[v[0]] >= ratio * words[w] else None for w, v in near.items()}
 
     def root(w):
@@ -74,8 +79,7 @@ def test_chains_odd_rows_and_ties(spark):
     got = {tuple(r) for r in spelling_variants(docs, per=1 << 40).select("word", "form", "root", "n", "n_near", "form_n").collect()}
     want = plain(plain_words(texts, 1 << 40))
     assert got == want
-    # Àbcdefg ties with abcdefx; both lead to abcdefg, and that to abcdefgh
-    assert ("abcdefx", "abcdefg", "abcdefgh", 2, 2, 30) in got
+    assert {(w, f, r) for w, f, r, *_ in got} >= {("abcdefx", "abcdefg", "abcdefgh"), ("Àbcdefg", "abcdefg", "abcdefgh")}
     assert any(w == long and k == 1 for w, _, _, _, k, _ in got)
 
 
