@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_decontamination, op02_language_model, op03_token_counts, op04_sharding, op05_toxicity, op06_warc, op07_neighbours, op08_packing, op09_quality, op10_near_duplicates, op12_whitening, op13_spelling
+from . import op01_decontamination, op02_language_model, op03_token_counts, op04_sharding, op05_toxicity, op06_warc, op07_neighbours, op08_packing, op09_quality, op10_near_duplicates, op11_html, op12_whitening, op13_spelling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": op08_packing.op8_best_fit_packing,
         "op9_quality_co_training": op09_quality.op9_quality_co_training,
         "op10_minhash_near_dedup": op10_near_duplicates.op10_minhash_near_dedup,
+        "op11_html_extraction": op11_html.op11_html_extraction,
         "op12_embedding_whitening": op12_whitening.op12_embedding_whitening,
         "op13_spelling_variants": op13_spelling.op13_spelling_variants,
     }

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .tables import written
 from .textarrays import give_back
 
 SCALE, SHIFT = 1024, 100_000
@@ -208,7 +209,7 @@ def whitened(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embed
     spark = vectors.sparkSession
     kind = vectors.schema[vec_id].dataType
     out = T.StructType([T.StructField(vec_id, kind), T.StructField("component", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("deviation", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("whitened", "explained", "identity_error")), T.StructField("deviation_exact", T.DecimalType(38, 0))])
-    rows = _integers(vectors, vec_id, vector)
+    rows = written(_integers(vectors, vec_id, vector), "integers")  # five passes read it
     length = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if length is None:
         return spark.createDataFrame([], out)
