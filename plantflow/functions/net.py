@@ -67,21 +67,26 @@ def in_nets(ip: Column, cidrs: Iterable[str], number: Column | None = None) -> C
     return out
 
 
+def ip_order(number: Column, v6: Column) -> Column:
+    """Text that sorts like addresses do, of their number or digits: IPv4 before IPv6; empty without either."""
+    return F.coalesce(F.lpad(number.cast("string"), 10, "0"), F.concat(F.lit("~"), v6), F.lit(""))
+
+
 def in_ot(ip: Column, ot: Iterable[str] | None = None, number: Column | None = None) -> Column:
     return in_nets(ip, ot or PRIVATE, number)
 
 
-def is_public(ip: Column, number: Column | None = None) -> Column:
-    """IPv6 link-local counts as public; null is not."""
-    v6 = v6_hex(ip)
-    special = v6.isin("0" * 32, "0" * 31 + "1") | v6.startswith("ff") | F.substring(v6, 1, 2).isin("fc", "fd")
+def is_public(ip: Column, number: Column | None = None, v6: Column | None = None) -> Column:
+    """IPv6 link-local counts as public; null is not. number, v6: of ip, if they are at hand."""
+    v6 = v6_hex(ip) if v6 is None else v6
+    special = v6.rlike("^(0{31}[01]|ff|f[cd])")
     return F.coalesce(F.when(is_v4(ip), ~in_nets(ip, PRIVATE + RESERVED, number)).otherwise(~special), F.lit(False))
 
 
-def is_group_address(ip: Column) -> Column:
+def is_group_address(ip: Column, number: Column | None = None, v6: Column | None = None) -> Column:
     """Multicast, limited broadcast or unspecified."""
-    v6 = v6_hex(ip)
-    return F.coalesce(F.when(is_v4(ip), in_nets(ip, ("224.0.0.0/4", "255.255.255.255/32", "0.0.0.0/32"))).otherwise(v6.startswith("ff") | (v6 == "0" * 32)), F.lit(False))
+    v6 = v6_hex(ip) if v6 is None else v6
+    return F.coalesce(F.when(is_v4(ip), in_nets(ip, ("224.0.0.0/4", "255.255.255.255/32", "0.0.0.0/32"), number)).otherwise(v6.rlike("^(ff|0{32})")), F.lit(False))
 
 
 def is_multicast(ip: Column) -> Column:
@@ -100,14 +105,19 @@ def _choose(rows: list, test, otherwise: Column) -> Column:
     return out.otherwise(otherwise)
 
 
+def _by_service(rows: list, proto: Column, port: Column) -> Column:
+    """The last entry of the row (transport, port, ..., value) that proto and port are in, looked up once."""
+    names = F.create_map(*(F.lit(x) for r in rows for p in range(r[1], r[-2] + 1) for x in (r[0] * 65536 + p, r[-1])))
+    return F.element_at(names, (proto * 65536 + port).cast("int"))
+
+
 def port_label(proto: Column, src_port: Column, dst_port: Column) -> Column:
     """The service of the destination port if it is below the ephemeral range, else of the source port."""
-    port = F.when(dst_port < EPHEMERAL, dst_port).when(src_port < EPHEMERAL, src_port)
-    return _choose(PORT_LABELS, lambda r: (proto == r[0]) & (port == r[1]), F.lit(None).cast("string"))
+    return _by_service(PORT_LABELS, proto, F.when(dst_port < EPHEMERAL, dst_port).when(src_port < EPHEMERAL, src_port))
 
 
 def no_fly_label(proto: Column, port: Column) -> Column:
-    return _choose(NO_FLY, lambda r: (proto == r[0]) & port.between(r[1], r[2]), F.lit(None).cast("string"))
+    return _by_service(NO_FLY, proto, port)
 
 
 def proto_label(proto: Column) -> Column:

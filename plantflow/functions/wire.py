@@ -20,6 +20,8 @@ def hex_at(h: Column, at: int | Column, n: int = 1) -> Column:
 def be(h: Column, at: int | Column, n: int = 1) -> Column:
     """n bytes as a big-endian number; null beyond the end."""
     piece = hex_at(h, at, n)
+    if n == 1:  # no part of a byte can be left, so the piece is read once
+        return F.conv(F.nullif(piece, F.lit("")), 16, 10).cast("long") if isinstance(at, int) else F.conv(piece, 16, 10).cast("long")
     return F.when(F.length(piece) == 2 * n, F.conv(piece, 16, 10).cast("long"))
 
 
@@ -34,9 +36,11 @@ def le(h: Column, at: int | Column, n: int) -> Column:
 
 def find(h: Column, needle: str) -> Column:
     """The offset of the first occurrence at a byte boundary, -1 where there is none."""
-    pairs = F.regexp_replace(h, "(..)", "$1 ")
+    first = F.locate(needle, h)
+    pairs = F.regexp_replace(h, "(..)", "$1 ")  # needed only where the first occurrence is between bytes
     spaced = " ".join(needle[k : k + 2] for k in range(0, len(needle), 2))
-    return F.floor((F.locate(spaced, pairs) + 2) / 3).cast("long") - 1
+    between = F.floor((F.locate(spaced, pairs) + 2) / 3).cast("long") - 1
+    return F.when(first == 0, F.lit(-1).cast("long")).when(first % 2 == 1, ((first - 1) / 2).cast("long")).otherwise(between)
 
 
 def text(h: Column) -> Column:

@@ -1,8 +1,11 @@
-"""Findings: rules yield evidence rows, those that read the same events together; one aggregation makes findings of them all.
+"""Findings: rules yield evidence rows, and one chain of aggregations makes findings of them all.
 
-An evidence row is (rule_id, severity, entity, item, weight). Entity is empty where a rule has one
-finding in all, else the source or the pair. A finding sums the weights, takes the highest severity
-and keeps its largest items.
+An evidence row is (rule_id, severity, entity, place, item, weight, attempted). Entity is empty where a rule has one
+finding in all, else the source or the pair. Place tells the items of a finding apart and orders them; rows of one place
+add up. A finding sums the weights, takes the highest severity and keeps the first items in the order of its rule.
+
+Packets are scanned once for what recognisers mark, once for flows, and once more for each of what needs the order of
+events: details of engineering, StartTLS and first credentials.
 """
 
 from __future__ import annotations
@@ -19,10 +22,16 @@ from ..schemas import SEVERITY_RANK
 from . import extract, observe
 from .trusted import Writer, rule_index
 
-#: Evidence kept for a finding.
+#: Evidence kept for a finding, where it is not 15; the rules whose evidence is in order of place, not of weight.
 EVIDENCE = 15
+CAPS = {"creds.ldap_simple_bind": 5, "compat.ntlmv1": 5, "creds.rdp_no_nla": 5, "compat.weak_tls_cipher": 5, "attack.spoofed_sources": 5, "ics.trusted_writer_activity": 30}
+BY_PLACE = ("creds.ldap_simple_bind", "compat.ntlmv1", "creds.rdp_no_nla", "compat.weak_tls_cipher", "ics.modbus_writes", "ics.cip_engineering", "ics.s7_engineering", "ics.dnp3_engineering", "ics.trusted_writer_activity", "segmentation.idmz_bypass", "segmentation.wrong_direction", "segmentation.deny_by_default")
+#: Calls told for a pair.
+DETAILS = 5
 #: A finding with this many hits or fewer is none.
 MORE_THAN = {"attack.spoofed_sources": 500}
+#: Parts that the items of a finding are dealt to before they meet.
+PARTS = 16
 
 
 @dataclass
@@ -34,15 +43,20 @@ class Context:
     trusted: list[Writer] = field(default_factory=list)
     verdicts: DataFrame | None = None
 
-    @property
-    def flow_table(self) -> DataFrame:
-        return self.verdicts if self.verdicts is not None else observe.flows(self.packets)
-
 
-def _evidence(rule: str | Column, severity: str | Column, item: Column, weight: Column | str | int = 1, entity: Column | None = None) -> Column:
+def _evidence(rule: str | Column, severity: str | Column, item: Column, weight: Column | str | int = 1, entity: Column | None = None, place: Column | None = None, attempted: Column | None = None) -> Column:
+    """One evidence row as a struct; without a place, the item is its own."""
     text = lambda v: F.lit(v) if isinstance(v, str) else v
     count = F.lit(weight) if isinstance(weight, int) else F.col(weight) if isinstance(weight, str) else weight
-    return F.struct(text(rule).alias("rule_id"), text(severity).alias("severity"), (F.lit("") if entity is None else entity).alias("entity"), item.alias("item"), count.cast("long").alias("weight"))
+    return F.struct(
+        text(rule).alias("rule_id"),
+        text(severity).alias("severity"),
+        (F.lit("") if entity is None else entity).alias("entity"),
+        (item if place is None else place).alias("place"),
+        item.alias("item"),
+        count.cast("long").alias("weight"),
+        (F.lit(0) if attempted is None else attempted).cast("long").alias("attempted"),
+    )
 
 
 def _rows(df: DataFrame, *evidence: Column) -> DataFrame:
@@ -61,166 +75,217 @@ def _service() -> Column:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """df with the numbers of both addresses, so that predicates read them once."""
-    return df.withColumns({"_src": net.ip_num(F.col("src_ip")), "_dst": net.ip_num(F.col("dst_ip"))})
-
+    """df with numbers, IPv6 digits and sort texts of both addresses, so that predicates read them once."""
+    sides = ("src", "dst")
+    df = df.withColumns({f"_{s}": net.ip_num(F.col(f"{s}_ip")) for s in sides} | {f"_{s}6": net.v6_hex(F.col(f"{s}_ip")) for s in sides})
+    return df.withColumns({f"_at_{s}": net.ip_order(F.col(f"_{s}"), F.col(f"_{s}6")) for s in sides})
 
-def plaintext_creds(c: Context) -> DataFrame:
-    item = F.concat("dst_ip", F.lit(":"), F.col("dst_port").cast("string"))
-    return _rows(extract.cred_packets(c.packets), _evidence(F.concat(F.lit("creds."), "kind"), "critical", item))
 
+def _at(*columns: str) -> Column:
+    """Addresses (of _numbered rows) and ports as text that sorts like them."""
+    return F.concat(*(F.col(f"_at_{c[:3]}") if c.endswith("_ip") else F.lpad(F.col(c).cast("string"), 5, "0") for c in columns))
 
-def weak_creds(c: Context) -> DataFrame:
-    return _rows(extract.weak_credentials(extract.cred_events(c.packets)), _evidence("creds.default_or_weak_credentials", "critical", F.concat(_service(), F.lit(" "), F.col("category")), "n"))
 
+#: Protocol of engineering marks, their rule, and severity of any source where it does not depend on the source.
+ENGINEERING = {"modbus": ("ics.modbus_writes", None), "cip": ("ics.cip_engineering", "high"), "s7": ("ics.s7_engineering", None), "dnp3": ("ics.dnp3_engineering", None)}
 
-def ldap_simple_bind(c: Context) -> DataFrame:
-    return _rows(extract.ldap_binds(c.packets).where("NOT used_starttls AND NOT anonymous"), _evidence("creds.ldap_simple_bind", "critical", _service()))
 
-
-def ntlmv1(c: Context) -> DataFrame:
-    return _rows(extract.ntlm_events(c.packets).where("version = 'v1'"), _evidence("compat.ntlmv1", "high", _service(), 1, _pair()))
-
-
-#: Recogniser, protocol name, rule and, where it has one, severity of any source.
-ENGINEERING = [
-    (extract.modbus_events, "modbus", "ics.modbus_writes", None),
-    (extract.enip_events, "cip", "ics.cip_engineering", "high"),
-    (extract.s7_events, "s7", "ics.s7_engineering", None),
-    (extract.dnp3_events, "dnp3", "ics.dnp3_engineering", None),
-]
+def _call(mark: Column, code: Column) -> Column:
+    """What an engineering mark says."""
+    modbus = extract.modbus_label(F.floor(code / 65536), code % 65536)
+    return F.when(mark == "modbus", modbus).when(mark == "cip", extract.named(code, extract.ENIP_LABELS)).when(mark == "s7", extract.named(code, extract.S7_LABELS)).otherwise(F.concat(F.lit("function "), code.cast("string")))
 
 
 def engineering_events(packets: DataFrame) -> DataFrame:
-    """src_ip, dst_ip, proto_name, label and rule_id of all engineering events."""
-    parts = []
-    for events, name, rule, _ in ENGINEERING:
-        rows = events(packets).where("engineering")
-        label = F.col("label") if "label" in rows.columns else F.concat(F.lit("function "), F.col("fc").cast("string"))
-        parts.append(rows.select("src_ip", "dst_ip", F.lit(name).alias("proto_name"), label.alias("label"), F.lit(rule).alias("rule_id")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def engineering(c: Context) -> DataFrame:
-    """Engineering events, critical if one comes from outside the OT networks; those that a declaration trusts are activity of its writers."""
-    rows = _numbered(engineering_events(c.packets).groupBy("src_ip", "dst_ip", "proto_name", "label", "rule_id").agg(F.count("*").alias("n")))
-    trusted = rule_index(c.trusted, F.col("proto_name"), F.col("_src"), F.col("_dst")) if c.trusted else F.lit(None).cast("int")
-    always = {rule: severity for _, _, rule, severity in ENGINEERING if severity}
-    severity = F.when(F.col("rule_id").isin(*always), "high").when(net.in_ot(F.col("src_ip"), c.ot or None, F.col("_src")), "high").otherwise("critical")
-    rows = rows.withColumns({"trusted": trusted, "severity": severity})
-    declared = F.concat(F.col("proto_name"), F.lit(" "), _pair(), F.lit(" #"), F.col("trusted").cast("string"))
-    own = F.concat(_pair(), F.lit(" "), F.col("label"))
+    """src_ip, dst_ip, proto_name and label of all engineering events, with ts and pkt_id."""
+    return extract.marks(packets, tuple(ENGINEERING)).select("src_ip", "dst_ip", F.col("mark").alias("proto_name"), _call(F.col("mark"), F.col("code")).alias("label"), "ts", "pkt_id")
+
+
+def _judged(rows: DataFrame, c: Context) -> tuple[DataFrame, Column, Column, Column]:
+    """rows (src_ip, dst_ip, mark) with their trusted declaration, and rule, severity and place of their pair."""
+    rows = _numbered(rows)
+    trusted = rule_index(c.trusted, F.col("mark"), F.col("_src"), F.col("_dst")) if c.trusted else F.lit(None).cast("int")
+    inside = net.in_ot(F.col("src_ip"), c.ot or None, F.col("_src"))
+    rule, severity, order = F.lit(None).cast("string"), F.when(inside, "high").otherwise("critical"), F.lit("")
+    for k, (name, (rule_id, always)) in enumerate(ENGINEERING.items()):
+        here = F.col("mark") == name
+        rule = F.when(here, rule_id).otherwise(rule)
+        severity = F.when(here, always).otherwise(severity) if always else severity
+        order = F.when(here, str(k)).otherwise(order)
     known = F.col("trusted").isNotNull()
-    return _rows(rows, _evidence(F.when(known, "ics.trusted_writer_activity").otherwise(F.col("rule_id")), F.when(known, "info").otherwise(F.col("severity")), F.when(known, declared).otherwise(own), "n"))
-
-
-def smbv1(c: Context) -> DataFrame:
-    return _rows(extract.smbv1_pairs(c.packets), _evidence("compat.smbv1", "high", _service(), "packets"))
-
-
-def stale_tls(c: Context) -> DataFrame:
-    return _rows(extract.tls_hellos(c.packets).where(F.col("version").between(0x0300, 0x0302)), _evidence("compat.stale_tls", "medium", F.concat(_pair(), F.lit(" "), F.hex("version")), "hellos"))
-
-
-def weak_tls_cipher(c: Context) -> DataFrame:
-    return _rows(extract.tls_ciphers(c.packets).where(F.col("cipher").isin(*extract.WEAK_CIPHERS)), _evidence("compat.weak_tls_cipher", "medium", F.hex("cipher"), "hellos", _pair()))
+    place = F.concat(F.when(known, order).otherwise(""), _at("src_ip", "dst_ip"))
+    return rows.withColumn("trusted", trusted), F.when(known, "ics.trusted_writer_activity").otherwise(rule), F.when(known, "info").otherwise(severity), place
+
+
+def marked(c: Context, names: Iterable[str]) -> DataFrame:
+    """All that single packets show, from one scan and one aggregation."""
+    rules = {
+        **{f"creds.{kind}": (kind,) for kind in extract.CLEAR},
+        **{rule: (mark,) for mark, (rule, _) in ENGINEERING.items()},
+        "ics.trusted_writer_activity": tuple(ENGINEERING),
+        "compat.ntlmv1": ("ntlmv1",),
+        "compat.smbv1": ("smbv1",),
+        "compat.stale_tls": ("tls",),
+        "compat.weak_tls_cipher": ("cipher",),
+        "creds.rdp_no_nla": ("rdp",),
+        "ics.modbus_unit_id_sweep": ("units",),
+    }
+    wanted = {m for rule in names for m in rules.get(rule, ())}
+    rows = extract.marks(c.packets, tuple(m for m in extract.MARKS if m in wanted)).groupBy("mark", "src_ip", "dst_ip", "port", "code").agg(F.count("*").alias("n"))
+    rows, rule, severity, place = _judged(rows, c)
+    mark, code = F.col("mark"), F.col("code")
+    rows = rows.withColumn("dst_port", F.col("port"))
+    target = F.concat("dst_ip", F.lit(":"), F.col("port").cast("string"))
+    calls = F.when(mark.isin(*ENGINEERING), _evidence(rule, severity, F.lit(None).cast("string"), "n", None, place))
+    simple = F.when(mark.isin(*extract.CLEAR), _evidence(F.concat(F.lit("creds."), mark), "critical", target, "n", None, _at("dst_ip", "port")))
+    simple = simple.when(mark == "ntlmv1", _evidence("compat.ntlmv1", "high", _service(), "n", _pair(), _at("port")))
+    simple = simple.when(mark == "smbv1", _evidence("compat.smbv1", "high", _service(), "n", None, _at("src_ip", "dst_ip", "port")))
+    simple = simple.when(mark == "tls", _evidence("compat.stale_tls", "medium", F.concat(_pair(), F.lit(" "), F.hex("code")), "n", None, F.concat(_at("src_ip", "dst_ip"), F.hex("code"))))
+    simple = simple.when(mark == "cipher", _evidence("compat.weak_tls_cipher", "medium", F.hex("code"), "n", _pair(), F.lpad(F.hex("code"), 4, "0")))
+    simple = simple.when(mark == "rdp", _evidence("creds.rdp_no_nla", "critical", _pair(), "n", _pair()))
+    # ids of a sweep add up at their own places; the finding tells the first ten
+    sweep = F.when(mark == "units", _evidence("ics.modbus_unit_id_sweep", "medium", code.cast("string"), 1, _pair(), F.lpad(code.cast("string"), 3, "0")))
+    return _rows(rows, calls, simple, sweep)
+
+
+def engineering_details(c: Context, names: Iterable[str]) -> DataFrame:
+    """The first DETAILS calls of each pair: every task sends as many of a pair at most."""
+    wanted = tuple(ENGINEERING) if "ics.trusted_writer_activity" in names else tuple(m for m, (rule, _) in ENGINEERING.items() if rule in names)
+    k = F.row_number().over(Window.partitionBy("mark", "src_ip", "dst_ip").orderBy("ts", "pkt_id"))
+    first = extract.marks(c.packets, wanted).withColumn("k", k).where(F.col("k") <= DETAILS).groupBy("mark", "src_ip", "dst_ip").agg(F.array_sort(F.collect_list(F.struct("k", "code"))).alias("first"))
+    first, rule, severity, place = _judged(first, c)
+    told = F.array_join(F.transform("first", lambda e: _call(F.col("mark"), e["code"])), ", ")
+    known = F.col("trusted").isNotNull()
+    item = F.concat(F.when(known, F.concat("mark", F.lit(" "))).otherwise(""), _pair(), F.lit(" : "), told, F.when(known, F.concat(F.lit(" #"), F.col("trusted").cast("string"))).otherwise(""))
+    return _rows(first, _evidence(rule, severity, item, 0, None, place))
 
 
-def rdp_no_nla(c: Context) -> DataFrame:
-    return _rows(extract.rdp_events(c.packets).where("selected_protocol = 0"), _evidence("creds.rdp_no_nla", "critical", _pair(), 1, _pair()))
+def weak_creds(c: Context, names: Iterable[str]) -> DataFrame:
+    events = extract.cred_events(c.packets, ("ftp", "http_basic"))
+    return _rows(extract.weak_credentials(events), _evidence("creds.default_or_weak_credentials", "critical", F.concat(_service(), F.lit(" "), F.col("category")), "n"))
 
 
-def unit_id_sweep(c: Context, least: int = 5, high: int = 50) -> DataFrame:
-    rows = extract.modbus_units(c.packets).where(F.col("units") >= least)
-    ids = F.array_join(F.transform(F.slice("unit_ids", 1, 10), lambda u: u.cast("string")), ",")
-    return _rows(rows, _evidence("ics.modbus_unit_id_sweep", F.when(F.col("units") >= high, "high").otherwise("medium"), ids, "units", _pair()))
+def ldap_simple_bind(c: Context, names: Iterable[str]) -> DataFrame:
+    binds = extract.ldap_binds(c.packets).where("NOT used_starttls AND NOT anonymous").groupBy("src_ip", "dst_ip").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("dst_port")).alias("ports"))
+    ports = F.array_join(F.transform("ports", lambda p: p.cast("string")), ",")
+    return _rows(_numbered(binds), _evidence("creds.ldap_simple_bind", "critical", F.concat(_pair(), F.lit(":"), ports), "n", None, _at("src_ip", "dst_ip")))
 
 
 #: Ports of encrypted tunnels.
 TUNNEL_PORTS = (1194, 4500, 500, 51820)
 
 
-def flow_rules(c: Context) -> DataFrame:
+def _flows(c: Context) -> DataFrame:
+    """Flows with what the rules on flows need. All of them read all columns, so that one aggregation serves them."""
+    named = net.port_label(F.col("proto"), F.col("src_port"), F.col("dst_port")).isNotNull()
+    known = lambda mac: F.coalesce(F.col(mac) != "00:00:00:00:00:00", F.lit(False))
+    rows = c.packets.select(*observe.FLOW_KEY, "payload_len", known("src_mac").alias("src_known"), known("dst_mac").alias("dst_known"), named.alias("named"))
+    rows = rows.groupBy(*observe.FLOW_KEY).agg(F.count("*").alias("packets"), F.sum("payload_len").alias("bytes"), F.max("src_known").alias("src_known"), F.max("dst_known").alias("dst_known"), F.max("named").alias("named"))
+    return rows.where("bytes IS NOT NULL OR src_known OR dst_known OR named OR packets > 0")
+
+
+def flow_rules(c: Context, names: Iterable[str]) -> DataFrame:
     """Egress (with the kind of traffic where it is telling), boundary services, protocols out of place and, with verdicts, violations: one pass over the flows."""
-    rows = _numbered(c.flow_table)
+    rows = _numbered(c.verdicts if c.verdicts is not None else _flows(c))
     src_ot, dst_ot = net.in_ot(F.col("src_ip"), c.ot or None, F.col("_src")), net.in_ot(F.col("dst_ip"), c.ot or None, F.col("_dst"))
-    rows = rows.withColumns({"src_ot": src_ot, "dst_ot": dst_ot, "public": net.is_public(F.col("dst_ip"), F.col("_dst")), "no_fly": net.no_fly_label(F.col("proto"), F.col("dst_port"))})
+    rows = rows.withColumns({"src_ot": src_ot, "dst_ot": dst_ot, "public": net.is_public(F.col("dst_ip"), F.col("_dst"), F.col("_dst6")), "no_fly": net.no_fly_label(F.col("proto"), F.col("dst_port"))})
     port = F.col("dst_port")
     flow = F.concat(_service(), F.lit("/"), net.proto_label(F.col("proto")))
-    kind = F.when(port == 53, " dns").when(port == 123, " ntp").when(port.isin(*TUNNEL_PORTS), " tunnel").otherwise("")
+    traffic = F.when(port == 53, " dns").when(port == 123, " ntp").when(port.isin(*TUNNEL_PORTS), " tunnel").otherwise("")
     leaves = F.col("src_ot") & ~F.col("dst_ot")
+    at = F.concat(_at("src_ip", "dst_ip", "dst_port"), F.lpad(F.col("proto").cast("string"), 3, "0"))
     evidence = [
-        F.when(F.col("src_ot") & F.col("public"), _evidence("egress.ot_to_internet", "critical", F.concat(flow, kind), "bytes")),
-        F.when(leaves & (port == 53), _evidence("boundary.dns_resolver", "medium", _pair(), "packets")),
-        F.when(leaves & (port == 123), _evidence("boundary.ntp_external", "medium", _pair(), "packets")),
-        F.when(F.col("no_fly").isNotNull() & (F.col("src_ot") | F.col("dst_ot")), _evidence("ot.unexpected_protocols", "medium", F.concat("no_fly", F.lit(" "), _service()), "packets")),
+        F.when(F.col("src_ot") & F.col("public"), _evidence("egress.ot_to_internet", "critical", F.concat(flow, traffic), "bytes", None, at)),
+        F.when(leaves & (port == 53), _evidence("boundary.dns_resolver", "medium", _pair(), "packets", None, _at("src_ip", "dst_ip"))),
+        F.when(leaves & (port == 123), _evidence("boundary.ntp_external", "medium", _pair(), "packets", None, _at("src_ip", "dst_ip"))),
+        F.when(F.col("no_fly").isNotNull() & (F.col("src_ot") | F.col("dst_ot")), _evidence("ot.unexpected_protocols", "medium", F.concat("no_fly", F.lit(" "), _service()), "packets", None, F.concat(_at("src_ip", "dst_ip", "dst_port"), "no_fly"))),
     ]
     if c.verdicts is not None:
         grade = net.violation_grade(F.col("conn_state")) if "conn_state" in c.verdicts.columns else F.lit("established")
-        item = F.concat(flow, F.lit(" "), grade)
-        evidence.append(F.when(F.col("idmz_bypass"), _evidence("segmentation.idmz_bypass", "critical", item)))
-        evidence.append(F.when(F.col("kind") == "wrong_direction", _evidence("segmentation.wrong_direction", "high", item)))
-        evidence.append(F.when(F.col("kind") == "no_matching_conduit", _evidence("segmentation.deny_by_default", "high", item)))
+        attempted = (grade == "attempted").cast("int")
+        violation = lambda rule, severity: _evidence(rule, severity, F.concat(flow, F.lit(" "), grade), 1, None, F.concat(attempted.cast("string"), at), attempted)
+        evidence.append(F.when(F.col("idmz_bypass"), violation("segmentation.idmz_bypass", "critical")))
+        evidence.append(F.when(F.col("kind") == "wrong_direction", violation("segmentation.wrong_direction", "high")))
+        evidence.append(F.when(F.col("kind") == "no_matching_conduit", violation("segmentation.deny_by_default", "high")))
     return _rows(rows, *evidence)
 
 
-def port_scan(c: Context, least: int = 10, few: int = 3, high: int = 50) -> DataFrame:
-    """Sources that reach many destinations or many (port, protocol); group addresses do not count."""
-    flows = c.packets.groupBy(*observe.FLOW_KEY).agg(F.count("*").alias("packets"))
-    rows = flows.where(~net.is_group_address(F.col("dst_ip"))).groupBy("src_ip").agg(F.count_distinct("dst_ip").alias("d"), F.count_distinct("dst_port", "proto").alias("p"), F.sum("packets").alias("packets"))
+def port_scan(c: Context, names: Iterable[str], least: int = 10, few: int = 3, high: int = 50) -> DataFrame:
+    """Sources that reach many destinations or many (port, protocol); group addresses do not count.
+
+    Destinations, and then ports, are counted by a flow's first appearance among those of its source, so
+    no row is expanded.
+    """
+    rows = _flows(c).where(~net.is_group_address(F.col("dst_ip"))).select("src_ip", "packets", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("dst_ip").alias("value"), F.col("packets").alias("p")), F.struct(F.lit(1).alias("side"), F.concat(F.col("dst_port").cast("string"), F.lit("/"), F.col("proto").cast("string")).alias("value"), F.lit(0).cast("long").alias("p")))).alias("s"))
+    seen = rows.groupBy("src_ip", "s.side", "s.value").agg(F.sum("s.p").alias("packets"))
+    rows = seen.groupBy("src_ip").agg(F.count_if(F.col("side") == 0).alias("d"), F.count_if(F.col("side") == 1).alias("p"), F.sum("packets").alias("packets"))
     d, p = F.col("d"), F.col("p")
     kind = F.when((d >= least) & (p <= few), "horizontal").when((d <= few) & (p >= least), "vertical").otherwise("combined")
     rows = rows.where((d >= least) | (p >= least))
     return _rows(rows, _evidence("recon.port_scan", F.when((d >= high) | (p >= high), "high").otherwise("medium"), F.concat(kind, F.lit(" "), d.cast("string"), F.lit(" hosts "), p.cast("string"), F.lit(" ports")), "packets", F.col("src_ip")))
 
 
-def spoofed_sources(c: Context) -> DataFrame:
-    """The targets of one-packet sources without a MAC, a reply or a protocol: one aggregation by address."""
-    label = net.port_label(F.col("proto"), F.col("src_port"), F.col("dst_port")).isNotNull()
-    known = lambda mac: F.col(mac).isNotNull() & (F.col(mac) != "00:00:00:00:00:00")
-    side = lambda ip, mac, sent: F.struct(F.col(ip).alias("ip"), known(mac).alias("mac"), F.lit(sent).alias("sent"), (F.col("dst_ip") if sent else F.lit(None).cast("string")).alias("target"))
-    sides = c.packets.select(F.explode(F.array(side("src_ip", "src_mac", 1), side("dst_ip", "dst_mac", 0))).alias("h"), label.alias("label"))
-    one = sides.groupBy("h.ip").agg(F.count("*").alias("packets"), F.sum("h.sent").alias("sent"), F.max("h.mac").alias("mac"), F.max("label").alias("label"), F.max("h.target").alias("dst_ip"))
-    return _rows(one.where("packets = 1 AND sent = 1 AND NOT mac AND NOT label"), _evidence("attack.spoofed_sources", "high", F.col("dst_ip")))
+def spoofed_sources(c: Context, names: Iterable[str]) -> DataFrame:
+    """The targets of one-packet sources without a MAC, a reply or a protocol: one aggregation of flows by address."""
+    side = lambda ip, mac, sent: F.struct(F.col(ip).alias("ip"), F.col(mac).alias("known"), (F.col("packets") if sent else F.lit(0).cast("long")).alias("sent"), (F.col("dst_ip") if sent else F.lit(None).cast("string")).alias("target"))
+    sides = _flows(c).select("packets", "named", F.explode(F.array(side("src_ip", "src_known", True), side("dst_ip", "dst_known", False))).alias("h"))
+    one = sides.groupBy("h.ip").agg(F.sum("packets").alias("packets"), F.sum("h.sent").alias("sent"), F.max("h.known").alias("known"), F.max("named").alias("named"), F.max("h.target").alias("dst_ip"))
+    one = one.where("packets = 1 AND sent = 1 AND NOT known AND NOT named").select("dst_ip", F.lit(None).cast("string").alias("src_ip"))
+    return _rows(_numbered(one), _evidence("attack.spoofed_sources", "high", F.col("dst_ip"), 1, None, _at("dst_ip")))
 
 
 CONFORMANCE_RULES = ("segmentation.idmz_bypass", "segmentation.wrong_direction", "segmentation.deny_by_default")
+_CALLS = (*(rule for rule, _ in ENGINEERING.values()), "ics.trusted_writer_activity")
 #: Functions and the rules whose evidence they find.
-SOURCES: list[tuple[Callable[[Context], DataFrame], tuple[str, ...]]] = [
-    (plaintext_creds, ("creds.ftp", "creds.telnet", "creds.http_basic", "creds.snmp")),
+SOURCES: list[tuple[Callable[[Context, Iterable[str]], DataFrame], tuple[str, ...]]] = [
+    (marked, (*(f"creds.{kind}" for kind in extract.CLEAR), *_CALLS, "compat.ntlmv1", "compat.smbv1", "compat.stale_tls", "compat.weak_tls_cipher", "creds.rdp_no_nla", "ics.modbus_unit_id_sweep")),
+    (engineering_details, _CALLS),
     (weak_creds, ("creds.default_or_weak_credentials",)),
     (ldap_simple_bind, ("creds.ldap_simple_bind",)),
-    (ntlmv1, ("compat.ntlmv1",)),
-    (engineering, (*(rule for _, _, rule, _ in ENGINEERING), "ics.trusted_writer_activity")),
-    (smbv1, ("compat.smbv1",)),
-    (stale_tls, ("compat.stale_tls",)),
-    (weak_tls_cipher, ("compat.weak_tls_cipher",)),
-    (rdp_no_nla, ("creds.rdp_no_nla",)),
-    (unit_id_sweep, ("ics.modbus_unit_id_sweep",)),
     (flow_rules, ("egress.ot_to_internet", "boundary.dns_resolver", "boundary.ntp_external", "ot.unexpected_protocols", *CONFORMANCE_RULES)),
     (port_scan, ("recon.port_scan",)),
     (spoofed_sources, ("attack.spoofed_sources",)),
 ]
-RULES = tuple(rule for _, rules in SOURCES for rule in rules)
+RULES = tuple(dict.fromkeys(rule for _, rules in SOURCES for rule in rules))
 
 
 def severity_rank(severity: Column) -> Column:
     return F.coalesce(*(F.when(severity == k, v) for k, v in SEVERITY_RANK.items()))
 
 
-def findings(rows: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
-    """rule_id, entity, severity, hits, items and the largest evidence of each finding, ties by item.
+def _of_rule(values: dict, otherwise) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("rule_id")), F.lit(otherwise))
+
+
+#: Units that make a sweep, and a grave one.
+SWEEP, GRAVE_SWEEP, SWEEP_SHOWN = 5, 50, 10
+
+
+def findings(rows: DataFrame) -> DataFrame:
+    """rule_id, entity, severity, hits, attempted (of hits), items and the first evidence of each finding.
 
-    Hits, items and severity are a partial aggregation; the largest items are cut in every task
-    before they meet.
+    The items of a finding are dealt to PARTS parts, so none is too large for a task. Each part adds up its items,
+    cuts its evidence to what the rule shows and counts all; then the parts of a finding, a row each, meet. Evidence is in
+    falling order of weight or in that of places; ties by place.
     """
-    key = ["rule_id", "entity"]
-    items = rows.groupBy(*key, "severity", "item").agg(F.sum("weight").alias("weight"))
-    totals = items.groupBy(*key).agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.sum("weight").alias("hits"), F.count("*").alias("items"))
-    totals = totals.where(~F.coalesce(*(F.when(F.col("rule_id") == rule, F.col("hits") <= least) for rule, least in MORE_THAN.items()), F.lit(False)))
-    k = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("weight"), "item", "severity"))
-    top = items.withColumn("k", k).where(F.col("k") <= evidence).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", F.concat("item", F.lit(" ("), F.col("weight").cast("string"), F.lit(")")).alias("text")))).alias("top"))
-    return totals.join(top, key).withColumn("evidence", F.transform("top", lambda e: e["text"])).drop("top")
+    part = ["rule_id", "entity", "part"]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(PARTS))).repartition(*part)
+    items = rows.groupBy(*part, "place").agg(F.sum("weight").alias("weight"), F.sum("attempted").alias("attempted"), F.max(severity_rank(F.col("severity"))).alias("rank"), F.max("item").alias("item"))
+    order = F.when(F.col("rule_id").isin(*BY_PLACE), F.lit(0).cast("long")).otherwise(-F.col("weight"))
+    cap = _of_rule(CAPS, EVIDENCE)
+    items = items.withColumn("order", order).withColumn("k", F.row_number().over(Window.partitionBy(*part).orderBy("order", "place")))
+    sweep = F.col("rule_id") == "ics.modbus_unit_id_sweep"
+    text = F.when(sweep, F.col("item")).otherwise(F.concat("item", F.lit(" ("), F.col("weight").cast("string"), F.lit(")")))
+    kept = F.collect_list(F.when(F.col("k") <= cap, F.struct("order", "place", text.alias("text"))))
+    sums = lambda names: [F.sum(n).alias(n) for n in names]
+    parts = items.groupBy(*part).agg(*sums(("weight", "attempted")), F.count("*").alias("items"), F.max("rank").alias("rank"), kept.alias("top"))
+    found = parts.groupBy("rule_id", "entity").agg(*sums(("weight", "attempted", "items")), F.max("rank").alias("rank"), F.flatten(F.collect_list("top")).alias("top"))
+    shown = F.transform(F.slice(F.array_sort("top"), 1, cap), lambda e: e["text"])
+    units = F.concat(F.array_join(F.slice(shown, 1, SWEEP_SHOWN), ","), F.lit(" ("), F.col("items").cast("string"), F.lit(")"))
+    few = F.coalesce(F.col("weight") <= F.coalesce(_of_rule(MORE_THAN, 0)), F.lit(False)) | (sweep & (F.col("items") < SWEEP))
+    rank = F.when(sweep & (F.col("items") >= GRAVE_SWEEP), SEVERITY_RANK["high"]).otherwise(F.col("rank"))
+    severity = F.element_at(F.array(*(F.lit(k) for k, _ in sorted(SEVERITY_RANK.items(), key=lambda x: x[1]))), rank + 1)
+    return found.where(~few).select("rule_id", "entity", severity.alias("severity"), F.col("weight").alias("hits"), "attempted", F.when(sweep, 1).otherwise(F.col("items")).cast("long").alias("items"), F.when(sweep, F.array(units)).otherwise(shown).alias("evidence"))
 
 
 def run_rules(c: Context, only: Iterable[str] | None = None) -> DataFrame:
@@ -232,5 +297,5 @@ def run_rules(c: Context, only: Iterable[str] | None = None) -> DataFrame:
         names = list(only)
         if unknown := set(names) - set(RULES):
             raise ValueError(f"no rules named {sorted(unknown)}")
-    rows = reduce(DataFrame.unionByName, (find(c) for find, rules in SOURCES if set(rules) & set(names)))
+    rows = reduce(DataFrame.unionByName, (find(c, names) for find, rules in SOURCES if set(rules) & set(names)))
     return findings(rows.where(F.col("rule_id").isin(*names)))

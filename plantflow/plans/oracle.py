@@ -157,7 +157,7 @@ _CTES += [
     ("rdp", f"SELECT pkt_id, src_ip, dst_ip, {_byte(15)} + 256 * {_byte(16)} + 65536 * {_byte(17)} + 16777216 * {_byte(18)} AS selected_protocol FROM packets WHERE proto = 6 AND dst_port = 3389 AND {_LEN} >= 19 AND {_hex(0, 2)} = '0300' AND {_byte(2, 2)} = {_LEN} AND {_byte(5)} & 240 = 208 AND {_hex(11)} = '02'"),
     ("ldap_rows", f"SELECT *, CASE WHEN dst_port IN (389, 3268) THEN (src_ip, src_port, dst_ip, dst_port) ELSE (dst_ip, dst_port, src_ip, src_port) END AS conn, src_port IN (389, 3268) AND payload_hex LIKE '30%' AND {_find('78')} >= 0 AND {_find('0A0100')} >= 0 AS reply FROM packets WHERE proto = 6 AND (src_port IN (389, 3268) OR dst_port IN (389, 3268))"),
     ("ldap", f"SELECT pkt_id, src_ip, dst_ip, dst_port, {_byte(9)} AS version, {_byte('10 + 2 + ' + _byte(11) + ' + 1')} = 0 AS anonymous, coalesce(started, false) AS used_starttls FROM (SELECT *, bool_or(reply) OVER (PARTITION BY conn ORDER BY ts, pkt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS started FROM ldap_rows) WHERE dst_port IN (389, 3268) AND payload_hex LIKE '30__020101%' AND {_hex(5)} = '60' AND {_hex(7)} = '02' AND {_hex(10)} = '04' AND {_hex('12 + ' + _byte(11))} = '80'"),
-    ("engineering", "SELECT src_ip, dst_ip, 'modbus' AS name, label FROM modbus WHERE engineering UNION ALL SELECT src_ip, dst_ip, 'cip', label FROM enip WHERE engineering UNION ALL SELECT src_ip, dst_ip, 's7', label FROM s7 WHERE engineering UNION ALL SELECT src_ip, dst_ip, 'dnp3', 'function ' || fc FROM dnp3 WHERE engineering"),
+    ("engineering", "SELECT src_ip, dst_ip, ts, pkt_id, 'modbus' AS name, label FROM modbus WHERE engineering UNION ALL SELECT src_ip, dst_ip, ts, pkt_id, 'cip', label FROM enip WHERE engineering UNION ALL SELECT src_ip, dst_ip, ts, pkt_id, 's7', label FROM s7 WHERE engineering UNION ALL SELECT src_ip, dst_ip, ts, pkt_id, 'dnp3', 'function ' || fc FROM dnp3 WHERE engineering"),
     ("judged", f"SELECT *, {_trusted_rule('name')} AS rule FROM engineering"),
     # the derived packets tell names of eight bytes at fixed offsets
     ("told", f"SELECT pkt_id, ts, CASE dst_port WHEN 137 THEN src_ip WHEN 67 THEN {_dotted(16)} ELSE {_dotted(_LEN + ' - 4')} END AS ip, decode(unhex(CASE dst_port WHEN 137 THEN translate(decode(unhex({_hex(13, 16)})), 'ABCDEFGHIJKLMNOP', '0123456789ABCDEF') WHEN 67 THEN {_hex(242, 8)} ELSE {_hex(13, 8)} END)) AS name FROM packets WHERE proto = 17 AND (dst_port IN (67, 137, 5353) OR dst_port = 5355 AND {_byte(2)} >= 128)"),
@@ -185,41 +185,61 @@ def _sql(body: str) -> str:
     return f"WITH {parts} {body}" if parts else body
 
 
+def _place(*columns: str) -> str:
+    """Addresses and ports as text that sorts like them."""
+    return " || ".join(f"lpad(CAST({_num(c)} AS VARCHAR), 10, '0')" if c.endswith("_ip") else f"lpad(CAST({c} AS VARCHAR), 5, '0')" for c in columns)
+
+
+_PAIR_PLACE = _place("src_ip", "dst_ip")
+_FLOW_PLACE = _place("src_ip", "dst_ip", "dst_port") + " || lpad(CAST(proto AS VARCHAR), 3, '0')"
+
+
+def _calls(trusted: bool) -> str:
+    """Engineering by pair, with its first five calls."""
+    own = "name || ' ' || " if trusted else ""
+    known = " || ' #' || rule" if trusted else ""
+    return f"SELECT src_ip, dst_ip, name, {own}{_PAIR} || ' : ' || string_agg(label, ', ' ORDER BY k) FILTER (k <= 5){known} AS item, count(*) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY name, src_ip, dst_ip ORDER BY ts, pkt_id) AS k FROM judged) WHERE rule IS {'NOT ' if trusted else ''}NULL GROUP BY src_ip, dst_ip, name, rule"
+
+
 def _engineering_rule(name: str, always: str | None = None) -> str:
     severity = f"'{always}'" if always else f"CASE WHEN {_ot('src_ip')} THEN 'high' ELSE 'critical' END"
-    return f"SELECT {severity} AS severity, '' AS entity, {_PAIR} || ' ' || label AS item, 1 AS weight FROM judged WHERE name = '{name}' AND rule IS NULL"
+    return f"SELECT {severity} AS severity, '' AS entity, {_PAIR_PLACE} AS place, item, weight FROM ({_calls(False)}) WHERE name = '{name}'"
 
 
 def _boundary(port: int) -> str:
-    return f"SELECT 'medium' AS severity, '' AS entity, {_PAIR} AS item, packets AS weight FROM flows WHERE dst_port = {port} AND {_ot('src_ip')} AND NOT {_ot('dst_ip')}"
+    return f"SELECT 'medium' AS severity, '' AS entity, {_PAIR_PLACE} AS place, {_PAIR} AS item, packets AS weight FROM flows WHERE dst_port = {port} AND {_ot('src_ip')} AND NOT {_ot('dst_ip')}"
+
+
+#: The state that a connection log would have, by a fixed rule on packets.
+_TRIED = "(packets = 1 OR packets % 3 = 0)"
 
 
 def _violation(kind: str, severity: str) -> str:
-    return f"SELECT '{severity}' AS severity, '' AS entity, {_SERVICE} || '/' || {_PROTO} || ' established' AS item, 1 AS weight FROM violations WHERE violation = '{kind}'"
+    return f"SELECT '{severity}' AS severity, '' AS entity, CASE WHEN {_TRIED} THEN '1' ELSE '0' END || {_FLOW_PLACE} AS place, {_SERVICE} || '/' || {_PROTO} || CASE WHEN {_TRIED} THEN ' attempted' ELSE ' established' END AS item, 1 AS weight, {_TRIED}::INT AS attempted FROM violations WHERE violation = '{kind}'"
 
 
 _RULES = {
-    **{f"creds.{k}": f"SELECT 'critical' AS severity, '' AS entity, dst_ip || ':' || dst_port AS item, n AS weight FROM creds WHERE kind = '{k}'" for k in ("ftp", "telnet", "http_basic", "snmp")},
+    **{f"creds.{k}": f"SELECT 'critical' AS severity, '' AS entity, {_place('dst_ip', 'dst_port')} AS place, dst_ip || ':' || dst_port AS item, n AS weight FROM creds WHERE kind = '{k}'" for k in ("ftp", "telnet", "http_basic", "snmp")},
     "creds.default_or_weak_credentials": f"SELECT 'critical' AS severity, '' AS entity, {_SERVICE} || ' ' || CASE kind WHEN 'ftp' THEN 'anonymous_ftp' ELSE 'weak_password' END AS item, n AS weight FROM creds WHERE kind = 'ftp' AND payload_hex LIKE '5553455220616E6F6E796D6F7573%' OR kind = 'http_basic' AND split_part(decode(from_base64(regexp_extract(decode(unhex(payload_hex)), 'Basic ([A-Za-z0-9+/=]+)', 1))), ':', 2) IN ('admin', 'password', '123456')",
-    "creds.ldap_simple_bind": f"SELECT 'critical' AS severity, '' AS entity, {_SERVICE} AS item, 1 AS weight FROM ldap WHERE NOT used_starttls AND NOT anonymous",
+    "creds.ldap_simple_bind": f"SELECT 'critical' AS severity, '' AS entity, {_PAIR_PLACE} AS place, {_PAIR} || ':' || array_to_string(list_sort(list(DISTINCT dst_port)), ',') AS item, count(*) AS weight FROM ldap WHERE NOT used_starttls AND NOT anonymous GROUP BY src_ip, dst_ip",
     # the derived negotiations have their flags at one offset
-    "compat.ntlmv1": f"SELECT 'high' AS severity, {_PAIR} AS entity, {_SERVICE} AS item, 1 AS weight FROM packets WHERE payload_hex LIKE '%4E544C4D5353500001000000%' AND {_byte(17)} & 2 = 2 AND {_byte(18)} & 8 = 0",
+    "compat.ntlmv1": f"SELECT 'high' AS severity, {_PAIR} AS entity, {_place('dst_port')} AS place, {_SERVICE} AS item, 1 AS weight FROM packets WHERE payload_hex LIKE '%4E544C4D5353500001000000%' AND {_byte(17)} & 2 = 2 AND {_byte(18)} & 8 = 0",
     "ics.modbus_writes": _engineering_rule("modbus"),
     "ics.cip_engineering": _engineering_rule("cip", "high"),
     "ics.s7_engineering": _engineering_rule("s7"),
     "ics.dnp3_engineering": _engineering_rule("dnp3"),
-    "ics.trusted_writer_activity": f"SELECT 'info' AS severity, '' AS entity, name || ' ' || {_PAIR} || ' #' || rule AS item, 1 AS weight FROM judged WHERE rule IS NOT NULL",
-    "compat.smbv1": f"SELECT 'high' AS severity, '' AS entity, {_SERVICE} AS item, packets AS weight FROM smb",
-    "compat.stale_tls": f"SELECT 'medium' AS severity, '' AS entity, {_PAIR} || ' ' || hex(version) AS item, hellos AS weight FROM tls WHERE version BETWEEN 768 AND 770",
-    "compat.weak_tls_cipher": f"SELECT 'medium' AS severity, {_PAIR} AS entity, hex(cipher) AS item, hellos AS weight FROM ciphers WHERE cipher IN (1, 2, 4, 5, 9, 10)",
+    "ics.trusted_writer_activity": f"SELECT 'info' AS severity, '' AS entity, CASE name WHEN 'modbus' THEN '0' WHEN 'cip' THEN '1' WHEN 's7' THEN '2' ELSE '3' END || {_PAIR_PLACE} AS place, item, weight FROM ({_calls(True)})",
+    "compat.smbv1": f"SELECT 'high' AS severity, '' AS entity, {_place('src_ip', 'dst_ip', 'dst_port')} AS place, {_SERVICE} AS item, packets AS weight FROM smb",
+    "compat.stale_tls": f"SELECT 'medium' AS severity, '' AS entity, {_PAIR_PLACE} || hex(version) AS place, {_PAIR} || ' ' || hex(version) AS item, hellos AS weight FROM tls WHERE version BETWEEN 768 AND 770",
+    "compat.weak_tls_cipher": f"SELECT 'medium' AS severity, {_PAIR} AS entity, lpad(hex(cipher), 4, '0') AS place, hex(cipher) AS item, hellos AS weight FROM ciphers WHERE cipher IN (1, 2, 4, 5, 9, 10)",
     "creds.rdp_no_nla": f"SELECT 'critical' AS severity, {_PAIR} AS entity, {_PAIR} AS item, 1 AS weight FROM rdp WHERE selected_protocol = 0",
     "ics.modbus_unit_id_sweep": f"SELECT CASE WHEN len(ids) >= 50 THEN 'high' ELSE 'medium' END AS severity, {_PAIR} AS entity, array_to_string(ids[1:10], ',') AS item, len(ids) AS weight FROM (SELECT src_ip, dst_ip, list_sort(list(DISTINCT unit_id)) AS ids FROM modbus GROUP BY 1, 2) WHERE len(ids) >= 5",
-    "egress.ot_to_internet": f"SELECT 'critical' AS severity, '' AS entity, {_SERVICE} || '/' || {_PROTO} || CASE WHEN dst_port = 53 THEN ' dns' WHEN dst_port = 123 THEN ' ntp' WHEN dst_port IN (500, 1194, 4500, 51820) THEN ' tunnel' ELSE '' END AS item, bytes AS weight FROM flows WHERE {_ot('src_ip')} AND {_public('dst_ip')}",
+    "egress.ot_to_internet": f"SELECT 'critical' AS severity, '' AS entity, {_FLOW_PLACE} AS place, {_SERVICE} || '/' || {_PROTO} || CASE WHEN dst_port = 53 THEN ' dns' WHEN dst_port = 123 THEN ' ntp' WHEN dst_port IN (500, 1194, 4500, 51820) THEN ' tunnel' ELSE '' END AS item, bytes AS weight FROM flows WHERE {_ot('src_ip')} AND {_public('dst_ip')}",
     "boundary.dns_resolver": _boundary(53),
     "boundary.ntp_external": _boundary(123),
     "recon.port_scan": "SELECT CASE WHEN d >= 50 OR p >= 50 THEN 'high' ELSE 'medium' END AS severity, src_ip AS entity, CASE WHEN d >= 10 AND p <= 3 THEN 'horizontal' WHEN d <= 3 AND p >= 10 THEN 'vertical' ELSE 'combined' END || ' ' || d || ' hosts ' || p || ' ports' AS item, packets AS weight FROM scans WHERE d >= 10 OR p >= 10",
-    "ot.unexpected_protocols": f"SELECT 'medium' AS severity, '' AS entity, {_NO_FLY} || ' ' || {_SERVICE} AS item, packets AS weight FROM flows WHERE {_NO_FLY} IS NOT NULL AND ({_ot('src_ip')} OR {_ot('dst_ip')})",
-    "attack.spoofed_sources": "SELECT 'high' AS severity, '' AS entity, dst_ip AS item, packets AS weight FROM flows JOIN single USING (src_ip) WHERE (SELECT count(*) FROM single) > 500",
+    "ot.unexpected_protocols": f"SELECT 'medium' AS severity, '' AS entity, {_place('src_ip', 'dst_ip', 'dst_port')} || {_NO_FLY} AS place, {_NO_FLY} || ' ' || {_SERVICE} AS item, packets AS weight FROM flows WHERE {_NO_FLY} IS NOT NULL AND ({_ot('src_ip')} OR {_ot('dst_ip')})",
+    "attack.spoofed_sources": f"SELECT 'high' AS severity, '' AS entity, {_place('dst_ip')} AS place, dst_ip AS item, packets AS weight FROM flows JOIN single USING (src_ip) WHERE (SELECT count(*) FROM single) > 500",
     "segmentation.idmz_bypass": _violation("idmz_bypass", "critical"),
     "segmentation.wrong_direction": _violation("wrong_direction", "high"),
     "segmentation.deny_by_default": _violation("no_matching_conduit", "high"),
@@ -227,10 +247,19 @@ _RULES = {
 _RANK = "CASE severity WHEN 'info' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END"
 
 
+#: Evidence that a rule shows, where it is not 15, and the rules that show it in order of place.
+_SHOWN = {"creds.ldap_simple_bind": 5, "compat.ntlmv1": 5, "creds.rdp_no_nla": 5, "compat.weak_tls_cipher": 5, "attack.spoofed_sources": 5, "ics.trusted_writer_activity": 30}
+_IN_PLACE = ("creds.ldap", "compat.ntlm", "creds.rdp", "compat.weak", "ics.", "segmentation.")
+
+
 def _found(name: str) -> str:
-    items = f"SELECT entity, severity, item, CAST(sum(weight) AS BIGINT) AS w FROM ({_RULES[name]}) GROUP BY ALL"
-    ranked = f"SELECT *, row_number() OVER (PARTITION BY entity ORDER BY w DESC, item, severity) AS k FROM ({items})"
-    return f"SELECT '{name}' AS rule_id, entity, arg_max(severity, {_RANK}) AS severity, CAST(sum(w) AS BIGINT) AS hits, count(*) AS items, string_agg(item || ' (' || w || ')', '; ' ORDER BY k) FILTER (k <= 15) AS evidence FROM ({ranked}) GROUP BY entity"
+    place = "" if " AS place" in _RULES[name] else ", item AS place"
+    tried = "" if " AS attempted" in _RULES[name] else ", 0 AS attempted"
+    items = f"SELECT entity, place, item, CAST(sum(weight) AS BIGINT) AS w, CAST(sum(attempted) AS BIGINT) AS tried, max({_RANK}) AS rank FROM (SELECT *{place}{tried} FROM ({_RULES[name]})) GROUP BY entity, place, item"
+    order = "place" if name.startswith(_IN_PLACE) else "w DESC, place"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY entity ORDER BY {order}) AS k FROM ({items})"
+    severity = "CASE max(rank) WHEN 0 THEN 'info' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END"
+    return f"SELECT '{name}' AS rule_id, entity, {severity} AS severity, CAST(sum(w) AS BIGINT) AS hits, CAST(sum(tried) AS BIGINT) AS attempted, count(*) AS items, string_agg(item || ' (' || w || ')', '; ' ORDER BY k) FILTER (k <= {_SHOWN.get(name, 15)}) AS evidence FROM ({ranked}) GROUP BY entity"
 
 
 _ALL = " UNION ALL ".join(_found(n) for n in _RULES if not n.startswith("segmentation."))

@@ -30,11 +30,11 @@ def _assets(p: DataFrame) -> DataFrame:
 
 
 def _context(p: DataFrame, conform: bool = False, trusted: bool = True) -> rules.Context:
-    return rules.Context(p, OT, TRUSTED if trusted else [], conformance.verdicts(observe.flows(p), POLICY) if conform else None)
+    return rules.Context(p, OT, TRUSTED if trusted else [], conformance.verdicts(_states(observe.flows(p)), POLICY) if conform else None)
 
 
 def _shown(findings: DataFrame) -> DataFrame:
-    return findings.select("rule_id", "entity", "severity", "hits", "items", F.array_join("evidence", "; ").alias("evidence"))
+    return findings.select("rule_id", "entity", "severity", "hits", "attempted", "items", F.array_join("evidence", "; ").alias("evidence"))
 
 
 def _rule(name: str) -> Query:

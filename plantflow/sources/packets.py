@@ -83,10 +83,19 @@ def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived packets as a written table, as captures are ingested once and then queried; made once a session."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _tables:
-        _tables[key] = staged(derived_packets(spark, sf_dir), "packets")
+        made = derived_packets(spark, sf_dir)
+        # even files, as many as tasks run at once or the input has parts: a join on few files would leave one
+        files = max(spark.sparkContext.defaultParallelism, made.rdd.getNumPartitions())
+        _tables[key] = staged(made.repartition(files), "packets")
     return _tables[key]
 
 
+def forget_packets(spark: SparkSession) -> None:
+    """Derive packets anew from now on, as their input has changed; tables already written stay where they are."""
+    for key in [k for k in _tables if k[0] == spark.sparkContext.applicationId]:
+        del _tables[key]
+
+
 def stored_packets(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet packet table; more columns are allowed, and only those a query uses are read."""
     return spark.read.parquet(path)

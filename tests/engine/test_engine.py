@@ -303,3 +303,37 @@ def test_shared_folder(spark):
     from plantflow.sources.staging import shared_folder, staged
 
     assert staged(spark.range(5)).count() == 5 and shared_folder(spark) == shared_folder(spark)
+
+
+def test_evidence_caps_and_orders(spark):
+    """Five calls of a pair in their order, pairs by number, thirty declared pairs, five binds, totals of parts in full."""
+    from plantflow.operators.trusted import Writer
+
+    write, read = "0001000000060106000100FF", "00010000000601050001FF00"
+    rows = [("10.0.0.9", f"10.0.1.{k}", 6, 50000, 502, write if j % 2 else read) for k in range(1, 41) for j in range(7)]
+    rows += [("10.0.0.10", f"10.0.2.{k}", 6, 50000, 502, write) for k in range(1, 41)]
+    rows += [("10.0.0.9", f"10.0.3.{k}", 6, 50000, 389, "3012020101600D0201030404636E3D6180027077") for k in range(1, 9)]
+    c = rules.Context(packets(spark, rows), ("10.0.0.0/8",), [Writer.parse("10.0.0.10=10.0.2.0/24:modbus")])
+    found = {r.rule_id: r for r in rules.run_rules(c, ["ics.modbus_writes", "ics.trusted_writer_activity", "creds.ldap_simple_bind"]).collect()}
+    own, known, binds = found["ics.modbus_writes"], found["ics.trusted_writer_activity"], found["creds.ldap_simple_bind"]
+    assert (own.hits, own.items, len(own.evidence)) == (280, 40, 15)
+    calls = "Write Single Coil, Write Single Register, Write Single Coil, Write Single Register, Write Single Coil"
+    assert list(own.evidence) == [f"10.0.0.9 -> 10.0.1.{k} : {calls} (7)" for k in range(1, 16)]
+    assert (known.hits, known.items, len(known.evidence), known.severity) == (40, 40, 30, "info") and known.evidence[1] == "modbus 10.0.0.10 -> 10.0.2.2 : Write Single Register #1 (1)"
+    assert (binds.hits, binds.items) == (8, 8) and list(binds.evidence) == [f"10.0.0.9 -> 10.0.3.{k}:389 (1)" for k in range(1, 6)]
+
+
+def test_attempted_violations_come_last(spark, policy):
+    flows = [("10.0.0.1", f"10.0.1.{k}", 6, 50000, 99, "") for k in range(20)]
+    table = observe.flows(packets(spark, flows)).withColumn("conn_state", F.when(F.col("dst_ip").endswith("7"), "SF").otherwise("REJ"))
+    c = rules.Context(packets(spark, flows), ("10.0.0.0/8",), [], conformance.verdicts(table, policy))
+    deny = rules.run_rules(c, ["segmentation.deny_by_default"]).first()
+    assert (deny.hits, deny.attempted, deny.items) == (20, 18, 20)
+    assert list(deny.evidence[:3]) == ["10.0.0.1 -> 10.0.1.7:99/tcp established (1)", "10.0.0.1 -> 10.0.1.17:99/tcp established (1)", "10.0.0.1 -> 10.0.1.0:99/tcp attempted (1)"]
+
+
+def test_one_aligned_byte_or_none(spark):
+    from plantflow.functions import wire
+
+    rows = spark.createDataFrame([("A0201B",), ("0201",), ("1020102010",), ("",), ("FF",)], "h string")
+    assert [tuple(r) for r in rows.select(wire.find(F.col("h"), "0201"), wire.be(F.col("h"), 1), wire.be(F.col("h"), F.lit(1))).collect()] == [(-1, 0x20, 0x20), (0, 1, 1), (-1, 0x20, 0x20), (-1, None, None), (-1, None, None)]
