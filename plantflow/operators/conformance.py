@@ -1,8 +1,8 @@
 """Zones, conduits and the verdict on every flow.
 
 The policy is a small declared document; the flow table is large. Addresses resolve by one broadcast
-equi-join for each prefix length, longest first, and conduits by one broadcast join on (protocol, zone
-pair), with the port test as an array expression. So classifying flows needs no shuffle.
+join with the policy's disjoint intervals, and conduits by one broadcast join on (protocol, zone pair),
+with the port test as an array expression. So classifying flows needs no shuffle.
 """
 
 from __future__ import annotations
@@ -127,32 +127,64 @@ def policy_digest(policy: Policy) -> str:
     return hashlib.sha256(json.dumps(doc, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def disjoint(members: list[tuple]) -> list[tuple[int, int, tuple]]:
+    """(first, last, member) of intervals that do not overlap, from members (network, ...) of one family: the longest network that holds an address has it.
+
+    Of equal networks the first declared counts.
+    """
+    members = sorted({m[0]: m for m in reversed(members)}.values(), key=lambda m: (int(m[0].network_address), m[0].prefixlen))
+    out: list[tuple[int, int, tuple]] = []
+    open_: list[tuple] = []
+    at = 0
+
+    def until(end: int) -> None:
+        """Close networks that end before, and give what is left of each to it."""
+        nonlocal at
+        while open_ and int(open_[-1][0].broadcast_address) < end:
+            last = int(open_[-1][0].broadcast_address)
+            if at <= last:
+                out.append((at, last, open_[-1]))
+                at = last + 1
+            open_.pop()
+        if open_ and at < end:
+            out.append((at, end - 1, open_[-1]))
+
+    for member in members:
+        first = int(member[0].network_address)
+        until(first)
+        at = first
+        open_.append(member)
+    until(1 << 129)
+    return out
+
+
+def _intervals(policy: Policy) -> list[tuple]:
+    """bucket, first, last, zone, level, end: disjoint intervals of addresses as hex digits, once for each bucket they touch."""
+    rows = []
+    for version, digits, head in ((4, 8, 2), (6, 32, 4)):
+        members = [(n, z.zone, z.level) for z in policy.zones for m in z.members if (n := ipaddress.ip_network(m)).version == version]
+        for low, high, (network, zone, level) in disjoint(members):
+            first, last = (format(x, f"0{digits}x") for x in (low, high))
+            end = format(int(network.broadcast_address), f"0{digits}x") if version == 4 and network.prefixlen <= 30 else None
+            rows += [(format(k, f"0{head}x"), first, last, zone, level, end) for k in range(int(first[:head], 16), int(last[:head], 16) + 1)]
+    return rows
+
+
 def resolve(df: DataFrame, ip: str, policy: Policy, out: str) -> DataFrame:
     """df with a struct column out (zone, level, directed): the longest member network that holds ip, else EXTERNAL.
 
-    directed: ip is that network's broadcast address, of an IPv4 network of /30 or shorter.
+    directed: ip is that network's broadcast address, of an IPv4 network of /30 or shorter. Nested members are
+    flattened to disjoint intervals, so members of all lengths and both families meet addresses in one join, by the
+    first byte (IPv4) or the first two (IPv6).
     """
-    spark = df.sparkSession
-    by_length: dict[tuple[int, int], list] = {}
-    for z in policy.zones:
-        for m in z.members:
-            n = ipaddress.ip_network(m)
-            key = int(n.network_address) >> (32 - n.prefixlen) if n.version == 4 else format(int(n.network_address), "032x")[: n.prefixlen // 4]
-            by_length.setdefault((n.version, n.prefixlen), []).append((key, z.zone, z.level, int(n.broadcast_address) if n.version == 4 and n.prefixlen <= 30 else None))
-    kind = "struct<zone:string,level:string,last:bigint>"
-    tries = []
-    for (version, length), rows in sorted(by_length.items(), reverse=True):
-        if version == 6 and length % 4:
-            raise ValueError(f"IPv6 members end at a hex digit, not at /{length}")
-        name = f"_{out}_{version}_{length}"
-        key_type = "bigint" if version == 4 else "string"
-        table = spark.createDataFrame([(k, (z, lv, b)) for k, z, lv, b in rows], f"_k_{name} {key_type}, {name} {kind}")
-        key = F.shiftright(net.ip_num(F.col(ip)), 32 - length) if version == 4 else F.substring(net.v6_hex(F.col(ip)), 1, length // 4)
-        df = df.join(F.broadcast(table), key == F.col(f"_k_{name}"), "left").drop(f"_k_{name}")  # as large as the policy
-        tries.append(name)
-    found = F.coalesce(*(F.col(t) for t in tries), F.lit(None).cast(kind))
-    value = F.struct(F.coalesce(found["zone"], F.lit(EXTERNAL)).alias("zone"), found["level"].alias("level"), F.coalesce(net.ip_num(F.col(ip)) == found["last"], F.lit(False)).alias("directed"))
-    return df.withColumn(out, value).drop(*tries)
+    spark, key = df.sparkSession, f"_{out}_key"
+    table = spark.createDataFrame(_intervals(policy), f"_bucket string, _first string, _last string, _{out}_zone string, _{out}_level string, _{out}_end string")
+    number = F.lpad(F.lower(F.hex(net.ip_num(F.col(ip)))), 8, "0")
+    df = df.withColumn(key, F.coalesce(number, net.v6_hex(F.col(ip))))
+    bucket = F.substring(F.col(key), F.lit(1), F.when(F.length(key) == 8, 2).otherwise(4))
+    df = df.join(F.broadcast(table), (bucket == F.col("_bucket")) & F.col(key).between(F.col("_first"), F.col("_last")), "left")  # as large as the policy
+    value = F.struct(F.coalesce(f"_{out}_zone", F.lit(EXTERNAL)).alias("zone"), F.col(f"_{out}_level").alias("level"), F.coalesce(F.col(key) == F.col(f"_{out}_end"), F.lit(False)).alias("directed"))
+    return df.withColumn(out, value).drop("_bucket", "_first", "_last", key, f"_{out}_zone", f"_{out}_level", f"_{out}_end")
 
 
 def _conduits(spark: SparkSession, policy: Policy) -> DataFrame:
@@ -207,13 +239,3 @@ def conformance_tally(verdict_table: DataFrame) -> DataFrame:
         F.coalesce(F.sum((F.col("src_zone") == EXTERNAL).cast("long") + (F.col("dst_zone") == EXTERNAL).cast("long")), F.lit(0)).alias("external_endpoints"),
         F.count_if(bad).alias("violating_flows"),
     )
-
-
-def policy_tables(spark: SparkSession, policy: Policy) -> dict[str, DataFrame]:
-    zones = spark.createDataFrame([(z.zone, z.level) for z in policy.zones], "zone string, level string")
-    members = spark.createDataFrame([(z.zone, m) for z in policy.zones for m in z.members], "zone string, cidr string")
-    return {"zones": zones, "members": members}
-
-
-def level_rank(level: Column) -> Column:
-    return F.coalesce(*(F.when(level == k, v) for k, v in LEVEL_RANK.items()), F.lit(None).cast("int"))

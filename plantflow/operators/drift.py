@@ -13,10 +13,6 @@ def new_rows(base: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
     return current.join(base.select(*key).distinct(), key, "left_anti")
 
 
-def common_rows(base: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
-    return current.join(base.select(*key).distinct(), key, "left_semi")
-
-
 def role_shifts(base: DataFrame, current: DataFrame) -> DataFrame:
     """ip, was, now of assets whose role differs."""
     both = base.select("ip", F.col("role").alias("was")).join(current.select("ip", F.col("role").alias("now")), "ip")

@@ -100,8 +100,3 @@ def suggest_zones(asset_table: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.transform("roles", lambda r: F.struct((-r["n"]).alias("n"), r["role"].alias("role"))))
     text = F.array_join(F.transform(ordered, lambda r: F.concat((-r["n"]).cast("string"), F.lit(" "), r["role"])), ", ")
     return most.select(net.zone_slug(F.col("cidr")).alias("zone"), "cidr", "level", "assets", text.alias("roles"))
-
-
-def first_per(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    """The first k rows of each group."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
@@ -119,8 +119,9 @@ def slice_packets(packets: DataFrame, hosts_: Iterable[str] = (), flows_: Iterab
     return packets.where(chosen)
 
 
-def slice_by(packets: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Packets from or to an address of selectors (ip), a table of any size."""
-    wanted = selectors.select("ip").distinct()
-    out = packets.join(wanted.withColumnRenamed("ip", "_s"), F.col("src_ip") == F.col("_s"), "left").join(wanted.withColumnRenamed("ip", "_d"), F.col("dst_ip") == F.col("_d"), "left")
-    return out.where("_s IS NOT NULL OR _d IS NOT NULL").drop("_s", "_d")
+def write_slice(packets: DataFrame, path: str, hosts_: Iterable[str] = (), flows_: Iterable[tuple[str, str, int]] = ()) -> dict[str, int]:
+    """Write slice_packets to a new Parquet folder; the packets scanned and matched, counted in the pass that writes."""
+    scanned, matched = Observation("scanned"), Observation("matched")
+    seen = packets.observe(scanned, F.count(F.lit(1)).alias("n"))
+    slice_packets(seen, hosts_, flows_).observe(matched, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return {"scanned": scanned.get["n"], "matched": matched.get["n"]}

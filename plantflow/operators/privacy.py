@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from ..sources.staging import staged
 IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 IPV6 = r"\b(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}\b"
 MAC = r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b"
+#: Words begin and end by the letters of all scripts.
 PSEUDONYM = r"\b(?:host|mac|name)_[0-9]+\b"
 
 
@@ -63,18 +67,77 @@ def _marked(df: DataFrame) -> DataFrame:
     return staged(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
-def _places(rows: DataFrame, column: str, find: Callable[[bytes], list[tuple[int, bytes]]]) -> DataFrame:
-    """_row, start (in bytes), found: what find sees in each text."""
+#: Text bytes looked at together; a longer text is looked at alone.
+_CHUNK = 4 << 20
+_PLACE = "_row long, start long, found string"
+
+
+def _text_slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows of about _CHUNK text bytes, the bytes of their texts, and the offsets of the rows in these."""
+    texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")
+    _, at, data = texts.buffers()
+    offsets = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _CHUNK, side="right")) - 1)
+        yield batch.slice(first, last - first), raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        first = last
+
+
+def _places(rows: DataFrame, column: str, find: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]]) -> DataFrame:
+    """_row, start (in bytes), found: what find sees, as (numbers of texts, starts in all bytes, found) of a run of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0), batch.column(1), strict=True):
-                places = find(text.as_py().encode()) if text.is_valid else []
-                for a in range(0, len(places), 10_000):
-                    some = places[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(some)), pa.array([p[0] for p in some], pa.int64()), pa.array([p[1].decode() for p in some], pa.string())], names=["_row", "start", "found"])
+            for part, data, offsets in _text_slices(batch, 1):
+                numbers = part.column(0).to_numpy()
+                for text, start, found in find(data, offsets):
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[text]), pa.array(start - offsets[text], pa.int64()), found], names=["_row", "start", "found"])
+
+    return rows.select("_row", F.col(column).cast("string")).mapInArrow(run, _PLACE)
+
+
+class HeadTable:
+    """Where values of a map may stand in bytes: a bit for each three bytes that one begins with, then their lengths.
 
-    return rows.select("_row", F.col(column).cast("string")).mapInArrow(run, "_row long, start long, found string")
+    One lookup a byte whatever the size of the map: 2**24 bits, and the lengths of values by their first bytes.
+    """
+
+    def __init__(self, heads: dict[bytes, list[int]]):
+        self.bits = np.zeros(1 << 21, np.uint8)
+        self.sizes: dict[int, np.ndarray] = {}
+        by_size: dict[int, list[int]] = {}
+        for head, sizes in heads.items():
+            low = int.from_bytes(head.ljust(3, b"\0"), "big")
+            span = 1 << 8 * (3 - len(head))  # a value of one or two bytes begins with any third
+            codes = np.arange(low, low + span)
+            np.bitwise_or.at(self.bits, codes >> 3, (1 << (codes & 7)).astype(np.uint8))
+            for size in sizes:
+                by_size.setdefault(size, []).extend(codes.tolist())
+        self.sizes = {size: np.unique(np.array(codes, np.int64)) for size, codes in by_size.items()}
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+        if not self.sizes or not data.size:
+            return
+        wide = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
+        code = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
+        start = np.flatnonzero((self.bits[code >> 3] >> (code & 7).astype(np.uint8)) & 1)
+        code = code[start]
+        text = np.searchsorted(offsets, start, side="right") - 1
+        limit = offsets[text + 1]
+        for size, codes in self.sizes.items():
+            k = np.minimum(np.searchsorted(codes, code), codes.size - 1)
+            end = start + size
+            fits = (codes[k] == code) & (end <= limit)
+            # a value ends where a character does
+            fits[fits] = (end[fits] == limit[fits]) | (data[np.minimum(end[fits], data.size - 1)] & 0xC0 != 0x80)
+            at = start[fits]
+            for first in range(0, at.size, max(1, _CHUNK // size)):
+                some = at[first : first + max(1, _CHUNK // size)]
+                taken = data[(some[:, None] + np.arange(size)).ravel()]
+                lengths = np.arange(some.size + 1, dtype=np.int32) * size
+                yield text[fits][first : first + some.size], some, pa.StringArray.from_buffers(some.size, pa.py_buffer(lengths), pa.py_buffer(np.ascontiguousarray(taken)))
 
 
 def _real_places(rows: DataFrame, column: str, scrub_map: DataFrame) -> DataFrame:
@@ -85,28 +148,29 @@ def _real_places(rows: DataFrame, column: str, scrub_map: DataFrame) -> DataFram
     """
     head = F.hex(F.substring(F.col("real").cast("binary"), 1, 3))
     known = scrub_map.where("real <> ''").groupBy(head.alias("head")).agg(F.array_sort(F.collect_set(F.octet_length("real"))).alias("sizes")).collect()
-    heads = {bytes.fromhex(r["head"]): r["sizes"] for r in known}
-    shape = re.compile(b"(?=(" + b"|".join(re.escape(h) for h in sorted(heads, key=lambda h: (-len(h), h))) + b"))", re.DOTALL) if heads else None
-
-    def find(text: bytes) -> list[tuple[int, bytes]]:
-        out = []
-        for m in shape.finditer(text) if shape else ():
-            a = m.start()
-            for head in {text[a : a + n] for n in (1, 2, 3)}:
-                for size in heads.get(head, ()):
-                    part = text[a : a + size]
-                    # a value ends where a character does
-                    if len(part) == size and (a + size == len(text) or text[a + size] & 0xC0 != 0x80):
-                        out.append((a, part))
-        return out
-
-    return _places(rows, column, find).join(scrub_map.select(F.col("real").alias("found"), F.col("pseudonym").alias("to")).where("found <> ''"), "found")
+    table = HeadTable({bytes.fromhex(r["head"]): r["sizes"] for r in known})
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+    return _places(rows, column, lambda data, offsets: sent.value.find(data, offsets)).join(scrub_map.select(F.col("real").alias("found"), F.col("pseudonym").alias("to")).where("found <> ''"), "found")
 
 
 def _pseudonym_places(rows: DataFrame, column: str, scrub_map: DataFrame) -> DataFrame:
     """The same for pseudonyms; to is null for those that the map lacks."""
-    shape = re.compile(PSEUDONYM.encode())
-    found = _places(rows, column, lambda text: [(m.start(), m[0]) for m in shape.finditer(text)])
+    shape = re.compile(PSEUDONYM)
+
+    def find(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+        text, start, found = [], [], []
+        for k in np.flatnonzero(np.diff(offsets)):
+            whole, at, byte = data[offsets[k] : offsets[k + 1]].tobytes().decode(), 0, int(offsets[k])
+            for m in shape.finditer(whole):  # over characters, so that words end where any letter does
+                byte += len(whole[at : m.start()].encode())
+                at = m.start()
+                text.append(k)
+                start.append(byte)
+                found.append(m[0])
+        if found:
+            yield np.array(text), np.array(start), pa.array(found, pa.string())
+
+    found = _places(rows, column, find)
     return found.join(scrub_map.select(F.col("pseudonym").alias("found"), F.col("real").alias("to")), "found", "left")
 
 
@@ -116,20 +180,22 @@ def _replaced(df: DataFrame, column: str, places: Callable[[DataFrame], DataFram
     spans = places(rows).where("to IS NOT NULL").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", (-F.octet_length("found")).alias("size"), "to"))).alias("_spans"))
     at, kind = rows.columns.index(column), rows.schema
 
+    def rebuilt(text: str, spans: list[dict]) -> str:
+        data, out, end = text.encode(), [], 0
+        for s in spans:
+            if s["start"] >= end:
+                out += [data[end : s["start"]], s["to"].encode()]
+                end = s["start"] - s["size"]
+        return b"".join([*out, data[end:]]).decode()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if text is not None and spans:
-                    data, out, end = text.encode(), [], 0
-                    for s in spans:
-                        if s["start"] >= end:
-                            out += [data[end : s["start"]], s["to"].encode()]
-                            end = s["start"] - s["size"]
-                    text = b"".join([*out, data[end:]]).decode()
-                texts.append(text)
+            spans = batch.column(batch.num_columns - 1)
+            hit = pc.fill_null(pc.greater(pc.list_value_length(spans), 0), False)
             columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
+            if pc.any(hit).as_py():  # only texts with a hit are made anew
+                texts = [rebuilt(t, s) for t, s in zip(columns[at].filter(hit).to_pylist(), spans.filter(hit).to_pylist(), strict=True)]
+                columns[at] = pc.replace_with_mask(columns[at].cast(pa.string()), hit, pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=kind.names)
 
     return rows.join(spans, "_row", "left").select(*rows.columns, "_spans").mapInArrow(run, kind).drop("_row")
@@ -164,16 +230,16 @@ def pseudonymised(df: DataFrame, columns: list[str], scrub_map: DataFrame, salt:
 
 def pseudonyms_in(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """keep and each distinct pseudonym of the text."""
-    return df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(f"({PSEUDONYM})"), 1))).alias("pseudonym"))
+    return df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?U)({PSEUDONYM})"), 1))).alias("pseudonym"))
 
 
 def leak_scan(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """Rows whose text holds an address: keep, kind, offset (from 0), length and 4 hex digits of its hash; IPv4 first, then IPv6, then MAC."""
+    """Rows whose text holds an address: keep, kind, offset (in bytes, from 0), length and 4 hex digits of its hash; IPv4 first, then IPv6, then MAC."""
     text = F.col(column)
     tries = []
     for kind, pattern in (("ipv4", IPV4), ("ipv6", IPV6), ("mac", MAC)):
         hit = F.regexp_extract(text, f"({pattern})", 1)
-        tries.append(F.when(hit != "", F.struct(F.lit(kind).alias("kind"), (F.regexp_instr(text, F.lit(pattern)).cast("long") - 1).alias("offset"), F.length(hit).cast("long").alias("length"), F.substring(F.sha2(hit.cast("binary"), 256), 1, 4).alias("hash"))))
+        tries.append(F.when(hit != "", F.struct(F.lit(kind).alias("kind"), F.octet_length(F.regexp_extract(text, f"(?s)^(.*?){pattern}", 1)).cast("long").alias("offset"), F.length(hit).cast("long").alias("length"), F.substring(F.sha2(hit.cast("binary"), 256), 1, 4).alias("hash"))))
     return df.select(*keep, F.coalesce(*tries).alias("leak")).where("leak IS NOT NULL").select(*keep, "leak.*")
 
 
@@ -192,7 +258,23 @@ def assert_no_leaks(df: DataFrame, column: str, scrub_map: DataFrame) -> DataFra
 
 
 def write_clean(df: DataFrame, column: str, scrub_map: DataFrame, path: str) -> None:
-    assert_no_leaks(df, column, scrub_map).write.parquet(path)
+    """Publish df as a new Parquet folder: written aside, checked as written, then renamed.
+
+    LeakError leaves nothing behind; FileExistsError if path is there.
+    """
+    spark = df.sparkSession
+    jvm, aside = spark.sparkContext._jvm, f"{path}-unchecked-{uuid.uuid4().hex}"
+    at, to = (jvm.org.apache.hadoop.fs.Path(p) for p in (aside, path))
+    files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(to):
+        raise FileExistsError(path)
+    try:
+        df.write.parquet(aside)
+        assert_no_leaks(spark.read.schema(df.schema).parquet(aside), column, scrub_map)
+        if not files.rename(at, to):
+            raise FileExistsError(path)
+    finally:
+        files.delete(at, True)
 
 
 def audit(df: DataFrame, column: str) -> DataFrame:

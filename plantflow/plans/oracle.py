@@ -272,7 +272,7 @@ _MAC = r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b"
 
 def _leaks(table: str, keys: str) -> str:
     tries = " ".join(f"WHEN regexp_extract(text, '{p}') <> '' THEN {{'kind': '{k}', 'hit': regexp_extract(text, '{p}')}}" for k, p in (("ipv4", _IP), ("ipv6", _IP6), ("mac", _MAC)))
-    offset = "length(regexp_extract(text, '^((?s:.*?))' || CASE leak.kind WHEN 'ipv4' THEN '" + _IP + "' WHEN 'ipv6' THEN '" + _IP6 + "' ELSE '" + _MAC + "' END, 1))"
+    offset = "strlen(regexp_extract(text, '^((?s:.*?))' || CASE leak.kind WHEN 'ipv4' THEN '" + _IP + "' WHEN 'ipv6' THEN '" + _IP6 + "' ELSE '" + _MAC + "' END, 1))"
     return f"SELECT {keys}, leak.kind AS kind, {offset} AS \"offset\", length(leak.hit) AS length, substr(sha256(leak.hit), 1, 4) AS hash FROM (SELECT *, CASE {tries} END AS leak FROM {table}) WHERE leak IS NOT NULL"
 
 

@@ -9,11 +9,13 @@ UDP has protocol 0, no ports and no payload.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -181,21 +183,76 @@ class CaptureSource(DataSource):
         return CaptureReader(self.options["path"])
 
 
-def link_types(path: str) -> set[int]:
-    """The link types of a file's records."""
-    return {link for link, _, _ in records(path)}
+def declared_link(path: str) -> int | None:
+    """The link type of a file's global header or first interface; None where packets or the end come before one, or the file cannot be read so far."""
+    try:
+        with open(path, "rb") as f:
+            magic = f.read(4)
+            if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"):
+                return struct.unpack(("<" if magic[0] in (0xD4, 0x4D) else ">") + "I", _exactly(f, 20)[16:])[0]
+            if magic != b"\x0a\x0d\x0d\x0a":
+                return None
+            head = _exactly(f, 8)
+            order = "<" if head[4:] == b"\x4d\x3c\x2b\x1a" else ">"
+            f.seek(struct.unpack(order + "I", head[:4])[0])
+            while True:
+                kind, size = struct.unpack(order + "II", _exactly(f, 8))
+                if kind == 1:
+                    return struct.unpack(order + "H", _exactly(f, 2))[0]
+                if kind in (3, 6) or size < 12:
+                    return None
+                f.seek(size - 8, os.SEEK_CUR)
+    except (OSError, CaptureError):
+        return None
+
 
+class HeaderReader(CaptureReader):
+    """One row a file, from its first bytes."""
 
-def check_link_types(paths: list[str]) -> int | None:
-    """The one link type of all files, None where none has records; CaptureError if they differ."""
-    found = {p: link_types(p) for p in paths}
-    kinds = set().union(*found.values()) if found else set()
-    if len(kinds) > 1:
-        raise CaptureError("link types differ: " + ", ".join(f"{p}: {sorted(k)}" for p, k in sorted(found.items())))
-    return next(iter(kinds), None)
+    def read(self, partition: CapturePartition) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([partition.seq], pa.int32()), pa.array([os.path.basename(partition.path)]), pa.array([declared_link(partition.path)], pa.int64())], names=["seq", "name", "link"])
+
+
+class HeaderSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "capture_headers"
+
+    def schema(self) -> str:
+        return "seq int, name string, link long"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return HeaderReader(self.options["path"])
+
+
+def capture_headers(spark: SparkSession, path: str) -> DataFrame:
+    """seq, name and declared link type (null where it is not known) of each file; no packet is read."""
+    spark.dataSource.register(HeaderSource)
+    return spark.read.format("capture_headers").load(path)
+
+
+def one_link_type(headers: DataFrame) -> DataFrame:
+    """One row: true, or an error that names two files whose declared link types differ."""
+    low, high = (f(F.struct("link", "name")) for f in (F.min, F.max))
+    told = F.concat_ws("", F.lit("link types differ: "), low["name"], F.lit(": "), low["link"].cast("string"), F.lit(", "), high["name"], F.lit(": "), high["link"].cast("string"))
+    return headers.where("link IS NOT NULL").agg(F.when(low["link"] != high["link"], F.raise_error(told).cast("boolean")).otherwise(True).alias("one"))
+
+
+def check_link_types(spark: SparkSession, paths: list[str]) -> None:
+    """CaptureError if the declared link types of the files differ; files that declare none are not its concern."""
+    try:
+        one_link_type(capture_headers(spark, ",".join(paths))).collect()  # one row
+    except Exception as error:
+        found = re.search(r"link types differ: [^\n]*?(?=\.? SQLSTATE|\n|$)", str(error))
+        if not found:
+            raise
+        raise CaptureError(found[0]) from error
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of a capture, a folder of them, or several joined by commas, in that order."""
+    """Packets of a capture, a folder of them, or several joined by commas, in that order.
+
+    The plan first looks at the headers of all files, a task each, and fails if their link types differ.
+    """
     spark.dataSource.register(CaptureSource)
-    return spark.read.format("captures").load(path)
+    return spark.read.format("captures").load(path).where(one_link_type(capture_headers(spark, path)).scalar())

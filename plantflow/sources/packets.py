@@ -94,8 +94,3 @@ def forget_packets(spark: SparkSession) -> None:
     """Derive packets anew from now on, as their input has changed; tables already written stay where they are."""
     for key in [k for k in _tables if k[0] == spark.sparkContext.applicationId]:
         del _tables[key]
-
-
-def stored_packets(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet packet table; more columns are allowed, and only those a query uses are read."""
-    return spark.read.parquet(path)

@@ -1,3 +1,4 @@
+import re
 import datetime
 import struct
 
@@ -193,8 +194,13 @@ def test_captures(spark, tmp_path):
     assert rows[0].src_mac == "00:1B:1B:00:00:01" and rows[0].ts.microsecond == 250_000 and rows[2].ts.year == 2023
     assert extract.modbus_events(df).where("engineering").count() == 2
     (tmp_path / "c.pcap").write_bytes(_classic(frames, 113))
-    with pytest.raises(CaptureError):
-        check_link_types([str(tmp_path / "in" / "a.pcap"), str(tmp_path / "c.pcap")])
+    both = [str(tmp_path / "in" / "a.pcap"), str(tmp_path / "c.pcap")]
+    with pytest.raises(CaptureError, match="link types differ: a.pcap: 1, c.pcap: 113$"):
+        check_link_types(spark, both)
+    with pytest.raises(Exception, match="link types differ"):
+        read_captures(spark, ",".join(both)).count()
+    (tmp_path / "d.pcap").write_bytes(b"\x0a\x0d\x0d\x0a")  # too short to tell
+    check_link_types(spark, [both[0], str(tmp_path / "d.pcap")])
     with pytest.raises(Exception, match="link type 113"):
         read_captures(spark, str(tmp_path / "c.pcap")).collect()
 
@@ -337,3 +343,91 @@ def test_one_aligned_byte_or_none(spark):
 
     rows = spark.createDataFrame([("A0201B",), ("0201",), ("1020102010",), ("",), ("FF",)], "h string")
     assert [tuple(r) for r in rows.select(wire.find(F.col("h"), "0201"), wire.be(F.col("h"), 1), wire.be(F.col("h"), F.lit(1))).collect()] == [(-1, 0x20, 0x20), (0, 1, 1), (-1, 0x20, 0x20), (-1, None, None), (-1, None, None)]
+
+
+def test_offsets_of_leaks_are_bytes(spark):
+    rows = spark.createDataFrame([(1, "ééé 10.0.0.1"), (2, "日本 x fe80:0:0:1:2:3:4:5"), (3, "😀00:1b:1B:00:00:0f")], "id long, text string")
+    assert [tuple(r) for r in privacy.leak_scan(rows, "text", ["id"]).select("id", "offset").orderBy("id").collect()] == [(1, 7), (2, 9), (3, 4)]
+
+
+def test_pseudonyms_are_words_of_all_scripts(spark):
+    m = spark.createDataFrame([("host", "host_001", "10.0.0.1")], "family string, pseudonym string, real string")
+    texts = ["éhost_001 host_001", "日host_001", "host_001é host_001.", "é host_001\nhost_001 é", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = [None if t is None else re.sub(privacy.PSEUDONYM, "10.0.0.1", t) for t in texts]
+    assert want[0] == "éhost_001 10.0.0.1"
+    assert [r.text for r in privacy.unscrub(df, "text", m).orderBy("id").collect()] == want
+    assert {r.id for r in privacy.pseudonyms_in(df, "text", ["id"]).collect()} == {0, 2, 3}
+
+
+def test_head_table_against_plain_search():
+    """Values of one byte to many, in texts side by side; the time does not grow with the map."""
+    import random
+    import time
+
+    import numpy as np
+
+    rng = random.Random(4)
+    values = {b"a", b"bc", "é".encode(), b"abcabc", "日本".encode(), b"cc", b"ccc"} | {bytes(rng.choices(b"abc", k=rng.randint(4, 7))) for _ in range(50)}
+    heads = {}
+    for v in values:
+        heads.setdefault(v[:3], set()).add(len(v))
+    texts = ["".join(rng.choices(["a", "b", "c", "é", "日", "本", " "], k=rng.randint(0, 40))).encode() for _ in range(60)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = {(int(t), int(s) - int(offsets[t]), f.as_py().encode()) for ts, ss, fs in privacy.HeadTable({h: sorted(s) for h, s in heads.items()}).find(data, offsets) for t, s, f in zip(ts, ss, fs, strict=True) if f.as_py().encode() in values}
+    want = {(k, a, v) for k, t in enumerate(texts) for v in values for a in range(len(t) - len(v) + 1) if t[a : a + len(v)] == v}
+    assert got == want
+
+    def took(n: int) -> float:
+        table = privacy.HeadTable({bytes(f"{k:03x}", "ascii")[:3].upper(): [8] for k in range(n)})
+        text = np.frombuffer(b"some text of lower case letters " * 60_000, np.uint8)
+        begin = time.perf_counter()
+        list(table.find(text, np.array([0, text.size])))
+        return time.perf_counter() - begin
+
+    took(10)
+    assert took(4000) < 5 * took(10) + 0.05
+
+
+def test_members_of_any_length(spark):
+    """Random nested networks of both families against a search for the longest that holds an address."""
+    import ipaddress
+    import random
+
+    rng = random.Random(8)
+    nets = {f"10.{rng.randrange(4)}.{rng.randrange(4)}.{rng.randrange(256)}/{rng.randint(8, 32)}" for _ in range(60)} | {f"fd00::{rng.randrange(4):x}:{rng.randrange(65536):x}/{rng.randint(30, 128)}" for _ in range(60)} | {"2001:db8::/33", "2001:db8:0:4::/62", "::/0"}
+    nets = {str(ipaddress.ip_network(n, strict=False)) for n in nets}
+    zones = [{"id": f"z{k}", "level": "L1", "members": [n]} for k, n in enumerate(sorted(nets))]
+    policy = conformance.load_policy({"zones": zones, "conduits": []})
+    inside = [ipaddress.ip_network(n) for n in sorted(nets)]
+    ips = {str(n[rng.randrange(min(n.num_addresses, 1 << 40))]) for n in inside for _ in range(4)} | {str(n.broadcast_address) for n in inside} | {"11.0.0.1", "fe80::1"}
+    rows = spark.createDataFrame([(i,) for i in sorted(ips)] + [(None,)], "ip string")
+    got = {r.ip: (r.z.zone, r.z.directed) for r in conformance.resolve(rows, "ip", policy, "z").collect()}
+    assert len(got) == len(ips) + 1 and got.pop(None) == ("EXTERNAL", False)
+    for ip, found in got.items():
+        a = ipaddress.ip_address(ip)
+        best = max((n for n in inside if n.version == a.version and a in n), key=lambda n: n.prefixlen, default=None)
+        last = best is not None and best.version == 4 and best.prefixlen <= 30 and a == best.broadcast_address
+        assert found == (f"z{inside.index(best)}" if best is not None else "EXTERNAL", last), ip
+    plan = conformance.resolve(rows, "ip", policy, "z")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "NestedLoop" not in plan
+
+
+def test_published_rows_are_the_checked_rows(spark, tmp_path):
+    m = spark.createDataFrame([("host", "host_001", "plc-7")], "family string, pseudonym string, real string")
+    good, bad = (spark.createDataFrame([(1, t)], "id long, text string") for t in ("host_001 is fine", "plc-7 is not"))
+    privacy.write_clean(good, "text", m, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).first().text == "host_001 is fine"
+    with pytest.raises(privacy.LeakError):
+        privacy.write_clean(bad, "text", m, str(tmp_path / "bad"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    with pytest.raises(FileExistsError):
+        privacy.write_clean(good, "text", m, str(tmp_path / "out"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+
+
+def test_slice_summary(spark, tmp_path):
+    p = packets(spark, [("10.0.0.1", "10.0.0.2", 6, 5000, 80, ""), ("10.0.0.3", "10.0.0.4", 6, 5000, 80, "")])
+    assert observe.write_slice(p, str(tmp_path / "s"), ["10.0.0.4"]) == {"scanned": 2, "matched": 1}
+    assert [r.src_ip for r in spark.read.parquet(str(tmp_path / "s")).collect()] == ["10.0.0.3"]
+    assert observe.write_slice(p, str(tmp_path / "n"), ["10.9.9.9"]) == {"scanned": 2, "matched": 0}
