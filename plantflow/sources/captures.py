@@ -8,16 +8,18 @@ UDP has protocol 0, no ports and no payload.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schemas import PACKETS
@@ -171,6 +173,38 @@ class CaptureReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+class CaptureStreamReader(DataSourceStreamReader):
+    """Rotated captures of a folder, whose names sort by time; each file arrives once.
+
+    An offset is the last name and how many files there are up to it, so it stays small, and a file
+    that turns up later but sorts before it is an error and not lost. Files that were read may be
+    deleted. Files changed within `quiet` seconds wait.
+    """
+
+    def __init__(self, path: str, quiet: float) -> None:
+        self.path, self.quiet = path, quiet
+
+    def _names(self) -> list[str]:
+        return sorted(n for n in os.listdir(self.path) if not n.startswith((".", "_")))
+
+    def initialOffset(self) -> dict:
+        return {"name": "", "files": 0}
+
+    def latestOffset(self) -> dict:
+        before = time.time() - self.quiet
+        names = list(itertools.takewhile(lambda n: os.path.getmtime(os.path.join(self.path, n)) <= before, self._names()))
+        return {"name": names[-1], "files": len(names)} if names else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[CapturePartition]:
+        names = [n for n in self._names() if n <= end["name"]]
+        if (late := sum(n <= start["name"] for n in names) - start["files"]) > 0:
+            raise CaptureError(f"{self.path}: {late} files came after {start['name']} but sort before it; names of rotated captures must sort by time")
+        return [CapturePartition(os.path.join(self.path, n), k) for k, n in enumerate(names) if n > start["name"]]
+
+    def read(self, partition: CapturePartition) -> Iterator[pa.RecordBatch]:
+        return CaptureReader(self.path).read(partition)
+
+
 class CaptureSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -182,6 +216,9 @@ class CaptureSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return CaptureReader(self.options["path"])
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return CaptureStreamReader(self.options["path"], float(self.options.get("quiet", 0)))
+
 
 def declared_link(path: str) -> int | None:
     """The link type of a file's global header or first interface; None where packets or the end come before one, or the file cannot be read so far."""
@@ -256,3 +293,9 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """
     spark.dataSource.register(CaptureSource)
     return spark.read.format("captures").load(path).where(one_link_type(capture_headers(spark, path)).scalar())
+
+
+def stream_captures(spark: SparkSession, path: str, quiet: float = 0) -> DataFrame:
+    """The packets of captures that rotate into a folder, as a stream; files changed within quiet seconds wait."""
+    spark.dataSource.register(CaptureSource)
+    return spark.readStream.format("captures").option("quiet", str(quiet)).load(path)

@@ -431,3 +431,33 @@ def test_slice_summary(spark, tmp_path):
     assert observe.write_slice(p, str(tmp_path / "s"), ["10.0.0.4"]) == {"scanned": 2, "matched": 1}
     assert [r.src_ip for r in spark.read.parquet(str(tmp_path / "s")).collect()] == ["10.0.0.3"]
     assert observe.write_slice(p, str(tmp_path / "n"), ["10.9.9.9"]) == {"scanned": 2, "matched": 0}
+
+
+def test_rotated_captures_arrive_once_across_a_restart(spark, tmp_path):
+    from plantflow.sources.captures import stream_captures
+
+    frame = lambda k: bytes(12) + b"\x08\x00" + struct.pack(">BBHHHBBH4s4s", 0x45, 0, 28, 0, 0, 64, 17, 0, bytes([10, 0, 0, k]), bytes([10, 0, 1, 1])) + struct.pack(">HHHH", 1000, 53, 8, 0)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    add = lambda name, k: (folder / name).write_bytes(_classic([frame(k)]))
+
+    def run() -> None:
+        query = stream_captures(spark, str(folder)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+
+    add("cap-1.pcap", 1)
+    add("cap-2.pcap", 2)
+    run()
+    run()
+    add("cap-3.pcap", 3)
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("src_ip").collect()
+    assert [(r.src_ip, r.capture_id) for r in got] == [(f"10.0.0.{k}", f"cap-{k}.pcap") for k in (1, 2, 3)]
+    (folder / "cap-1.pcap").unlink()
+    add("cap-4.pcap", 4)
+    run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    for name in ("cap-00.pcap", "cap-01.pcap", "cap-5.pcap"):
+        add(name, 9)
+    with pytest.raises(Exception, match="must sort by time"):
+        run()
