@@ -7,7 +7,7 @@ rows of a size compete than a partition needs, their rank (of a hash) decides. E
 sweeps from its largest document to its smallest: a document takes the smallest gap that holds it,
 and what is left of the gap goes on in the sweep. What finds no partner goes into the next round
 with the updated gaps. New sequences are opened in the sweep for the largest documents, as many as
-the tokens left need beyond the room of the usable gaps.
+best fit over the counts by size of all that is left, documents and gaps, would open.
 
 A round is one job that writes one table of the shared folder, and one count by size: at most two
 numbers for each size up to the capacity reach the driver, however many documents there are.
@@ -34,8 +34,6 @@ CAPACITY = 4096
 END_ID = 1
 #: A partition of a round has documents for so many sequences at least, as far as there are two of them.
 PART_SEQUENCES = 8
-#: When what is left needs one sequence in so many, four after a round that placed little, sequences are opened for all of it.
-SLACK = 400
 
 _PIECE = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
 PIECES = T.StructType([T.StructField("pieces", T.ArrayType(T.StructType(_PIECE)))])
@@ -118,13 +116,46 @@ def _runs(documents: np.ndarray, each: int, partitions: int) -> tuple[np.ndarray
     return first, largest, many, tokens
 
 
+def opened(documents: np.ndarray, gaps: np.ndarray) -> int:
+    """How many sequences best fit opens for so many documents of each size, the largest first, beside so many gaps.
+
+    Documents of a size take the gaps of a size together, so the steps grow with pairs of sizes, not with documents.
+    """
+    capacity = documents.size - 1
+    left = gaps.tolist()
+    open_ = sum(1 << size for size in np.flatnonzero(gaps).tolist())  # bit k: there is a gap of size k
+    fresh = 0
+    for size in np.flatnonzero(documents)[::-1].tolist():
+        want = int(documents[size])
+        while want:
+            if fitting := open_ >> size:
+                gap = size + (fitting & -fitting).bit_length() - 1
+                many = left[gap]
+            else:
+                gap, many = capacity, want
+            # what is left of a gap is smaller than the gap, so it takes documents of this size until none fits
+            holds = min(gap // size, want)
+            many = min(many, want // holds)
+            if fitting:
+                left[gap] -= many
+                if not left[gap]:
+                    open_ ^= 1 << gap
+            else:
+                fresh += many
+            want -= many * holds
+            if rest := gap - holds * size:
+                left[rest] += many
+                open_ |= 1 << rest
+    return fresh
+
+
 def deal(documents: np.ndarray, gaps: np.ndarray, partitions: int, open_more: bool = False) -> Deal:
     """The deal of a round from the numbers of documents and of gaps by size.
 
     Sweeping from the largest documents down with a stack of gap sizes, each partition gets the smallest
     gaps that hold its largest document, until they have room for its documents. Gaps that are left over
-    are spread. Sequences are opened for what the usable gaps have no room for, or for all documents
-    left with open_more.
+    are spread. As many sequences are opened as best fit over the counts opens, or with open_more one at
+    least.
     """
     capacity = documents.size - 1
     sizes = np.arange(capacity + 1)
@@ -133,10 +164,7 @@ def deal(documents: np.ndarray, gaps: np.ndarray, partitions: int, open_more: bo
     each = max(1, -(-int(documents.sum()) // partitions))
     first, largest, many, tokens = _runs(documents, each, partitions)
     least = int(np.flatnonzero(documents)[0])
-    room = int((gaps * sizes)[least:].sum())
-    most = int(np.flatnonzero(gaps)[-1]) if gaps.any() else 0
-    above = int((documents * sizes)[most + 1 :].sum())
-    need = max(-(-(total - room) // capacity), -(-above // capacity), -(-total // capacity) if open_more else 0, 0)
+    need = max(opened(documents, gaps), int(open_more))
     fresh, left = np.zeros(partitions, np.int64), gaps.copy()
     shares: dict[int, list[tuple[int, int, int]]] = {}
     stack, after = [], capacity
@@ -286,8 +314,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partitions: int | None
     schema = _state(start.schema["row"].dataType)
     tables = [stored(start, "pieces")]
     documents, gaps = _counts(read_stored(spark, schema, tables), capacity)
-    sizes = np.arange(capacity + 1)
-    tokens, open_more = int((documents * sizes).sum()), False
+    open_more = False
     while before := int(documents.sum()):
         round_ = len(tables)
         plan = deal(documents, gaps, partitions, open_more)
@@ -296,9 +323,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partitions: int | None
         if round_ == 1:
             remove(spark, tables[0])
         documents, gaps = _counts(read_stored(spark, schema, tables[-1:]), capacity)
-        placed, rest = before - int(documents.sum()), int((documents * sizes).sum())
-        slow = 3 * placed < before
-        open_more = not placed or -(-rest // capacity) <= (4 if slow else 1) * tokens // (SLACK * capacity)
+        open_more = int(documents.sum()) == before  # a round always places something, or the next one opens a sequence
     done = read_stored(spark, schema, tables[1:]) if len(tables) > 1 else spark.createDataFrame([], schema)
     return done.where("state = 0").select("row.*", "sequence_id", "offset")
 

@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 
@@ -6,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from plantflow.llm import packing
-from plantflow.llm.packing import deal, pack, pack_documents, token_pieces, tokenizer_path
+from plantflow.llm.packing import deal, opened, pack, pack_documents, token_pieces, tokenizer_path
 
 
 def check(rows, capacity):
@@ -58,6 +59,34 @@ def test_the_given_documents_go_through_sweeps(spark, monkeypatch):
     assert sum(r.length for r in rows) / 4096 / check(rows, 4096) > 0.98
 
 
+def one_by_one(lengths, capacity, gaps=()):
+    """Sequences that best fit opens, placing the largest document first, one at a time."""
+    gaps, fresh = sorted(gaps), 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        fresh += at == len(gaps)
+        if rest := (gaps.pop(at) if at < len(gaps) else capacity) - length:
+            bisect.insort(gaps, rest)
+    return fresh
+
+
+def test_opened_is_best_fit_one_by_one():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        documents, gaps = (rng.integers(0, 9, 61) * (rng.random(61) < share) for share in (0.5, rng.choice([0, 0.3])))
+        documents[0] = gaps[0] = 0
+        assert opened(documents, gaps) == one_by_one(np.repeat(np.arange(61), documents), 60, np.repeat(np.arange(61), gaps))
+
+
+@pytest.mark.parametrize("few", [1, 40])
+def test_as_full_as_best_fit_one_by_one(spark, few):
+    """The documents once, and 40 times over."""
+    pieces = token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).selectExpr("length", f"explode(sequence(1, {few})) AS copy")
+    rows = pack(pieces).collect()
+    best = one_by_one([r.length for r in rows], 4096)
+    assert best <= check(rows, 4096) <= 1.006 * best + 1
+
+
 def test_deal_gives_every_row_a_partition():
     rng = np.random.default_rng(2)
     for _ in range(200):
