@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..schemas import SEVERITY_RANK
 from . import extract, observe
-from .trusted import Writer, rule_index
+from .trusted import Writer, match_trusted
 
 #: Evidence kept for a finding, where it is not 15; the rules whose evidence is in order of place, not of weight.
 EVIDENCE = 15
@@ -104,7 +104,7 @@ def engineering_events(packets: DataFrame) -> DataFrame:
 def _judged(rows: DataFrame, c: Context) -> tuple[DataFrame, Column, Column, Column]:
     """rows (src_ip, dst_ip, mark) with their trusted declaration, and rule, severity and place of their pair."""
     rows = _numbered(rows)
-    trusted = rule_index(c.trusted, F.col("mark"), F.col("_src"), F.col("_dst")) if c.trusted else F.lit(None).cast("int")
+    rows = match_trusted(rows, c.trusted, "mark", "trusted", F.col("_src"), F.col("_dst"))
     inside = net.in_ot(F.col("src_ip"), c.ot or None, F.col("_src"))
     rule, severity, order = F.lit(None).cast("string"), F.when(inside, "high").otherwise("critical"), F.lit("")
     for k, (name, (rule_id, always)) in enumerate(ENGINEERING.items()):
@@ -114,7 +114,7 @@ def _judged(rows: DataFrame, c: Context) -> tuple[DataFrame, Column, Column, Col
         order = F.when(here, str(k)).otherwise(order)
     known = F.col("trusted").isNotNull()
     place = F.concat(F.when(known, order).otherwise(""), _at("src_ip", "dst_ip"))
-    return rows.withColumn("trusted", trusted), F.when(known, "ics.trusted_writer_activity").otherwise(rule), F.when(known, "info").otherwise(severity), place
+    return rows, F.when(known, "ics.trusted_writer_activity").otherwise(rule), F.when(known, "info").otherwise(severity), place
 
 
 def marked(c: Context, names: Iterable[str]) -> DataFrame:

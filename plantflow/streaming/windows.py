@@ -32,6 +32,38 @@ def windowed_scans(packets: DataFrame, length: str = "5 minutes", late: str = "1
     return out.where((F.col("hosts") >= least) | (F.col("ports") >= least))
 
 
+def scan_sketches(packets: DataFrame, length: str = "5 minutes", late: str = "10 minutes", bits: int = 12) -> DataFrame:
+    """window, src_ip, packets, hosts and ports: sketches of the destinations and the (port, protocol) of a source.
+
+    Written as a table, sketches of any windows, captures and sensors merge in scans_of_sketches; each has 2^bits registers at
+    most, whatever a source reaches.
+    """
+    rows = packets.withColumn("ts", F.col("ts").cast("timestamp")).where(~net.is_group_address(F.col("dst_ip"))).withWatermark("ts", late)
+    port = F.concat_ws("/", F.col("dst_port").cast("string"), F.col("proto").cast("string"))
+    return rows.groupBy(F.window("ts", length), "src_ip").agg(F.count("*").alias("packets"), F.hll_sketch_agg("dst_ip", bits).alias("hosts"), F.hll_sketch_agg(port, bits).alias("ports"))
+
+
+def scans_of_sketches(sketches: DataFrame, least: int = 10, by: tuple[str, ...] = ("src_ip",)) -> DataFrame:
+    """by, packets, hosts and ports of what reaches about so many destinations or ports over all the sketches given.
+
+    Slow scans, below the bound in every window, are found. The relative error is 1.04 / sqrt(2^bits), 1.6 per cent at 12 bits.
+    """
+    told = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c)
+    return sketches.groupBy(*by).agg(F.sum("packets").alias("packets"), told("hosts"), told("ports")).where((F.col("hosts") >= least) | (F.col("ports") >= least))
+
+
+def unit_sketches(packets: DataFrame, length: str = "5 minutes", late: str = "10 minutes", bits: int = 9) -> DataFrame:
+    """window, src_ip, dst_ip, requests and units: sketches of the Modbus unit ids that a source asks for."""
+    rows = extract.marks(packets, ("units",)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return rows.groupBy(F.window("ts", length), "src_ip", "dst_ip").agg(F.count("*").alias("requests"), F.hll_sketch_agg("code", bits).alias("units"))
+
+
+def sweeps_of_sketches(sketches: DataFrame, least: int = 5) -> DataFrame:
+    """src_ip, dst_ip, requests and units of pairs with about so many units over all the sketches given; up to 256 ids, so nearly exact."""
+    out = sketches.groupBy("src_ip", "dst_ip").agg(F.sum("requests").alias("requests"), F.hll_sketch_estimate(F.hll_union_agg("units")).alias("units"))
+    return out.where(F.col("units") >= least)
+
+
 def host_sessions(packets: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     rows = packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return rows.groupBy(F.session_window("ts", gap), "src_ip").agg(F.count("*").alias("packets"), F.sum("payload_len").alias("bytes"))
