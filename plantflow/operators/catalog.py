@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import net
+
 #: Severity and public ATT&CK for ICS techniques of a rule; titles and actions are ours.
 CATALOG = [
     ("creds.ftp", "critical", ["T0859"], "FTP logins in clear text", "Move the transfer to SFTP and change the accounts seen."),
@@ -57,3 +61,28 @@ def write_json(findings: DataFrame, assets: DataFrame, path: str) -> None:
     """Findings and inventory as JSON lines in two folders, written by all tasks."""
     with_catalog(findings).write.json(f"{path}/findings")
     assets.write.json(f"{path}/inventory")
+
+
+def document_lines(findings: DataFrame, assets: DataFrame, version: str, source: str) -> DataFrame:
+    """section, position and line: in this order, the lines of one JSON document with version, input, inventory and findings.
+
+    Assets come by address, findings by rule and entity; rows are numbered over ranges, so no task holds a list.
+    """
+    from .privacy import numbered
+
+    def listed(df: DataFrame, section: int, order: list, keep: list[str]) -> DataFrame:
+        rows = numbered(df, order, "_position")
+        line = F.concat(F.when(F.col("_position") > 1, ",").otherwise(""), F.to_json(F.struct(*keep)))
+        return rows.select(F.lit(section).alias("section"), F.col("_position").cast("long").alias("position"), line.alias("line"))
+
+    told = with_catalog(findings)
+    fixed = [(0, 0, f'{{"version":{json.dumps(version)},"input":{json.dumps(source)},"inventory":['), (2, 0, '],"findings":['), (4, 0, "]}")]
+    edges = findings.sparkSession.createDataFrame(fixed, "section int, position long, line string")
+    by_address = [F.coalesce(net.ip_num(F.col("ip")), F.lit(1 << 33)), F.col("ip")]
+    return edges.unionByName(listed(assets, 1, by_address, assets.columns)).unionByName(listed(told, 3, ["rule_id", "entity"], told.columns))
+
+
+def write_document(findings: DataFrame, assets: DataFrame, path: str, version: str = "1", source: str = "") -> None:
+    """One JSON document in a folder of text files, written by all tasks: the files in the order of their names, joined, are the document."""
+    lines = document_lines(findings, assets, version, source)
+    lines.repartitionByRange("section", "position").sortWithinPartitions("section", "position").select("line").write.text(path)

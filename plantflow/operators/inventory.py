@@ -52,6 +52,13 @@ def top_assets(asset_table: DataFrame, n: int = 100) -> DataFrame:
     return asset_table.orderBy(F.desc("packets"), F.coalesce(net.ip_num(F.col("ip")), F.lit(1 << 33)), "ip").limit(n)
 
 
+def omitted_assets(asset_table: DataFrame, n: int = 100) -> DataFrame:
+    """One row: assets, those that top_assets shows and those that it leaves out."""
+    out = asset_table.agg(F.count("*").alias("assets"))
+    shown = F.least(F.col("assets"), F.lit(n).cast("long"))
+    return out.withColumns({"shown": shown, "omitted": F.col("assets") - shown})
+
+
 def capture_sanity(totals: DataFrame, steps: DataFrame) -> DataFrame:
     """epoch_zero (no second after the epoch), else sub_second (two packets or more in under a second); non_monotonic.
 

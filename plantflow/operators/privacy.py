@@ -228,6 +228,14 @@ def pseudonymised(df: DataFrame, columns: list[str], scrub_map: DataFrame, salt:
     return df
 
 
+def pseudonymised_entities(findings: DataFrame, scrub_map: DataFrame, salt: str) -> DataFrame:
+    """findings whose entity, an address or a pair `a -> b` or empty, tells pseudonyms."""
+    ends = F.split("entity", " -> ", 2)
+    rows = findings.withColumns({"_a": F.nullif(ends[0], F.lit("")), "_b": F.get(ends, F.lit(1))})
+    rows = pseudonymised(rows, ["_a", "_b"], scrub_map, salt)
+    return rows.withColumn("entity", F.concat_ws(" -> ", "_a", "_b")).drop("_a", "_b")
+
+
 def pseudonyms_in(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """keep and each distinct pseudonym of the text."""
     return df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?U)({PSEUDONYM})"), 1))).alias("pseudonym"))

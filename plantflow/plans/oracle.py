@@ -360,6 +360,10 @@ ORACLE: dict[str, str] = {
             "hosts_new_pseudonyms": "SELECT alias AS ip, packets, bytes, in_ot FROM now_hosts JOIN aliases USING (ip) WHERE ip NOT IN (SELECT ip FROM base_hosts)",
             "hostnames": "SELECT ip, name FROM last_names",
             "asset_names": "SELECT ip, name AS hostname, CASE WHEN name IS NULL THEN ip ELSE name || ' (' || ip || ')' END AS host_label FROM hosts LEFT JOIN last_names USING (ip)",
+            "role_shifts_pseudonyms": "SELECT alias AS ip, b.role AS was, n.role AS now FROM base_assets b JOIN now_assets n USING (ip) JOIN aliases USING (ip) WHERE b.role <> n.role",
+            "findings_delta_pseudonyms": f"SELECT rule_id, concat_ws(' -> ', s.alias, d.alias) AS entity, change FROM ({_delta('rule_id, entity', '(' + _side_findings('base') + ')', '(' + _side_findings('now') + ')', 'recurring')}) f LEFT JOIN aliases s ON s.ip = split_part(entity, ' -> ', 1) LEFT JOIN aliases d ON d.ip = split_part(entity, ' -> ', 2)",
+            "segmentation_drift_pseudonyms": f"SELECT violation, s.alias AS src_ip, d.alias AS dst_ip, dst_port, proto, change FROM ({_delta('violation, ' + _KEY, 'base_violations', 'now_violations', 'persisting')}) f JOIN aliases s ON s.ip = f.src_ip JOIN aliases d ON d.ip = f.dst_ip",
+            "asset_omitted": "SELECT count(*) AS assets, least(count(*), 100) AS shown, count(*) - least(count(*), 100) AS omitted FROM assets",
             "findings_ranked": f"SELECT row_number() OVER (ORDER BY {_RANK} DESC, rule_id, entity) AS position, rule_id, entity, severity, hits FROM ({_ALL})",
             "assets_ranked": f"SELECT row_number() OVER (ORDER BY in_ot DESC, {_num('ip')}) AS position, ip, role, in_ot FROM assets",
             "violations_ranked": f"SELECT row_number() OVER (ORDER BY first_seen, {_num('src_ip')}, {_num('dst_ip')}, dst_port, proto, violation) AS position, first_seen, {_KEY}, violation FROM violations JOIN flows USING ({_KEY})",

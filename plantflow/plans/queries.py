@@ -169,6 +169,22 @@ def hosts_new_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
     return drift.new_rows(base, now, ["ip"]).select("ip", "packets", "bytes", "in_ot")
 
 
+def role_shifts_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    m = _host_map(packets_table(spark, d))
+    return drift.role_shifts(*(privacy.pseudonymised(_assets(p), ["ip"], m, "salt") for p in _sides(spark, d)))
+
+
+def findings_delta_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    m = _host_map(packets_table(spark, d))
+    found = (rules.run_rules(_context(p), ["recon.port_scan", "compat.smbv1", "compat.weak_tls_cipher"]) for p in _sides(spark, d))
+    return drift.finding_delta(*(privacy.pseudonymised_entities(f, m, "salt") for f in found))
+
+
+def segmentation_drift_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    m = _host_map(packets_table(spark, d))
+    return drift.violation_delta(*(privacy.pseudonymised(conformance.violations(_verdicts(p)), ["src_ip", "dst_ip"], m, "salt") for p in _sides(spark, d)))
+
+
 def findings_ranked(p: DataFrame) -> DataFrame:
     """Findings numbered by severity, then by rule and entity."""
     rank = F.array_position(F.array(*map(F.lit, ("critical", "high", "medium", "info"))), F.col("severity"))
@@ -195,6 +211,10 @@ QUERIES: dict[str, Query] = {
     "asset_names": _of(_asset_names),
     "flow_shifts_pseudonyms": flow_shifts_pseudonyms,
     "hosts_new_pseudonyms": hosts_new_pseudonyms,
+    "role_shifts_pseudonyms": role_shifts_pseudonyms,
+    "findings_delta_pseudonyms": findings_delta_pseudonyms,
+    "segmentation_drift_pseudonyms": segmentation_drift_pseudonyms,
+    "asset_omitted": _of(lambda p: inventory.omitted_assets(_assets(p))),
     "findings_ranked": _of(findings_ranked),
     "assets_ranked": _of(assets_ranked),
     "violations_ranked": _of(violations_ranked),
