@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions import net
 from ..operators import conformance, extract
@@ -107,6 +109,67 @@ def starttls_binds(packets: DataFrame, idle: str = "1 hour", late: str = "10 min
     return marks.groupBy("client", "server").applyInPandasWithState(run, out, "started boolean", "append", "EventTimeTimeout")
 
 
+class SettledBinds(StatefulProcessor):
+    """Marks of a connection wait until the watermark has passed them and are then taken in order; names are the columns of a bind."""
+
+    def __init__(self, names: list[str], kept: T.StructType, wait: int) -> None:
+        self.names, self.kept, self.wait = names, kept, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", self.kept)
+        self.settled = handle.getValueState("settled", "started boolean, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        times = set()
+        for some in iter(lambda: list(itertools.islice(rows, 10_000)), []):
+            self.pending.appendList([tuple(r[n] for n in self.kept.names) for r in some])
+            times |= {r["at"] // 1_000_000 for r in some}
+        for second in times:  # a timer a second, however many marks
+            self.handle.registerTimer((second + 1) * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        kept = self.kept.names
+        at, number, reply, bind = (kept.index(n) for n in ("at", "pkt_id", "reply", "bind"))
+        rows = [tuple(r) for r in self.pending.get()]
+        due = sorted((r for r in rows if r[at] < now), key=lambda r: (r[at], r[number]))
+        started, last = self.settled.get() if self.settled.exists() else (False, None)
+        for r in due:
+            if last is not None and r[at] - last > self.wait:
+                started = False
+            if r[bind]:
+                yield Row(**{n: r[kept.index(n)] for n in self.names}, used_starttls=bool(started))
+            started, last = started or r[reply], r[at]
+        if due:
+            self.pending.put(rest) if (rest := [r for r in rows if r[at] >= now]) else self.pending.clear()
+            self.settled.update((bool(started), last))
+            self.handle.registerTimer((last + self.wait) // 1000 + 1)
+        elif not rows and last is not None and last + self.wait < now:
+            self.settled.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def settled_binds(packets: DataFrame, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """extract.ldap_binds of a stream, each told once the watermark has passed it, so that a reply in a later batch counts for the binds after it.
+
+    A connection starts anew after so long without a reply or bind, whatever the batches. State is a list of what the
+    watermark has not passed and a flag, and goes when the connection is idle. Needs the RocksDB state store:
+    spark.sql.streaming.stateStore.providerClass.
+    """
+    end = lambda c: F.concat_ws(" ", F.col(c)["ip"], F.col(c)["port"].cast("string"))
+    marks = extract.ldap_marks(packets).where("reply OR bind").withColumns({"client": end("client"), "server": end("server"), "ts": F.col("ts").cast("timestamp")})
+    marks = marks.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    kept = T.StructType([f for f in marks.schema if f.name not in ("client", "server", "ts")])
+    names = [n for n in kept.names if n not in ("reply", "bind")]
+    out = T.StructType([*(kept[n] for n in names), T.StructField("used_starttls", T.BooleanType())])
+    found = marks.groupBy("client", "server").transformWithState(SettledBinds(names, kept, int(pd.Timedelta(idle).total_seconds() * 1_000_000)), out, "append", "EventTime")
+    return found.select(F.timestamp_micros("at").alias("ts"), *(n for n in out.names if n != "at"))
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process all that is there, once, and stop; a rerun goes on from the checkpoint."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
