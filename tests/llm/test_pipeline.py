@@ -23,5 +23,5 @@ def test_stages_take_empty_tables(spark):
 
 
 def test_registry():
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 14)}
     assert set(registry.oracle_sql()) <= set(registry.queries())
