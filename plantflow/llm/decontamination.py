@@ -14,12 +14,15 @@ few megabytes, and as many passes over the documents as a larger benchmark has b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import forget, written
 from .textarrays import ALNUM_SPLIT, fresh_name, list_array, text_bytes, with_struct, words
 
 WINDOW = 10
@@ -193,15 +196,16 @@ def _matches(items: Items, texts: pa.Array) -> list:
     return [pa.array(n_words), pa.ListArray.from_arrays(pa.array(offsets), one)]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts whose texts stay under block_bytes, by a hash of the text."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list[str], list[str]]]:
+    """Ids and texts of the benchmark's different rows, in parts of block_bytes at most about, by a hash of the row; one at least."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n = -(-total // block_bytes)
-    if n <= 1:
-        return [rows] if n else []
-    n *= 2  # room for uneven parts
-    return [rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(n)) == k) for k in range(n)]
+    rows = written(rows.distinct(), "items")
+    n = -(-rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0] // block_bytes)
+    n = 2 * n if n > 1 else 1  # room for uneven parts
+    for k in range(n):
+        part = rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(n)) == k).collect()  # of block_bytes
+        yield [r[0] for r in part], [r[1] for r in part]
+    forget(rows)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
@@ -211,15 +215,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     item_start, start (both count words from 0) and length. An item of fewer words than window
     matches as a whole. Words are runs of [0-9a-z] and non-ASCII characters after folding A-Z. Null
     and empty texts have no words and no matches; an empty benchmark matches nothing. Repeated item
-    rows give equal matches twice; a null item_id stays null. Longest matches that overlap are all
+    rows are one item; a null item_id stays null. Longest matches that overlap are all
     kept. Rows and extra columns of docs are kept as they are.
     """
     context = docs.sparkSession.sparkContext
     name = fresh_name(docs, "_contamination")
     out, parts = docs, []
-    for block in _blocks(benchmark, item_id, item_text, block_bytes) or [None]:
-        rows = block.collect() if block is not None else []
-        sent = context.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+        sent = context.broadcast(block)
         part = fresh_name(out, name)
 
         def start(sent=sent):

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from plantflow.llm import decontamination
 from plantflow.llm.decontamination import contamination_report, decontaminate, find_matches
 
 DOCS = "doc_id long, text string, n_words string, lang string"
@@ -48,6 +49,16 @@ def test_blocks_agree(spark):
     assert one == many and sum(r.n_items for r in one) == 20
 
 
+def test_equal_items_are_one(spark):
+    """Any number of equal benchmark rows fits one block."""
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "", "")], DOCS)
+    items = spark.range(5000).selectExpr("7L AS item_id", "'two three four five six seven eight nine ten eleven' AS text")
+    parts = list(decontamination._blocks(items, "item_id", "text", 300))
+    assert [len(p[0]) for p in parts] == [1]
+    row = contamination_report(docs, items, block_bytes=300).first()
+    assert (row.n_hit, row.n_items) == (10, 1) and len(row.matches) == 1
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(30)) + " y", "", "")], DOCS)
     items = spark.createDataFrame([(7, "a b " + " ".join(f"w{i}" for i in range(5, 25)) + " c")], ITEMS)
