@@ -23,6 +23,8 @@ from .tables import written
 
 #: Bytes of payload in one archive, about.
 ARCHIVE_BYTES = 32 << 20
+#: Pairs of page and payload that may be spread over archives, at most: those are broadcast.
+MOST_HOT = 1_000_000
 #: Bytes of a record without its payload, about.
 HEADER_BYTES = 512
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -136,12 +138,13 @@ def deduplicated_headers(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to_page", F.when(again, F.col("newest"))).drop("newest")
 
 
-def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES, most_hot: int = MOST_HOT) -> DataFrame:
     """Write pages as deduplicated WARC archives, read them back, one row per record.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id). A null payload
     is empty. Size and digest of a revisit are those of the response it refers to, joined on read. An
-    empty table writes one empty archive.
+    empty table writes one empty archive. Repeated rows are records of their own, and extra columns of
+    pages are left out, whatever their names.
     """
     spark = pages.sparkSession
     path = path or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
@@ -151,11 +154,14 @@ def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     headers = written(headers, "headers")
     decided = written(deduplicated_headers(headers, least_bytes), "decided")
     # Payloads are dealt out once, and what was decided meets them there. The archives are counted from
-    # all that is dealt. No id or payload decides an archive: a (page, digest) of more than one archive
-    # is spread over salts, and there are fewer of those than archives.
-    dealt = decided.groupBy("page_id", "payload_digest").agg(F.sum(F.col("bytes") + HEADER_BYTES).alias("dealt"), F.first("record_type").alias("record_type"), F.first("refers_to_page").alias("refers_to_page"))
-    facts = written(dealt.withColumn("salts", F.ceil(F.col("dealt") / archive_bytes)), "facts")
-    files = max(1, -(-int(facts.agg(F.coalesce(F.sum("dealt"), F.lit(0))).first()[0]) // archive_bytes))
+    # all that is dealt. No id or payload decides an archive: the rows of a (page, digest) of more than
+    # one archive are spread over salts. A single row needs none, and as a spread pair holds a most_hot-th
+    # of all that is dealt or more, there are most_hot of them at most.
+    dealt = decided.groupBy("page_id", "payload_digest").agg(F.sum(F.col("bytes") + HEADER_BYTES).alias("dealt"), F.count("*").alias("rows"), F.first("record_type").alias("record_type"), F.first("refers_to_page").alias("refers_to_page"))
+    total = int(decided.agg(F.coalesce(F.sum(F.col("bytes") + HEADER_BYTES), F.lit(0))).first()[0])
+    files = max(1, -(-total // archive_bytes))
+    share = max(archive_bytes, -(-total // most_hot))
+    facts = written(dealt.withColumn("salts", F.least("rows", F.ceil(F.col("dealt") / share))).drop("rows"), "facts")
     hot = facts.where("salts > 1").select(F.col("page_id").alias("hot"), F.col("payload_digest").alias("hot_digest"), "salts")
     key = F.xxhash64(F.coalesce("page_id", F.lit(-(1 << 63))), "payload_digest", "salt")
     facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("k", key)
