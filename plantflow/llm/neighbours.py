@@ -11,7 +11,8 @@ verified enough vectors, or when no vector left can be better.
 Every row is indexed. Shards are dealt by a hash of the row and its place, one to a partition, so they
 are even and equal rows spread; each keeps its best k for each query, and one aggregation by query
 merges them. Queries are broadcast in blocks of a fixed size, one pass over
-the index for a block.
+the index for a block; blocks are dealt by the row too, so that no id decides one, and what they find
+is read as one scan.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import written
+from .tables import forget, read_stored, stored, written
 
 K = 20
 HASHES = 56
@@ -113,8 +114,9 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedd
     rows = rows.where(F.size("v") == size)
     directions = np.random.default_rng(seed).normal(size=(size + 1, hashes))
     shards = max(1, -(-n // shard_rows))
-    index = written(rows.withColumn("shard", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(shards)).cast("int")).repartitionById(shards, "shard"), "index")
-    queries = index.where(F.pmod("id", F.lit(every)) == 0).select("id", "v")
+    placed = rows.withColumn("place", F.xxhash64("id", "v", F.monotonically_increasing_id()))
+    index = written(placed.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).repartitionById(shards, "shard"), "index")
+    queries = index.where(F.pmod("id", F.lit(every)) == 0).select("id", "v", "place")
     block_rows = max(1, block_bytes // (8 * size + 8))
     blocks = max(1, -(-2 * queries.count() // block_rows))
 
@@ -137,15 +139,18 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedd
 
         return run
 
-    found = None
+    searched = index.select("id", "v", "shard")
+    paths = []
     for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()  # a block of block_bytes
+        some = queries.where(F.pmod(F.xxhash64("place"), F.lit(blocks)) == b).drop("place").toArrow()  # a block of block_bytes
         if some.num_rows == 0:
             continue
         sent = spark.sparkContext.broadcast((some.column("id").to_numpy(), _matrix(some.column("v").combine_chunks(), size)))
-        part = index.mapInArrow(search(sent), _SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+        paths.append(stored(searched.mapInArrow(search(sent), _SCHEMA), "found"))
+        sent.unpersist()
+    forget(index)
+    if not paths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = read_stored(spark, T.StructType.fromDDL(_SCHEMA), paths)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -74,10 +74,30 @@ def test_equal_rows_spread_over_the_shards(spark, monkeypatch):
     from plantflow.llm import neighbours
 
     sizes, own = [], neighbours.written
-    monkeypatch.setattr(neighbours, "written", lambda df, label: sizes.append(own(df, label)) or sizes[-1])
+
+    def counted(df, label):
+        out = own(df, label)
+        sizes.append([r["count"] for r in out.groupBy("shard").count().collect()])
+        return out
+
+    monkeypatch.setattr(neighbours, "written", counted)
     df = spark.createDataFrame([(7, [1.0, 2.0])] * 900 + [(20 * k, [float(k + 1), 1.0]) for k in range(100)], "vec_id long, embedding array<double>")
     nearest(df, shard_rows=100)
-    assert max(r["count"] for r in sizes[0].groupBy("shard").count().collect()) < 200
+    assert len(sizes) == 1 and max(sizes[0]) < 200
+
+
+def test_blocks_of_queries_agree_and_hold_equal_rows_apart(spark, monkeypatch):
+    """Many rows of one query id are dealt over the blocks that are broadcast."""
+    from plantflow.llm import neighbours
+
+    rows = [(20, [1.0, k / 300]) for k in range(300)] + [(k, [float(k % 7 + 1), 1.0]) for k in range(1, 120)] + [(40, [2.0, 0.5])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen, own = [], neighbours._matrix
+    monkeypatch.setattr(neighbours, "_matrix", lambda column, size: seen.append(len(column)) or own(column, size))
+    one, many = (sorted(map(tuple, nearest(df, block_bytes=b).collect())) for b in (1 << 20, 24 * 60))
+    assert one == many and {r[0] for r in one} == {20, 40, 60, 80, 100}
+    assert seen[0] == 308 and max(seen[1:]) < 60
+    assert neighbours.nearest(df.where("vec_id = 1")).count() == 0
 
 
 def test_vectors_that_take_no_part(spark):
