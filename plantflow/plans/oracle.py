@@ -252,14 +252,19 @@ _SHOWN = {"creds.ldap_simple_bind": 5, "compat.ntlmv1": 5, "creds.rdp_no_nla": 5
 _IN_PLACE = ("creds.ldap", "compat.ntlm", "creds.rdp", "compat.weak", "ics.", "segmentation.")
 
 
-def _found(name: str) -> str:
+#: Rules whose own queries show all evidence.
+_WHOLE = ("compat.ntlmv1",)
+
+
+def _found(name: str, whole: bool = False) -> str:
     place = "" if " AS place" in _RULES[name] else ", item AS place"
     tried = "" if " AS attempted" in _RULES[name] else ", 0 AS attempted"
     items = f"SELECT entity, place, item, CAST(sum(weight) AS BIGINT) AS w, CAST(sum(attempted) AS BIGINT) AS tried, max({_RANK}) AS rank FROM (SELECT *{place}{tried} FROM ({_RULES[name]})) GROUP BY entity, place, item"
     order = "place" if name.startswith(_IN_PLACE) else "w DESC, place"
     ranked = f"SELECT *, row_number() OVER (PARTITION BY entity ORDER BY {order}) AS k FROM ({items})"
     severity = "CASE max(rank) WHEN 0 THEN 'info' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END"
-    return f"SELECT '{name}' AS rule_id, entity, {severity} AS severity, CAST(sum(w) AS BIGINT) AS hits, CAST(sum(tried) AS BIGINT) AS attempted, count(*) AS items, string_agg(item || ' (' || w || ')', '; ' ORDER BY k) FILTER (k <= {_SHOWN.get(name, 15)}) AS evidence FROM ({ranked}) GROUP BY entity"
+    cut = "" if whole else f" FILTER (k <= {_SHOWN.get(name, 15)})"
+    return f"SELECT '{name}' AS rule_id, entity, {severity} AS severity, CAST(sum(w) AS BIGINT) AS hits, CAST(sum(tried) AS BIGINT) AS attempted, count(*) AS items, string_agg(item || ' (' || w || ')', '; ' ORDER BY k){cut} AS evidence FROM ({ranked}) GROUP BY entity"
 
 
 _ALL = " UNION ALL ".join(_found(n) for n in _RULES if not n.startswith("segmentation."))
@@ -376,6 +381,6 @@ ORACLE: dict[str, str] = {
             "map_leaks": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_IP}')",
             "unscrub_roundtrip": "SELECT count(*) AS texts, CAST(0 AS BIGINT) AS changed FROM documents",
         }
-        | {f"rule_{n.split('.')[1]}": _found(n) for n in _RULES}
+        | {f"rule_{n.split('.')[1]}": _found(n, n in _WHOLE) for n in _RULES}
     ).items()
 }
