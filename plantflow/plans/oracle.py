@@ -253,7 +253,7 @@ _IN_PLACE = ("creds.ldap", "compat.ntlm", "creds.rdp", "compat.weak", "ics.", "s
 
 
 #: Rules whose own queries show all evidence.
-_WHOLE = ("compat.ntlmv1",)
+_WHOLE = ("compat.ntlmv1", "compat.weak_tls_cipher")
 
 
 def _found(name: str, whole: bool = False) -> str:
