@@ -43,6 +43,8 @@ ROUNDS = 2
 RATE = 0.12
 #: Largest change of a parameter in one step.
 MOST = 0.25
+#: Below this bound exp() of single precision is far from overflow, and a row's sum from nothing.
+SAFE = 60.0
 _CHUNK = 1 << 20
 _STEP = 4096
 _SCORE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("others", T.ArrayType(T.LongType()))])
@@ -130,9 +132,12 @@ class WindowNet:
 
     def padded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries with edges between texts, the place of each word among them, and its row."""
-        hashes, row = words(texts, ALNUM_SPLIT)
+        return self.padded_words(*words(texts, ALNUM_SPLIT), len(texts))
+
+    def padded_words(self, hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same from the words of n texts."""
         place = np.arange(hashes.size) + (row + 1) * self.window
-        line = np.full(hashes.size + (len(texts) + 1) * self.window, self.vocabulary.n, np.int64)
+        line = np.full(hashes.size + (n + 1) * self.window, self.vocabulary.n, np.int64)
         line[place] = self.vocabulary.entries(hashes)
         return line, place, row
 
@@ -143,17 +148,32 @@ class WindowNet:
         return np.tanh(x, out=x)
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
+    def _exp(z: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+        """exp of each row in place, and what was subtracted from it before: 0 where most, a bound of all |z|, is far from overflow."""
+        top = np.float32(0)
+        if not most < SAFE:
+            top = z.max(axis=1)
+            z -= top[:, None]
+        return np.exp(z, out=z), top
+
+    @classmethod
+    def _softmax(cls, z: np.ndarray, most: float) -> np.ndarray:
         """Of each row, in place."""
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        cls._exp(z, most)
+        z *= (1 / _row_sums(z))[:, None]
         return z
 
+    def _bounds(self) -> tuple[float, list[float]]:
+        """The most that |z| can be for classes, and for the words of each class: hidden values are between -1 and 1."""
+        p = self.params
+        classes = float((np.abs(p["class"]).sum(axis=0) + np.abs(p["class_bias"])).max())
+        return classes, (np.abs(p["word"]).sum(axis=1) + np.abs(p["word_bias"])).max(axis=1).tolist()
+
     def log_probabilities(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each place given the words around it."""
         out = np.empty(at.size)
         p, c = self.params, self.vocabulary.class_size
+        of_class, of_word = self._bounds()
         for a in range(0, at.size, 1 << 15):
             part = at[a : a + (1 << 15)]
             target = line[part]
@@ -161,15 +181,19 @@ class WindowNet:
             part, target = part[by], target[by]
             h = self.hidden(line, part)
             group, word = target // c, target % c
-            z = h @ p["class"] + p["class_bias"]
-            z -= z.max(axis=1, keepdims=True)
-            score = z[np.arange(part.size), group] - np.log(np.exp(z).sum(axis=1))
+            z = h @ p["class"]
+            z += p["class_bias"]
+            score = z[np.arange(part.size), group]
+            z, top = self._exp(z, of_class)
+            score -= np.log(_row_sums(z)) + top
             edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), part.size)
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 g = group[i]
-                y = h[i:j] @ p["word"][g] + p["word_bias"][g]
-                y -= y.max(axis=1, keepdims=True)
-                score[i:j] += y[np.arange(j - i), word[i:j]] - np.log(np.exp(y).sum(axis=1))
+                y = h[i:j] @ p["word"][g]
+                y += p["word_bias"][g]
+                own = y[np.arange(j - i), word[i:j]]
+                y, top = self._exp(y, of_word[g])
+                score[i:j] += own - (np.log(_row_sums(y)) + top)
             out[a + by] = score
         return out
 
@@ -183,28 +207,35 @@ class WindowNet:
             target = line[part]
             group, word, n = target // c, target % c, part.size
             h = self.hidden(line, part)
-            dz = self._softmax(h @ p["class"] + p["class_bias"])
-            dz[np.arange(n), group] -= 1
+            of_class, of_word = self._bounds()
+            dz = h @ p["class"]
+            dz += p["class_bias"]
+            self._softmax(dz, of_class)
+            rows, ones = np.arange(n), np.ones(n, dz.dtype)
+            dz[rows, group] -= 1
             dh = dz @ p["class"].T
             edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), n)
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 g = group[i]
-                dy = self._softmax(h[i:j] @ p["word"][g] + p["word_bias"][g])
-                dy[np.arange(j - i), word[i:j]] -= 1
-                dh[i:j] += dy @ p["word"][g].T
-                own = rate / math.sqrt(j - i)
-                p["word"][g] -= _bounded(own * (h[i:j].T @ dy))
-                p["word_bias"][g] -= _bounded(own * dy.sum(axis=0))
-            all_ = rate / math.sqrt(n)
-            p["class"] -= _bounded(all_ * (h.T @ dz))
-            p["class_bias"] -= _bounded(all_ * dz.sum(axis=0))
+                w, bias, own = p["word"][g], p["word_bias"][g], rate / math.sqrt(j - i)
+                dy = h[i:j] @ w
+                dy += bias
+                self._softmax(dy, of_word[g])
+                dy[rows[: j - i], word[i:j]] -= 1
+                dh[i:j] += dy @ w.T
+                w -= _bounded(h[i:j].T @ dy, own)
+                bias -= _bounded(ones[: j - i] @ dy, own)
+            p["class"] -= _bounded(h.T @ dz, rate / math.sqrt(n))
+            p["class_bias"] -= _bounded(ones @ dz, rate / math.sqrt(n))
             dx = np.clip(dh * (1 - h * h), -1, 1) * rate
             for k in range(1, self.window + 1):
                 for name, side in (("left", -k), ("right", k)):
                     entry = line[part + side]
                     by = _order(entry, self.vocabulary.n + 1)
                     heads = np.flatnonzero(np.diff(entry[by], prepend=-1))
-                    p[name][entry[by][heads]] -= np.clip(np.add.reduceat(dx[by], heads, axis=0) / k, -1, 1)
+                    step = np.add.reduceat(dx[by], heads, axis=0)
+                    step /= k
+                    p[name][entry[by[heads]]] -= np.minimum(np.maximum(step, -1, out=step), 1, out=step)
 
     def blocks(self) -> Iterator[tuple[str, int, np.ndarray]]:
         """The parameters in pieces of 64 kB at most."""
@@ -214,9 +245,15 @@ class WindowNet:
                 yield name, k, flat[a : a + (1 << 14)]
 
 
-def _bounded(step: np.ndarray) -> np.ndarray:
-    """A step of at most MOST for each parameter: thousands of equal words may not throw it far."""
-    return np.clip(step, -MOST, MOST, out=step)
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    """Of each row, as a product with ones: much faster than a sum over short rows."""
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _bounded(step: np.ndarray, rate: float) -> np.ndarray:
+    """step times rate, in place: a step of at most MOST for each parameter: thousands of equal words may not throw it far."""
+    step *= rate
+    return np.minimum(np.maximum(step, -MOST, out=step), MOST, out=step)
 
 
 def _order(entries: np.ndarray, n: int) -> np.ndarray:
@@ -324,12 +361,12 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         own = sent.value
 
         def score(texts: pa.Array) -> list:
-            line, place, row = own.padded(texts)
+            hashes, row = words(texts, ALNUM_SPLIT)
             n = len(texts)
+            line, place, _ = own.padded_words(hashes, row, n)
             likelihood = np.bincount(row, weights=own.log_probabilities(line, place), minlength=n).astype(float)
             other = line[place] >= own.vocabulary.own
-            hashes = words(texts, ALNUM_SPLIT)[0][other].view(np.int64)
-            return [pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(likelihood), list_array(hashes, row[other], n, pa.int64())]
+            return [pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(likelihood), list_array(hashes[other].view(np.int64), row[other], n, pa.int64())]
 
         return score
 
