@@ -32,8 +32,8 @@ from .wordbpe import WordBpe
 
 CAPACITY = 4096
 END_ID = 1
-#: A partition of a round has documents for so many sequences at least, as far as there are two of them.
-PART_SEQUENCES = 8
+#: A partition of a round has documents for so many sequences at least, as far as there are two of them: each costs a task and a file.
+PART_SEQUENCES = 64
 
 _PIECE = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
 PIECES = T.StructType([T.StructField("pieces", T.ArrayType(T.StructType(_PIECE)))])
@@ -236,6 +236,7 @@ def _dealt(state: DataFrame, plan: Deal, round_: int) -> DataFrame:
 def _sweep(dealt: DataFrame, plan: Deal, round_: int, capacity: int) -> DataFrame:
     """One sweep of each partition: its gaps first, then its documents from the largest one."""
     schema = T.StructType(dealt.schema.fields[1:])
+    fresh = plan.fresh.tolist()  # all that the tasks need of the plan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
@@ -259,7 +260,7 @@ def _sweep(dealt: DataFrame, plan: Deal, round_: int, capacity: int) -> DataFram
                         over.setdefault(left, []).extend(some)
                     gaps.clear()
                     last, open_ = parts[i], 0
-                    put(capacity, [(round_ << 53) | (last << 33) | k for k in range(int(plan.fresh[last]))])
+                    put(capacity, [(round_ << 53) | (last << 33) | k for k in range(fresh[last])])
                 if kinds[i] == 2:
                     put(size, [ids[i]])
                     continue
