@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ MOST = 0.25
 SAFE = 60.0
 _CHUNK = 1 << 20
 _STEP = 4096
+#: So many places are handled at once, or those of one class, so that their probabilities stay in a core's cache.
+_BLOCK = 512
 _SCORE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("others", T.ArrayType(T.LongType()))])
 
 
@@ -54,18 +57,35 @@ class Vocabulary:
     """Entries by hash: own words first, most frequent first; entry n is the edge of a text."""
 
     def __init__(self, hashes: np.ndarray, shared: int = SHARED, class_size: int = CLASS) -> None:
-        self.order = np.argsort(hashes)
-        self.sorted, self.shared = hashes[self.order], shared
+        self.shared = shared
         self.n = -(-(hashes.size + shared) // class_size) * class_size
         self.own, self.class_size = hashes.size, class_size
         self.classes = self.n // class_size
+        # a slot for each value of the first bits of a hash; of words that share one the most frequent has it, the others are searched for
+        self.hashes, bits = hashes, (8 * hashes.size).bit_length()
+        self.shift = np.uint64(64 - max(bits, 1))
+        slot = hashes >> self.shift
+        self.slots, self.crowded = np.zeros(1 << max(bits, 1), np.int32), np.zeros(1 << max(bits, 1), bool)
+        self.slots[slot[::-1]] = np.arange(hashes.size)[::-1]
+        late = np.flatnonzero(self.slots[slot] != np.arange(hashes.size))
+        self.crowded[slot[late]] = True
+        self.late = late[np.argsort(hashes[late])]
+        self.sorted = hashes[self.late]
 
     def entries(self, hashes: np.ndarray) -> np.ndarray:
         out = self.own + (hashes % np.uint64(self.shared)).astype(np.int64)
-        if self.own:
-            at = np.minimum(np.searchsorted(self.sorted, hashes), self.own - 1)
-            hit = self.sorted[at] == hashes
-            out[hit] = self.order[at[hit]]
+        if not self.own:
+            return out
+        slot = (hashes >> self.shift).view(np.int64)
+        entry = self.slots.take(slot)
+        hit = self.hashes.take(entry) == hashes
+        np.copyto(out, entry, where=hit)
+        if self.late.size:
+            again = np.flatnonzero(self.crowded.take(slot) & ~hit)
+            sought = hashes[again]
+            at = np.minimum(np.searchsorted(self.sorted, sought), self.late.size - 1)
+            found = self.sorted[at] == sought
+            out[again[found]] = self.late[at[found]]
         return out
 
 
@@ -142,100 +162,115 @@ class WindowNet:
         return line, place, row
 
     def hidden(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        x = self.params["left"][line[at - 1]] + self.params["right"][line[at + 1]]
+        left, right = self.params["left"], self.params["right"]
+        x = left.take(line.take(at - 1), axis=0)
+        x += right.take(line.take(at + 1), axis=0)
         for k in range(2, self.window + 1):
-            x += (self.params["left"][line[at - k]] + self.params["right"][line[at + k]]) / k
+            far = left.take(line.take(at - k), axis=0)
+            far += right.take(line.take(at + k), axis=0)
+            far /= k
+            x += far
         return np.tanh(x, out=x)
 
+    def _with_bias(self) -> tuple[np.ndarray, np.ndarray]:
+        """Copies of the parameters of classes and of words, biases as a last row: hidden values get a last column of ones."""
+        p = self.params
+        return np.concatenate([p["class"], p["class_bias"][None]]), np.concatenate([p["word"], p["word_bias"][:, None]], axis=1)
+
     @staticmethod
-    def _exp(z: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-        """exp of each row in place, and what was subtracted from it before: 0 where most, a bound of all |z|, is far from overflow."""
-        top = np.float32(0)
-        if not most < SAFE:
-            top = z.max(axis=1)
-            z -= top[:, None]
-        return np.exp(z, out=z), top
-
-    @classmethod
-    def _softmax(cls, z: np.ndarray, most: float) -> np.ndarray:
-        """Of each row, in place."""
-        cls._exp(z, most)
-        z *= (1 / _row_sums(z))[:, None]
-        return z
+    def _most(classes: np.ndarray, words_: np.ndarray) -> tuple[float, list[float]]:
+        """The most that |z| can be for classes, and for the words of each class: hidden values are between -1 and 1."""
+        return float(np.abs(classes).sum(axis=0).max()), np.abs(words_).sum(axis=1).max(axis=1).tolist()
 
     def _bounds(self) -> tuple[float, list[float]]:
-        """The most that |z| can be for classes, and for the words of each class: hidden values are between -1 and 1."""
-        p = self.params
-        classes = float((np.abs(p["class"]).sum(axis=0) + np.abs(p["class_bias"])).max())
-        return classes, (np.abs(p["word"]).sum(axis=1) + np.abs(p["word_bias"])).max(axis=1).tolist()
+        return self._most(*self._with_bias())
 
     def log_probabilities(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each place given the words around it."""
-        out = np.empty(at.size)
-        p, c = self.params, self.vocabulary.class_size
-        of_class, of_word = self._bounds()
+        out, c = np.empty(at.size), self.vocabulary.class_size
+        classes, words_ = self._with_bias()
+        of_class, of_word = self._most(classes, words_)
+        room = np.empty((_BLOCK, max(c, self.vocabulary.classes)), classes.dtype)
+
+        def score(h: np.ndarray, w: np.ndarray, target: np.ndarray, most: float) -> np.ndarray:
+            z = room.reshape(-1)[: target.size * w.shape[1]].reshape(target.size, -1)
+            _shifted(np.matmul(h, w, out=z), most)
+            own = _picked(z, target)
+            return own - np.log(_row_sums(np.exp(z, out=z)))
+
         for a in range(0, at.size, 1 << 15):
             part = at[a : a + (1 << 15)]
-            target = line[part]
-            by = np.argsort(target // c, kind="stable")
+            target = line.take(part)
+            by = _order(target // c, self.vocabulary.classes)
             part, target = part[by], target[by]
-            h = self.hidden(line, part)
+            h = _with_ones(self.hidden(line, part))
             group, word = target // c, target % c
-            z = h @ p["class"]
-            z += p["class_bias"]
-            score = z[np.arange(part.size), group]
-            z, top = self._exp(z, of_class)
-            score -= np.log(_row_sums(z)) + top
-            edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), part.size)
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                g = group[i]
-                y = h[i:j] @ p["word"][g]
-                y += p["word_bias"][g]
-                own = y[np.arange(j - i), word[i:j]]
-                y, top = self._exp(y, of_word[g])
-                score[i:j] += own - (np.log(_row_sums(y)) + top)
-            out[a + by] = score
+            done = np.empty(part.size, h.dtype)
+            for i in range(0, part.size, _BLOCK):
+                done[i : i + _BLOCK] = score(h[i : i + _BLOCK], classes, group[i : i + _BLOCK], of_class)
+            for g, begin, end in _runs(group):
+                for i in range(begin, end, _BLOCK):
+                    j = min(i + _BLOCK, end)
+                    done[i:j] += score(h[i:j], words_[g], word[i:j], of_word[g])
+            out[a + by] = done
         return out
 
     def train(self, line: np.ndarray, at: np.ndarray, rate: float) -> None:
-        """One pass of minibatch steps over the masked places, with clipped gradients."""
-        p, c = self.params, self.vocabulary.class_size
+        """One pass of minibatch steps over the masked places, with clipped gradients.
+
+        z and y hold exp() of a row and stay unnormalised: their sums divide what they are multiplied with,
+        which has fewer columns.
+        """
+        p, c, size = self.params, self.vocabulary.class_size, self.params["class"].shape[0]
+        classes, words_ = self._with_bias()
+        room = np.empty((min(_STEP, at.size), c), classes.dtype)
+        steps = np.zeros_like(words_)
+        sums = RowSums(self.vocabulary.n + 1, size, classes.dtype)
         for a in range(0, at.size, _STEP):
             part = at[a : a + _STEP]
-            target = line[part]
-            part = part[_order(target // c, self.vocabulary.classes)]
-            target = line[part]
+            part = part[_order(line.take(part) // c, self.vocabulary.classes)]
+            target = line.take(part)
             group, word, n = target // c, target % c, part.size
-            h = self.hidden(line, part)
-            of_class, of_word = self._bounds()
-            dz = h @ p["class"]
-            dz += p["class_bias"]
-            self._softmax(dz, of_class)
-            rows, ones = np.arange(n), np.ones(n, dz.dtype)
-            dz[rows, group] -= 1
-            dh = dz @ p["class"].T
-            edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), n)
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                g = group[i]
-                w, bias, own = p["word"][g], p["word_bias"][g], rate / math.sqrt(j - i)
-                dy = h[i:j] @ w
-                dy += bias
-                self._softmax(dy, of_word[g])
-                dy[rows[: j - i], word[i:j]] -= 1
-                dh[i:j] += dy @ w.T
-                w -= _bounded(h[i:j].T @ dy, own)
-                bias -= _bounded(ones[: j - i] @ dy, own)
-            p["class"] -= _bounded(h.T @ dz, rate / math.sqrt(n))
-            p["class_bias"] -= _bounded(ones @ dz, rate / math.sqrt(n))
-            dx = np.clip(dh * (1 - h * h), -1, 1) * rate
+            h = _with_ones(self.hidden(line, part))
+            of_class, of_word = self._most(classes, words_)
+            z = _shifted(h @ classes, of_class)
+            total = _row_sums(np.exp(z, out=z))[:, None]
+            _pick(z, group, total[:, 0])
+            dh = z @ classes[:size].T
+            dh /= total
+            classes -= _bounded((h / total).T @ z, rate / math.sqrt(n))
+            dw = np.empty_like(dh)
+            for _, block in groupby(_runs(group), lambda run: run[1] // _BLOCK):
+                runs = list(block)
+                low, high = runs[0][1], runs[-1][2]
+                y = room[: high - low]
+                for g, i, j in runs:
+                    _shifted(np.matmul(h[i:j], words_[g], out=y[i - low : j - low]), of_word[g])
+                total = _row_sums(np.exp(y, out=y))[:, None]
+                _pick(y, word[low:high], total[:, 0])
+                weighed = h[low:high] / total
+                for g, i, j in runs:
+                    part_y = y[i - low : j - low]
+                    np.matmul(part_y, words_[g, :size].T, out=dw[i:j])
+                    weighed[i - low : j - low] *= rate / math.sqrt(j - i)
+                    np.matmul(weighed[i - low : j - low].T, part_y, out=steps[g])
+                dw[low:high] /= total
+            dh += dw
+            words_ -= _bounded(steps, 1)
+            steps[:] = 0
+            h = h[:, :size]
+            dh *= 1 - h * h
+            dx = np.minimum(np.maximum(dh, -1, out=dh), 1, out=dh)
+            dx *= rate
             for k in range(1, self.window + 1):
                 for name, side in (("left", -k), ("right", k)):
-                    entry = line[part + side]
-                    by = _order(entry, self.vocabulary.n + 1)
-                    heads = np.flatnonzero(np.diff(entry[by], prepend=-1))
-                    step = np.add.reduceat(dx[by], heads, axis=0)
+                    entry, step = sums(line.take(part + side), dx)
                     step /= k
-                    p[name][entry[by[heads]]] -= np.minimum(np.maximum(step, -1, out=step), 1, out=step)
+                    new = p[name].take(entry, axis=0)
+                    new -= np.minimum(np.maximum(step, -1, out=step), 1, out=step)
+                    _rows(p[name])[entry] = _rows(new)
+        p["class"][:], p["class_bias"][:] = classes[:size], classes[size]
+        p["word"][:], p["word_bias"][:] = words_[:, :size], words_[:, size]
 
     def blocks(self) -> Iterator[tuple[str, int, np.ndarray]]:
         """The parameters in pieces of 64 kB at most."""
@@ -245,6 +280,68 @@ class WindowNet:
                 yield name, k, flat[a : a + (1 << 14)]
 
 
+class RowSums:
+    """Sums of rows by entry, made many times for the same number of entries."""
+
+    def __init__(self, n: int, size: int, kind: np.dtype) -> None:
+        half = -(-size // 2)  # two numbers are added as a complex one: half as many additions
+        self.size, self.seen = size, np.zeros(n, bool)
+        self.sums, self.zero = np.zeros((n, 2 * half), kind), np.zeros((1, 2 * half), kind)
+        self.pairs = self.sums.reshape(-1).view(np.result_type(kind, np.complex64))
+        self.place = np.arange(n * half).reshape(n, half)
+
+    def __call__(self, entry: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct entries, in order, and the sum of the rows of x of each."""
+        if self.sums.shape[1] != self.size:
+            x = np.pad(x, ((0, 0), (0, 1)))
+        np.add.at(self.pairs, self.place.take(entry, axis=0).reshape(-1), x.reshape(-1).view(self.pairs.dtype))
+        self.seen[entry] = True
+        some = np.flatnonzero(self.seen)
+        out = self.sums.take(some, axis=0)[:, : self.size]
+        _rows(self.sums)[some] = _rows(self.zero)
+        self.seen[some] = False
+        return some, out
+
+
+def _rows(a: np.ndarray) -> np.ndarray:
+    """Each row as one item: those are set by index several times faster."""
+    return a.view(np.dtype((np.void, a.itemsize * a.shape[1]))).reshape(-1)
+
+
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """h with a last column of ones."""
+    out = np.ones((h.shape[0], h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """Value, begin and end of the runs of equal values."""
+    edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), group.size)
+    return list(zip(group[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+def _shifted(z: np.ndarray, most: float) -> np.ndarray:
+    """z, in place, with the largest of each row subtracted; as it is where most, a bound of all |z|, is far from overflow of exp()."""
+    if not most < SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    return np.arange(0, z.size, z.shape[1]) + column
+
+
+def _picked(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The number in the given column of each row."""
+    return z.reshape(-1).take(_at(z, column))
+
+
+def _pick(z: np.ndarray, column: np.ndarray, less: np.ndarray) -> None:
+    """Subtracts less from the number in the given column of each row."""
+    z.reshape(-1)[_at(z, column)] -= less
+
+
 def _row_sums(z: np.ndarray) -> np.ndarray:
     """Of each row, as a product with ones: much faster than a sum over short rows."""
     return z @ np.ones(z.shape[1], z.dtype)
@@ -252,7 +349,8 @@ def _row_sums(z: np.ndarray) -> np.ndarray:
 
 def _bounded(step: np.ndarray, rate: float) -> np.ndarray:
     """step times rate, in place: a step of at most MOST for each parameter: thousands of equal words may not throw it far."""
-    step *= rate
+    if rate != 1:
+        step *= rate
     return np.minimum(np.maximum(step, -MOST, out=step), MOST, out=step)
 
 
