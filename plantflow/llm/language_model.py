@@ -47,9 +47,11 @@ MOST = 0.25
 #: Below this bound exp() of single precision is far from overflow, and a row's sum from nothing.
 SAFE = 60.0
 _CHUNK = 1 << 20
+#: Text bytes whose words are counted at once: the more, the fewer rows are left for Spark to add up.
+_COUNTED = 8 << 20
 _STEP = 4096
 #: So many places are handled at once, or those of one class, so that their probabilities stay in a core's cache.
-_BLOCK = 512
+_BLOCK = 1024
 _SCORE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("others", T.ArrayType(T.LongType()))])
 
 
@@ -95,7 +97,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, _COUNTED):
                 h, n = np.unique(words(part.column(at), ALNUM_SPLIT)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -239,7 +241,7 @@ class WindowNet:
             dh = z @ classes[:size].T
             dh /= total
             classes -= _bounded((h / total).T @ z, rate / math.sqrt(n))
-            dw = np.empty_like(dh)
+            dw, each = np.empty_like(dh), (rate / np.sqrt(np.bincount(group)[group])).astype(dh.dtype)
             for _, block in groupby(_runs(group), lambda run: run[1] // _BLOCK):
                 runs = list(block)
                 low, high = runs[0][1], runs[-1][2]
@@ -248,12 +250,11 @@ class WindowNet:
                     _shifted(np.matmul(h[i:j], words_[g], out=y[i - low : j - low]), of_word[g])
                 total = _row_sums(np.exp(y, out=y))[:, None]
                 _pick(y, word[low:high], total[:, 0])
-                weighed = h[low:high] / total
+                weighed = (h[low:high] * (each[low:high, None] / total)).T
                 for g, i, j in runs:
-                    part_y = y[i - low : j - low]
-                    np.matmul(part_y, words_[g, :size].T, out=dw[i:j])
-                    weighed[i - low : j - low] *= rate / math.sqrt(j - i)
-                    np.matmul(weighed[i - low : j - low].T, part_y, out=steps[g])
+                    y_g = y[i - low : j - low]
+                    np.matmul(y_g, words_[g, :size].T, out=dw[i:j])
+                    np.matmul(weighed[:, i - low : j - low], y_g, out=steps[g])
                 dw[low:high] /= total
             dh += dw
             words_ -= _bounded(steps, 1)
