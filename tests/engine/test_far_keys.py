@@ -72,7 +72,7 @@ def test_ids_of_64_bits_are_longs(spark, tmp_path, shifts):
     assert rows(entry.queries()["ldap_binds"](spark, folder).select(names).collect()) == rows(expected)
 
 
-@pytest.mark.parametrize("query", ["rule_dns_resolver", "conformance_tally", "trusted_unmatched", "modbus_events", "findings_policy", "findings_ranked", "flow_index", "findings_all", "asset_omitted", "asset_names"])
+@pytest.mark.parametrize("query", ["rule_dns_resolver", "conformance_tally", "trusted_unmatched", "modbus_events", "findings_policy", "findings_ranked", "flow_index", "findings_all", "asset_omitted", "asset_names", "findings_mitre"])
 def test_queries_equal_their_sql(spark, far, query):
     names, expected = by_sql(far, query)
     got = entry.queries()[query](spark, far)
